@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secrets
+from . import exact_dedup, line_dedup, secrets, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op10_warc": warc.op10_warc,
 }
 
 #: DuckDB statements for the operators that SQL can express.
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op10_warc": warc.ORACLE,
 }
