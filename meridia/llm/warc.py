@@ -97,7 +97,7 @@ def _archive(folder: str, file_bytes: int):
                     if out is not None:
                         out.close()
                     name, at, n_files = f"{stem}-{n_files:04d}.warc.gz", 0, n_files + 1
-                    out = store.open_output_stream(f"{root}/{name}")
+                    out = store.open_output_stream(f"{root}/{name}", compression=None)
                 out.write(member)
                 for k, v in zip(rows, (surt(url.as_py()), page_id.as_py(), name, at, len(member)), strict=True):
                     rows[k].append(v)
