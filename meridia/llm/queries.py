@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, secrets, warc
+from . import exact_dedup, line_dedup, packing, secrets, token_counts, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op6_packing": packing.op6_packing,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op10_warc": warc.op10_warc,
 }
