@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, packing, secrets, token_counts, warc
+from . import exact_dedup, jaccard_join, line_dedup, packing, secrets, token_counts, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op6_packing": packing.op6_packing,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_warc": warc.op10_warc,
 }
 
@@ -17,5 +18,6 @@ QUERIES = {
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op9_jaccard_join": jaccard_join.ORACLE,
     "op10_warc": warc.ORACLE,
 }
