@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, line_dedup, packing, secrets, token_counts, warc
+from . import exact_dedup, jaccard_join, line_dedup, packing, secrets, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op6_packing": packing.op6_packing,
@@ -17,6 +18,7 @@ QUERIES = {
 #: DuckDB statements for the operators that SQL can express.
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op2_suffix_dedup": suffix_dedup.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op9_jaccard_join": jaccard_join.ORACLE,
     "op10_warc": warc.ORACLE,
