@@ -1,4 +1,914 @@
-"""Every registered query with its DuckDB counterpart."""
+"""Every registered query with its DuckDB counterpart, where SQL can express it.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The SQL is written differently on purpose: windows and self joins over rows where the
+library folds over nested arrays, closed forms where it runs kernels.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from meridia import fixtures as X
+from meridia.functions import geometry as G
+from meridia.functions import kernels as K
+from meridia.functions import lines as L
+from meridia.functions import points as P
+from meridia.functions import predicates as Q
+from meridia.operators import aggregates as A
+from meridia.operators import clusters, generators, graph, index, joins, stats, surfaces
+from meridia.schema import EARTH_RADIUS as R
+from meridia.schema import HALF_MERCATOR as H
+from meridia.schema import convert_length
+from meridia.sources import geojson
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+WITH = f"WITH P AS ({X.P_SQL}), S AS ({X.S_SQL}), Z AS ({X.Z_SQL}), T AS ({X.T_SQL}), B AS ({X.B_SQL}), L AS (SELECT user_id AS fid, ts, event_id, lng, lat, row_number() OVER w AS k, count(*) OVER (PARTITION BY user_id) AS n, lag(lng) OVER w AS px, lag(lat) OVER w AS py FROM T WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) "
+
+
+def query(name: str, sql: str | None = None):
+    def put(f: Callable) -> Callable:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = WITH + sql
+        return f
+
+    return put
+
+
+def r6(c: Column) -> Column:
+    return F.round(c, 6) + F.lit(0.0)
+
+
+def s6(text: str) -> str:
+    return f"round({text}, 6) + 0.0"
+
+
+def hav(x1: str, y1: str, x2: str, y2: str) -> str:
+    """SQL for the great-circle distance in metres."""
+    a = f"(power(sin(radians(({y2})-({y1}))/2),2)+cos(radians({y1}))*cos(radians({y2}))*power(sin(radians(({x2})-({x1}))/2),2))"
+    return f"(2*{R!r}*atan2(sqrt({a}),sqrt(greatest(1-{a},0))))"
+
+
+def brg(x1: str, y1: str, x2: str, y2: str) -> str:
+    dx = f"radians(({x2})-({x1}))"
+    return f"fmod(degrees(atan2(sin({dx})*cos(radians({y2})), cos(radians({y1}))*sin(radians({y2}))-sin(radians({y1}))*cos(radians({y2}))*cos({dx})))+360, 360)"
+
+
+def _two(f: tuple[Column, Column]) -> list[Column]:
+    return [r6(f[0]).alias("x"), r6(f[1]).alias("y")]
+
+
+PQ = ("lng", "lat", "lng2", "lat2")
+
+# points
+
+
+@query("distance", f"SELECT fid, {s6(hav(*PQ) + '/1000')} AS km, {s6(hav(*PQ) + '/1609.344')} AS mi FROM P")
+def distance(spark, d):
+    return X.customers(spark, d).select("fid", r6(P.distance(*PQ)).alias("km"), r6(P.distance(*PQ, unit="miles")).alias("mi"))
+
+
+_psi = "(ln(tan(radians(lat2)/2+pi()/4))-ln(tan(radians(lat)/2+pi()/4)))"
+_q = f"CASE WHEN abs({_psi}) > 0 THEN radians(lat2-lat)/nullif({_psi},0) ELSE cos(radians(lat)) END"
+
+
+@query("rhumb_distance", f"SELECT fid, {s6(f'sqrt(power(radians(lat2-lat),2)+power(({_q})*radians(lng2-lng),2))*{R!r}/1000')} AS km FROM P WHERE abs(lat2-lat) > 0.05")
+def rhumb_distance(spark, d):
+    return X.customers(spark, d).filter("abs(lat2-lat) > 0.05").select("fid", r6(P.rhumb_distance(*PQ)).alias("km"))
+
+
+@query("bearing", f"SELECT fid, {s6(brg(*PQ))} AS deg FROM P")
+def bearing(spark, d):
+    return X.customers(spark, d).select("fid", r6(P.bearing(*PQ)).alias("deg"))
+
+
+_dl = "(CASE WHEN abs(radians(lng2-lng)) > pi() THEN radians(lng2-lng)-2*pi() ELSE radians(lng2-lng) END)"
+
+
+@query("rhumb_bearing", f"SELECT fid, {s6(f'fmod(degrees(atan2(-({_q})*sin({_dl}), cos(radians(lat))*cos(radians(lat2))-sin(radians(lat))*sin(radians(lat2))*cos({_dl})))+360, 360)')} AS deg FROM P WHERE abs(lat2-lat) > 0.05")
+def rhumb_bearing(spark, d):
+    return X.customers(spark, d).filter("abs(lat2-lat) > 0.05").select("fid", r6(P.rhumb_bearing(*PQ)).alias("deg"))
+
+
+@query("angle", f"SELECT fid, {s6('CASE WHEN a > 180 THEN 360 - a ELSE a END')} AS deg FROM (SELECT fid, abs({brg('lng2', 'lat2', '0.0', '0.0')} - {brg('lng2', 'lat2', 'lng', 'lat')}) AS a FROM P WHERE (lng <> lng2 OR lat <> lat2) AND (lng2 <> 0 OR lat2 <> 0)) q")
+def angle(spark, d):
+    return X.customers(spark, d).filter("(lng <> lng2 OR lat <> lat2) AND (lng2 <> 0 OR lat2 <> 0)").select("fid", r6(P.angle("lng", "lat", "lng2", "lat2", 0.0, 0.0)).alias("deg"))
+
+
+_d = f"(500.0*1000/{R!r})"
+_la2 = f"asin(sin(radians(lat))*cos({_d})+cos(radians(lat))*sin({_d})*cos(radians(fid%360)))"
+_lo2 = f"(radians(lng)+atan2(sin(radians(fid%360))*sin({_d})*cos(radians(lat)), cos({_d})-sin(radians(lat))*sin({_la2})))"
+
+
+@query("destination", f"SELECT fid, {s6(f'degrees(({_lo2}+pi())-2*pi()*trunc(({_lo2}+pi())/(2*pi()))-pi())')} AS x, {s6(f'degrees({_la2})')} AS y FROM P")
+def destination(spark, d):
+    return X.customers(spark, d).select("fid", *_two(P.destination("lng", "lat", 500.0, F.col("fid") % 360)))
+
+
+_rl = f"(radians(lat)+{_d}*cos(radians(fid%360)))"
+_rpsi = f"(ln(tan({_rl}/2+pi()/4))-ln(tan(radians(lat)/2+pi()/4)))"
+_rq = f"(({_rl}-radians(lat))/{_rpsi})"
+_ro = f"(radians(lng)+{_d}*sin(radians(fid%360))/{_rq})"
+
+
+@query("rhumb_destination", f"SELECT fid, {s6(f'degrees(({_ro}+pi())-2*pi()*trunc(({_ro}+pi())/(2*pi()))-pi())')} AS x, {s6(f'degrees({_rl})')} AS y FROM P WHERE abs(lat) < 80 AND fid%180 NOT IN (90)")
+def rhumb_destination(spark, d):
+    return X.customers(spark, d).filter("abs(lat) < 80 AND fid%180 NOT IN (90)").select("fid", *_two(P.rhumb_destination("lng", "lat", 500.0, F.col("fid") % 360)))
+
+
+_bx, _by = "(cos(radians(lat2))*cos(radians(lng2-lng)))", "(cos(radians(lat2))*sin(radians(lng2-lng)))"
+
+
+@query("midpoint", f"SELECT fid, {s6(f'degrees(radians(lng)+atan2({_by}, cos(radians(lat))+{_bx}))')} AS x, {s6(f'degrees(atan2(sin(radians(lat))+sin(radians(lat2)), sqrt(power(cos(radians(lat))+{_bx},2)+power({_by},2))))')} AS y FROM P")
+def midpoint(spark, d):
+    return X.customers(spark, d).select("fid", *_two(P.midpoint(*PQ)))
+
+
+@query("convert_length", f"SELECT fid, {s6('w*1609.344/0.3048')} AS feet, {s6(f'w*1000/(pi()/180*{R!r})')} AS deg FROM P")
+def convert(spark, d):
+    return X.customers(spark, d).select("fid", r6(convert_length(F.col("w"), "miles", "feet")).alias("feet"), r6(convert_length(F.col("w"), "kilometers", "degrees")).alias("deg"))
+
+
+@query("planar_distance", f"SELECT fid, {s6('sqrt(power(lng2-lng,2)+power(lat2-lat,2))')} AS d FROM P")
+def planar_distance(spark, d):
+    return X.customers(spark, d).select("fid", r6(P.planar_distance(*PQ)).alias("d"))
+
+
+@query("plane_point", f"SELECT fid, {s6('10*lat + 5*lng')} AS z FROM P")
+def plane_point(spark, d):
+    """The plane through (0,0,0), (1,0,10) and (0,1,5), with the customary exchange of weights."""
+    return X.customers(spark, d).select("fid", r6(P.plane_z("lng", "lat", (0, 0, 0), (1, 0, 10), (0, 1, 5))).alias("z"))
+
+
+@query("mercator", f"SELECT fid, round(lng*{H!r}/180, 4)+0.0 AS x, round(ln(tan(pi()/4+lat*pi()/360))*{H!r}/pi(), 4)+0.0 AS y FROM P")
+def mercator(spark, d):
+    g = G.to_mercator(G.point("lng", "lat"))
+    return X.customers(spark, d).select("fid", g.alias("g")).select("fid", (F.round(G.x_of("g"), 4) + 0.0).alias("x"), (F.round(G.y_of("g"), 4) + 0.0).alias("y"))
+
+
+@query("wgs84", f"SELECT fid, {s6('lng')} AS x, {s6('lat')} AS y FROM P")
+def wgs84(spark, d):
+    g = G.to_wgs84(G.to_mercator(G.point("lng", "lat")))
+    return X.customers(spark, d).select("fid", g.alias("g")).select("fid", r6(G.x_of("g")).alias("x"), r6(G.y_of("g")).alias("y"))
+
+
+# lines
+
+
+_seg = hav("px", "py", "lng", "lat")
+
+
+@query("length", f"SELECT fid, {s6(f'sum({_seg})/1000')} AS km FROM L WHERE k > 1 GROUP BY fid")
+def length(spark, d):
+    return X.trajectories(spark, d).select("fid", r6(G.length("geom")).alias("km"))
+
+
+@query("along", f"SELECT fid, {s6('any_value(CASE WHEN total < 5000000 THEN ex ELSE x END)')} AS x, {s6('any_value(CASE WHEN total < 5000000 THEN ey ELSE y END)')} AS y FROM (SELECT fid, total, ex, ey, px+(lng-px)*(5000000-gone+step)/step AS x, py+(lat-py)*(5000000-gone+step)/step AS y, k, min(CASE WHEN gone >= 5000000 THEN k END) OVER (PARTITION BY fid) AS hit FROM (SELECT *, sum(step) OVER (PARTITION BY fid ORDER BY k) AS gone, sum(step) OVER (PARTITION BY fid) AS total, last_value(lng) OVER (PARTITION BY fid ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ex, last_value(lat) OVER (PARTITION BY fid ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ey FROM (SELECT *, {_seg} AS step FROM L WHERE k > 1) a) b) c WHERE hit IS NULL OR k = hit GROUP BY fid")
+def along(spark, d):
+    g = L.along("geom", 5000.0)
+    return X.trajectories(spark, d).select("fid", g.alias("g")).select("fid", r6(G.x_of("g")).alias("x"), r6(G.y_of("g")).alias("y"))
+
+
+_t = "greatest(0, least(1, CASE WHEN power(lng-px,2)+power(lat-py,2) = 0 THEN 0 ELSE ((0-px)*(lng-px)+(0-py)*(lat-py))/(power(lng-px,2)+power(lat-py,2)) END))"
+_foot = hav("0.0", "0.0", f"px+{_t}*(lng-px)", f"py+{_t}*(lat-py)")
+
+
+@query("point_to_line", f"SELECT fid, {s6(f'min({_foot})/1000')} AS km FROM L WHERE k > 1 GROUP BY fid")
+def point_to_line(spark, d):
+    return X.trajectories(spark, d).select("fid", r6(L.point_to_line(G.point(0.0, 0.0), "geom")).alias("km"))
+
+
+@query("nearest_point_on_line", f"SELECT fid, idx, {s6('dist')} AS dist FROM (SELECT fid, k-2 AS idx, {_foot} AS dist, row_number() OVER (PARTITION BY fid ORDER BY {_foot}, k) AS r FROM L WHERE k > 1) q WHERE r = 1")
+def nearest_point_on_line(spark, d):
+    n = L.nearest_point_on_line("geom", G.point(0.0, 0.0))
+    return X.trajectories(spark, d).select("fid", n.alias("n")).select("fid", F.col("n.index").cast("long").alias("idx"), r6(F.col("n.dist")).alias("dist"))
+
+
+@query("line_segments", f"SELECT fid, k-2 AS seg, {s6('px')} AS ax, {s6('lat')} AS bLat FROM L WHERE k > 1")
+def line_segments(spark, d):
+    rows = generators.explode_segments(X.trajectories(spark, d))
+    return rows.select("fid", F.col("seg").cast("long").alias("seg"), r6(G.path("geom")[0][0]).alias("ax"), r6(G.path("geom")[1][1]).alias("bLat"))
+
+
+@query("great_circle", f"SELECT fid, 50 AS n, {s6('lng')} AS x0, {s6('lat2')} AS y1 FROM P WHERE (lng <> lng2 OR lat <> lat2) AND abs(abs(lng-lng2)-180) > 0.05 AND abs(lat+lat2) > 0.05")
+def great_circle(spark, d):
+    rows = X.customers(spark, d).filter("(lng <> lng2 OR lat <> lat2) AND abs(abs(lng-lng2)-180) > 0.05 AND abs(lat+lat2) > 0.05")
+    g = L.great_circle(*PQ, n=50)
+    return rows.select("fid", g.alias("g"), "lng").select("fid", F.size(G.path("g")).alias("n"), r6(F.when(F.abs(G.path("g")[0][0] - F.col("lng")) > 359, -G.path("g")[0][0]).otherwise(G.path("g")[0][0])).alias("x0"), r6(G.path("g")[49][1]).alias("y1"))
+
+
+@query("line_chunks", f"SELECT fid, CAST(ceil((sum({_seg})-0.01)/2000000) AS BIGINT) AS n FROM L WHERE k > 1 GROUP BY fid")
+def line_chunks(spark, d):
+    return X.trajectories(spark, d).select("fid", F.coalesce(F.size(L.chunks("geom", 2000.0)), F.lit(0)).cast("long").alias("n"))
+
+
+@query("slice_along", f"SELECT fid, 2 + count(*) FILTER (WHERE gone > 1000000 AND gone < 4000000) AS n FROM (SELECT fid, sum({_seg}) OVER (PARTITION BY fid ORDER BY k) AS gone FROM L WHERE k > 1) q GROUP BY fid")
+def slice_along(spark, d):
+    g = L.slice_along("geom", 1000.0, 4000.0, mode="corrected")
+    return X.trajectories(spark, d).select("fid", F.size(G.path(g)).cast("long").alias("n"))
+
+
+@query("line_slice")
+def line_slice(spark, d):
+    g = L.slice_between(G.point(0.0, 0.0), G.point(100.0, 40.0), "geom")
+    return X.trajectories(spark, d).select("fid", F.size(G.path(g)).alias("n"))
+
+
+@query("line_split", "SELECT fid, CASE WHEN n = 2 THEN 1 ELSE 2 END AS parts FROM L WHERE k = 1")
+def line_split(spark, d):
+    """Split at the second vertex: an end of lines of two, inside others; vertices never repeat."""
+    p = G.path("geom")
+    return X.trajectories(spark, d).select("fid", F.size(L.split("geom", G.point(p[1][0], p[1][1]))).alias("parts"))
+
+
+@query("kinks")
+def kinks(spark, d):
+    return X.trajectories(spark, d).select("fid", F.size(L.kinks("geom")).alias("n"))
+
+
+@query("line_arc", "SELECT sid, 17 AS n FROM S")
+def line_arc(spark, d):
+    return X.suppliers(spark, d).select("sid", F.size(G.path(G.line_arc("slng", "slat", 100.0, 300.0, 60.0, 16))).alias("n"))
+
+
+@query("sector", "SELECT sid, 19 AS n FROM S")
+def sector(spark, d):
+    return X.suppliers(spark, d).select("sid", F.size(G.path(G.sector("slng", "slat", 100.0, 20.0, 90.0, 16))).alias("n"))
+
+
+@query("bezier", f"SELECT fid, 101 AS n, {s6('any_value(CASE WHEN k = 1 THEN lng END)')} AS x0 FROM L GROUP BY fid HAVING count(*) >= 2")
+def bezier(spark, d):
+    g = G.bezier_spline("geom", resolution=100)
+    return X.trajectories(spark, d).select("fid", g.alias("g")).select("fid", F.size(G.path("g")).alias("n"), r6(G.path("g")[0][0]).alias("x0"))
+
+
+# transforms, compared vertex by vertex
+
+
+def _vertices(df: DataFrame) -> DataFrame:
+    return generators.explode_vertices(df).select("fid", F.col("pos").cast("long").alias("pos"), r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
+
+
+def _moved(x: str, y: str) -> str:
+    return f"SELECT fid, k-1 AS pos, {s6(x)} AS x, {s6(y)} AS y FROM (SELECT *, avg(lng) OVER (PARTITION BY fid) AS cx, avg(lat) OVER (PARTITION BY fid) AS cy FROM L WHERE n >= 2) q"
+
+
+@query("rotate", _moved("cx+(lng-cx)*cos(radians(30))-(lat-cy)*sin(radians(30))", "cy+(lng-cx)*sin(radians(30))+(lat-cy)*cos(radians(30))"))
+def rotate(spark, d):
+    return _vertices(X.trajectories(spark, d).withColumn("geom", G.rotate("geom", 30.0)))
+
+
+@query("scale", _moved("cx+(lng-cx)*2", "cy+(lat-cy)*0.5"))
+def scale(spark, d):
+    return _vertices(X.trajectories(spark, d).withColumn("geom", G.scale("geom", 2.0, 0.5)))
+
+
+@query("translate", _moved("lng+1.5", "lat-2.25"))
+def translate(spark, d):
+    return _vertices(X.trajectories(spark, d).withColumn("geom", G.translate("geom", 1.5, -2.25)))
+
+
+@query("translate_metres", _moved("lng+5000/(111319.9*cos(radians(cy)))", "lat+5000/111319.9"))
+def translate_metres(spark, d):
+    return _vertices(X.trajectories(spark, d).withColumn("geom", G.translate("geom", 5.0, 5.0, "kilometers")))
+
+
+@query("flip", _moved("lat", "lng"))
+def flip(spark, d):
+    return _vertices(X.trajectories(spark, d).withColumn("geom", G.flip("geom")))
+
+
+@query("truncate", _moved("sign(lng)*floor(abs(lng)+0.5)", "sign(lat)*floor(abs(lat)+0.5)"))
+def truncate(spark, d):
+    return _vertices(X.trajectories(spark, d).withColumn("geom", G.truncate("geom", 0, 2)))
+
+
+@query("clean_coords", "SELECT fid, count(*) AS n FROM L WHERE n >= 2 AND (k = 1 OR lng <> px OR lat <> py) GROUP BY fid")
+def clean_coords(spark, d):
+    return X.trajectories(spark, d).select("fid", G.coord_count(G.clean_coords("geom")).cast("long").alias("n"))
+
+
+@query("rewind", "SELECT zid, true AS cw, false AS ccw FROM Z")
+def rewind(spark, d):
+    return X.zones(spark, d).select("zid", G.clockwise(G.path(G.rewind("geom"))).alias("cw"), G.clockwise(G.path(G.rewind("geom", True))).alias("ccw"))
+
+
+@query("smooth", "SELECT zid, 9 AS n1, 17 AS n2 FROM Z")
+def smooth(spark, d):
+    return X.zones(spark, d).select("zid", G.coord_count(G.smooth("geom", 1)).alias("n1"), G.coord_count(G.smooth("geom", 2)).alias("n2"))
+
+
+@query("polygon_to_line", "SELECT zid, 'LineString' AS t, 5 AS n FROM Z")
+def polygon_to_line(spark, d):
+    g = G.polygon_to_line("geom")
+    return X.zones(spark, d).select("zid", G.get_type(g).alias("t"), G.coord_count(g).alias("n"))
+
+
+@query("line_to_polygon", "SELECT zid, true AS same FROM Z")
+def line_to_polygon(spark, d):
+    return X.zones(spark, d).select("zid", Q.equal(G.line_to_polygon(G.polygon_to_line("geom")), "geom").alias("same"))
+
+
+# polygons
+
+
+def _rect_area(x0: str, y0: str, x1: str, y1: str) -> str:
+    return f"({R!r}*{R!r}*radians({x1}-({x0}))*(sin(radians({y1}))-sin(radians({y0}))))"
+
+
+@query("area", f"SELECT zid, {s6(_rect_area('x0', 'y0', 'x1', 'y1') + '/1e6')} AS km2 FROM Z")
+def area(spark, d):
+    return X.zones(spark, d).select("zid", r6(G.area("geom") / 1e6).alias("km2"))
+
+
+@query("area_holes", f"SELECT zid, rev, {s6('(' + _rect_area('x0', 'y0', 'x1', 'y1') + '+(2*rev-1)*' + _rect_area('x0+(x1-x0)/4', 'y0+(y1-y0)/4', 'x1-(x1-x0)/4', 'y1-(y1-y0)/4') + ')/1e6')} AS km2, {s6('(' + _rect_area('x0', 'y0', 'x1', 'y1') + '-' + _rect_area('x0+(x1-x0)/4', 'y0+(y1-y0)/4', 'x1-(x1-x0)/4', 'y1-(y1-y0)/4') + ')/1e6')} AS fixed FROM Z, (SELECT unnest([0, 1]) AS rev) v")
+def area_holes(spark, d):
+    return X.holed(spark, d).select("zid", "rev", r6(G.area("geom") / 1e6).alias("km2"), r6(G.area("geom", "corrected") / 1e6).alias("fixed"))
+
+
+@query("centroid", f"SELECT zid, {s6('(3*x0+2*x1)/5')} AS x, {s6('(3*y0+2*y1)/5')} AS y FROM Z")
+def centroid(spark, d):
+    g = G.centroid("geom")
+    return X.zones(spark, d).select("zid", r6(G.x_of(g)).alias("x"), r6(G.y_of(g)).alias("y"))
+
+
+@query("center_of_mass", f"SELECT zid, {s6('(x0+x1)/2')} AS x, {s6('(y0+(y1-y0)/3)')} AS y FROM Z")
+def center_of_mass(spark, d):
+    g = G.center_of_mass("geom", "corrected")
+    return X.triangles(spark, d).select("zid", r6(G.x_of(g)).alias("x"), r6(G.y_of(g)).alias("y"))
+
+
+@query("center", "SELECT zid, (x0+x1)/2 AS x, (y0+y1)/2 AS y FROM Z")
+def center(spark, d):
+    g = G.center("geom")
+    return X.triangles(spark, d).select("zid", G.x_of(g).alias("x"), G.y_of(g).alias("y"))
+
+
+@query("point_on_feature", f"SELECT zid, {s6('(2*x0+x1+(x0+x1)/2)/4')} AS x, {s6('(3*y0+y1)/4')} AS y FROM Z")
+def point_on_feature(spark, d):
+    g = G.point_on_feature("geom")
+    return X.triangles(spark, d).select("zid", r6(G.x_of(g)).alias("x"), r6(G.y_of(g)).alias("y"))
+
+
+@query("line_bbox", "SELECT fid, min(lng) AS minx, min(lat) AS miny, max(lng) AS maxx, max(lat) AS maxy FROM L WHERE n >= 2 GROUP BY fid")
+def line_bbox(spark, d):
+    return X.trajectories(spark, d).select("fid", G.bbox("geom").alias("b")).select("fid", "b.*")
+
+
+@query("envelope", f"SELECT fid, {s6('(max(lng)-min(lng))*(max(lat)-min(lat))')} AS a FROM L WHERE n >= 2 GROUP BY fid")
+def envelope(spark, d):
+    p = G.path(G.envelope("geom"))
+    return X.trajectories(spark, d).select("fid", p.alias("p")).select("fid", r6((F.col("p")[2][0] - F.col("p")[0][0]) * (F.col("p")[2][1] - F.col("p")[0][1])).alias("a"))
+
+
+@query("square", "SELECT zid, (x0+x1)/2-36 AS minx, (y0+y1)/2-36 AS miny, (x0+x1)/2+36 AS maxx, (y0+y1)/2+36 AS maxy FROM Z")
+def square(spark, d):
+    return X.zones(spark, d).select("zid", G.square("x0", "y0", "x1", "y1").alias("b")).select("zid", "b.*")
+
+
+@query("valid", "SELECT zid, true AS ok, false AS open_ok FROM Z")
+def valid(spark, d):
+    opened = G.polygon(F.array(F.slice(G.path("geom"), 1, 4)))
+    return X.zones(spark, d).select("zid", Q.valid("geom").alias("ok"), Q.valid(opened).alias("open_ok"))
+
+
+@query("concave", "SELECT zid, false AS tri, true AS dart FROM Z")
+def concave(spark, d):
+    dart = G.polygon(F.array(F.array(G.position("x0", "y0"), G.position("x1", "y0"), G.position(F.col("x0") + 10, F.col("y0") + 5), G.position("x0", "y1"), G.position("x0", "y0"))))
+    return X.triangles(spark, d).select("zid", Q.concave("geom").alias("tri"), Q.concave(dart).alias("dart"))
+
+
+@query("circle", "SELECT sid, 33 AS n, true AS closed, 100.0 AS r FROM S WHERE abs(slat) < 60 AND abs(slng) < 170")
+def circle(spark, d):
+    g = G.circle("slng", "slat", 100.0, 32, mode="corrected")
+    rows = X.suppliers(spark, d).filter("abs(slat) < 60 and abs(slng) < 170").select("sid", "slng", "slat", G.path(g).alias("p"))
+    return rows.select("sid", F.size("p").alias("n"), (F.col("p")[0] == F.col("p")[32]).alias("closed"), F.round(P.distance("slng", "slat", F.col("p")[5][0], F.col("p")[5][1]), 6).alias("r"))
+
+
+@query("ellipse", "SELECT sid, 33 AS n FROM S")
+def ellipse(spark, d):
+    return X.suppliers(spark, d).select("sid", F.size(G.path(G.ellipse("slng", "slat", 100.0, 50.0, 32))).alias("n"))
+
+
+_in_tri = "lng BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1 AND (y1-y0)*(lng-x0)*2 >= (x1-x0)*(lat-y0) AND (y1-y0)*(x1-lng)*2 >= (x1-x0)*(lat-y0)"
+
+
+@query("point_in_polygon", f"SELECT zid, count(*) AS n FROM P JOIN Z ON {_in_tri} GROUP BY zid")
+def point_in_polygon(spark, d):
+    pairs = joins.point_polygon_pairs(X.customers(spark, d).select("lng", "lat"), X.triangles(spark, d).select("zid", "geom"))
+    return pairs.groupBy("zid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("point_in_polygon_cells", f"SELECT zid, count(*) AS n FROM P JOIN Z ON {_in_tri} GROUP BY zid")
+def point_in_polygon_cells(spark, d):
+    pairs = joins.point_polygon_pairs(X.customers(spark, d).select("lng", "lat"), X.triangles(spark, d).select("zid", "geom"), strategy="cells")
+    return pairs.groupBy("zid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("point_on_line", "SELECT fid, lat = -85 OR lat = 85 OR lng = -180 OR lng = 180 AS hit FROM P")
+def point_on_line(spark, d):
+    frame = G.box_polygon(-180.0, -85.0, 180.0, 85.0)
+    return X.customers(spark, d).select("fid", Q.point_on_line(G.point("lng", "lat"), frame).alias("hit"))
+
+
+_over = "bx0 <= x1 AND bx1 >= x0 AND by0 <= y1 AND by1 >= y0"
+_b_in_z = "bx0 >= x0 AND bx1 <= x1 AND by0 >= y0 AND by1 <= y1"
+_z_in_b = "x0 >= bx0 AND x1 <= bx1 AND y0 >= by0 AND y1 <= by1"
+_z_deep = "x0 > bx0 AND x1 < bx1 AND y0 > by0 AND y1 < by1"
+_meet = f"(({_over}) AND NOT ({_z_deep}))"
+
+
+def _zone_boxes(spark, d) -> DataFrame:
+    return X.zones(spark, d).select("zid", "geom").crossJoin(X.boxes(spark, d).select("sid", "geom2"))
+
+
+def _predicate(name: str, f: Callable, sql: str) -> None:
+    @query(name, f"SELECT zid, sid, {sql} AS hit FROM Z, B")
+    def run(spark, d):
+        return _zone_boxes(spark, d).select("zid", "sid", f("geom", "geom2").alias("hit"))
+
+
+_predicate("contains", Q.contains, f"({_b_in_z})")
+_predicate("within", Q.within, f"({_z_in_b})")
+_predicate("intersects", Q.intersects, _meet)
+_predicate("disjoint", Q.disjoint, f"NOT {_meet}")
+_predicate("touches", Q.touches, f"{_meet} AND NOT ({_b_in_z}) AND NOT ({_z_in_b})")
+_predicate("crosses", Q.crosses, f"{_meet} AND NOT ({_b_in_z}) AND NOT ({_z_in_b})")
+_predicate("overlap", Q.overlap, f"{_meet} AND NOT ({_b_in_z}) AND NOT ({_z_in_b})")
+
+
+@query("intersecting_pairs", f"SELECT zid AS lid, sid AS rid FROM Z, B WHERE {_meet}")
+def intersecting_pairs(spark, d):
+    left, right = X.zones(spark, d).select(F.col("zid").alias("lid"), "geom"), X.boxes(spark, d).select(F.col("sid").alias("rid"), "geom2")
+    return joins.intersecting_pairs(left, right, cell=4.0)
+
+
+@query("equal", "SELECT zid, true AS same, false AS turned FROM Z")
+def equal(spark, d):
+    return X.zones(spark, d).select("zid", Q.equal("geom", "geom").alias("same"), Q.equal("geom", G.rewind("geom")).alias("turned"))
+
+
+@query("parallel", "SELECT fid, true AS moved FROM L WHERE n >= 2 AND k = 1")
+def parallel(spark, d):
+    return X.trajectories(spark, d).select("fid", Q.parallel("geom", G.translate("geom", 1.0, 1.0)).alias("moved"))
+
+
+@query("segment_intersect", "SELECT sid, by0 <= 0 AND by1 >= 0 AND abs((bx0+bx1)/2) <= 50 AS hit FROM B")
+def segment_intersect(spark, d):
+    x = (F.col("bx0") + F.col("bx1")) / 2
+    return X.boxes(spark, d).select("sid", P.segments_meet(x, "by0", x, "by1", -50.0, 0.0, 50.0, 0.0).alias("hit"))
+
+
+@query("clockwise", "SELECT zid, false AS cw FROM Z")
+def clockwise(spark, d):
+    return X.triangles(spark, d).select("zid", G.clockwise(G.path("geom")).alias("cw"))
+
+
+@query("point_to_polygon", f"SELECT fid, lng BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1 AS inside FROM P, Z WHERE zid = 12")
+def point_to_polygon(spark, d):
+    zone = X.zones(spark, d).filter("zid = 12").select("geom")
+    return X.customers(spark, d).crossJoin(F.broadcast(zone)).select("fid", (L.point_to_polygon(G.point("lng", "lat"), "geom") == 0).alias("inside"))
+
+
+@query("mask", "SELECT zid, 2 AS rings FROM Z")
+def mask(spark, d):
+    inner = G.box_polygon(F.col("x0") + 5, F.col("y0") + 5, F.col("x1") - 5, F.col("y1") - 5)
+    return X.zones(spark, d).select("zid", F.size(G.rings(L.mask("geom", inner))).alias("rings"))
+
+
+# joins
+
+_first = f"SELECT P.fid, P.lng, P.lat, min(zid) AS zid FROM P LEFT JOIN Z ON {_in_tri} GROUP BY P.fid, P.lng, P.lat"
+
+
+@query("tag_points", f"SELECT t.fid, Z.name AS zone FROM ({_first}) t LEFT JOIN Z USING (zid)")
+def tag_points(spark, d):
+    return joins.tag(X.customers(spark, d), X.triangles(spark, d), "name", "zone").select("fid", "zone")
+
+
+@query("zone_distances", f"SELECT zid, count(*) AS n, {s6('avg(' + hav('lng', 'lat', '(x0+x1)/2', '(y0+y1)/2') + ')/1000')} AS km FROM P JOIN Z ON {_in_tri} GROUP BY zid")
+def zone_distances(spark, d):
+    pairs = joins.point_polygon_pairs(X.customers(spark, d).select("lng", "lat"), X.triangles(spark, d).select("zid", "geom"))
+    c = G.center("geom")
+    return pairs.groupBy("zid").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(P.distance("lng", "lat", G.x_of(c), G.y_of(c)))).alias("km"))
+
+
+@query("collect_points", f"SELECT Z.zid, count(fid) AS n, coalesce(sum(fid), 0) AS total FROM Z LEFT JOIN P ON {_in_tri} GROUP BY Z.zid")
+def collect_points(spark, d):
+    got = joins.collect(X.triangles(spark, d).select("zid", "geom"), X.customers(spark, d).withColumn("v", F.col("fid")), "v", "vs")
+    return got.select("zid", F.size("vs").cast("long").alias("n"), F.aggregate("vs", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("points_within", f"SELECT DISTINCT fid FROM P JOIN Z ON {_in_tri}")
+def points_within(spark, d):
+    return joins.points_within(X.customers(spark, d), X.triangles(spark, d)).select("fid")
+
+
+@query("nearest_point", f"SELECT fid, {s6(hav('lng', 'lat', '10.0', '20.0') + '/1000')} AS dist FROM P ORDER BY {hav('lng', 'lat', '10.0', '20.0')}, fid LIMIT 1")
+def nearest_point(spark, d):
+    return joins.nearest_point(X.customers(spark, d), 10.0, 20.0).select("fid", r6(F.col("dist")).alias("dist"))
+
+
+@query("nearest_to_line", f"SELECT {s6('min(' + hav('lng', 'lat', 'greatest(-50, least(50, lng))', '0.0') + ')/1000')} AS dist FROM P")
+def nearest_to_line(spark, d):
+    line = G.linestring(F.array(G.position(-50.0, 0.0), G.position(50.0, 0.0)))
+    return joins.nearest_point_to_line(X.customers(spark, d), line).select(r6(F.col("dist")).alias("dist"))
+
+
+@query("nearest_each", f"SELECT fid, {s6('min(' + hav('lng', 'lat', 'slng', 'slat') + ')/1000')} AS dist FROM P, S GROUP BY fid")
+def nearest_each(spark, d):
+    return joins.nearest_each(X.customers(spark, d), X.suppliers(spark, d)).select("fid", r6(F.col("dist")).alias("dist"))
+
+
+@query("line_intersections", "SELECT count(*) AS n FROM (SELECT DISTINCT round(h.slng, 10), round(v.slat, 10) FROM S h, S v WHERE h.sid <= 100 AND v.sid <= 100 AND abs(h.slng - v.slng) <= 20 AND abs(v.slat - h.slat) <= 20) q")
+def line_intersections(spark, d):
+    s = X.suppliers(spark, d).filter("sid <= 100")
+    up = s.select(G.linestring(F.array(G.position("slng", F.col("slat") - 20), G.position("slng", F.col("slat") + 20))).alias("geom"))
+    flat = s.select(G.linestring(F.array(G.position(F.col("slng") - 20, "slat"), G.position(F.col("slng") + 20, "slat"))).alias("geom"))
+    return joins.line_intersections(up, flat, cell=10.0).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("line_overlaps", f"SELECT sid, {s6('least(50, bx1)-greatest(-50, bx0)')} AS d FROM B WHERE least(50, bx1) > greatest(-50, bx0)")
+def line_overlaps(spark, d):
+    row = G.linestring(F.array(G.position("bx0", 0.0), G.position("bx1", 0.0)))
+    base = G.linestring(F.array(G.position(-50.0, 0.0), G.position(50.0, 0.0)))
+    got = X.boxes(spark, d).select("sid", F.explode(L.overlaps(base, row)).alias("g"))
+    return got.select("sid", r6(F.abs(G.path("g")[1][0] - G.path("g")[0][0])).alias("d"))
+
+
+@query("bbox_search", "SELECT sid AS fid FROM B WHERE bx0 <= 30 AND bx1 >= -30 AND by0 <= 20 AND by1 >= -20")
+def bbox_search(spark, d):
+    features = X.boxes(spark, d).select(F.col("sid").alias("fid"), F.col("geom2").alias("geom"))
+    return index.search(index.with_box(features), (-30, -20, 30, 20)).select("fid")
+
+
+_bd = "sqrt(power(greatest(bx0-10, 0, 10-bx1), 2)+power(greatest(by0-10, 0, 10-by1), 2))"
+
+
+@query("collisions", f"SELECT sid AS fid FROM B WHERE {_bd} <= 15")
+def collisions(spark, d):
+    features = X.boxes(spark, d).select(F.col("sid").alias("fid"), F.col("geom2").alias("geom"))
+    return index.collisions(index.with_box(features), 10.0, 10.0, 15.0).select("fid")
+
+
+@query("knn", f"SELECT sid AS fid, {s6(_bd)} AS dist FROM B ORDER BY {_bd}, sid LIMIT 5")
+def knn(spark, d):
+    features = X.boxes(spark, d).select(F.col("sid").alias("fid"), F.col("geom2").alias("geom"))
+    return index.nearest(index.with_box(features), 10.0, 10.0, 5).select("fid", r6(F.col("dist")).alias("dist"))
+
+
+@query("knn_each", f"SELECT sid, rank, {s6('dist/1000')} AS km FROM (SELECT a.sid, {hav('a.slng', 'a.slat', 'b.slng', 'b.slat')} AS dist, row_number() OVER (PARTITION BY a.sid ORDER BY {hav('a.slng', 'a.slat', 'b.slng', 'b.slat')}, b.sid) AS rank FROM S a, S b) q WHERE rank <= 3")
+def knn_each(spark, d):
+    s = X.suppliers(spark, d)
+    got = index.sphere_nearest(s.select(F.col("sid").alias("fid"), F.col("slng").alias("lng"), F.col("slat").alias("lat")), s, k=3)
+    return got.select(F.col("fid").alias("sid"), F.col("rank").cast("long").alias("rank"), r6(F.col("dist") / 1000).alias("km"))
+
+
+# generators
+
+
+@query("point_grid", "SELECT 45 AS n, 0.0 AS x0, 2.0 AS y1")
+def point_grid(spark, d):
+    rows = generators.point_grid(spark, (0, -2, 8, 2), 1, "degrees")
+    return rows.agg(F.count(F.lit(1)).cast("int").alias("n"), F.min(G.x_of("geom")).alias("x0"), F.max(G.y_of("geom")).alias("y1"))
+
+
+_cells = "SELECT i*6 + j AS fid, {x} AS x, {y} AS y FROM (SELECT unnest(range(10)) AS i) a, (SELECT unnest(range(6)) AS j) b"
+
+
+def _corner(df: DataFrame) -> DataFrame:
+    return df.select("fid", r6(G.path("geom")[2][0]).alias("x"), r6(G.path("geom")[2][1]).alias("y"))
+
+
+@query("square_grid", _cells.format(x="round(i+1.0, 6)", y="round(j-2.0, 6)"))
+def square_grid(spark, d):
+    return _corner(generators.square_grid(spark, (0, -3, 10, 3), 1, "degrees"))
+
+
+@query("rectangle_grid", _cells.format(x="round(least(i+1.0, 9.5), 6)", y="round(j-2.0, 6)"))
+def rectangle_grid(spark, d):
+    return _corner(generators.rectangle_grid(spark, (0, -3, 9.5, 3), 1, 1, "degrees"))
+
+
+@query("triangle_grid", "SELECT count(*) AS n FROM (SELECT unnest(range(120))) q")
+def triangle_grid(spark, d):
+    return generators.triangle_grid(spark, (0, -3, 10, 3), 1, "degrees").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("hex_grid", "SELECT sum(CASE WHEN i % 2 = 1 THEN 6 ELSE 5 END)::BIGINT AS n FROM (SELECT unnest(range(CAST(ceil(6/(sqrt(3)*3/4)) AS BIGINT))) AS i) q")
+def hex_grid(spark, d):
+    return generators.hex_grid(spark, (0, -3, 10, 3), 1).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("random_points", "SELECT 1000 AS n, true AS inside")
+def random_points(spark, d):
+    x, y = G.x_of("geom"), G.y_of("geom")
+    rows = generators.random_points(spark, 1000, (-10, -5, 10, 5), seed=3)
+    return rows.agg(F.count(F.lit(1)).cast("int").alias("n"), F.bool_and(x.between(-10, 10) & y.between(-5, 5)).alias("inside"))
+
+
+@query("random_lines", "SELECT 100 AS n, 10 AS vertices")
+def random_lines(spark, d):
+    return generators.random_lines(spark, 100).agg(F.count(F.lit(1)).cast("int").alias("n"), F.max(G.coord_count("geom")).alias("vertices"))
+
+
+@query("random_polygons", "SELECT 100 AS n, true AS ok")
+def random_polygons(spark, d):
+    return generators.random_polygons(spark, 100).agg(F.count(F.lit(1)).cast("int").alias("n"), F.bool_and(Q.valid("geom")).alias("ok"))
+
+
+@query("sample", "SELECT 20 AS n, 20 AS k")
+def sample(spark, d):
+    return generators.sample(X.customers(spark, d), 20).agg(F.count(F.lit(1)).cast("int").alias("n"), F.countDistinct("fid").cast("int").alias("k"))
+
+
+@query("flatten", "SELECT user_id AS fid, count(*) AS n FROM T GROUP BY user_id HAVING count(*) >= 2")
+def flatten(spark, d):
+    multi = X.trajectories(spark, d).withColumn("geom", G.multipoint(G.path("geom")))
+    return generators.flatten(multi).groupBy("fid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("explode_vertices", f"SELECT fid, k-1 AS pos, {s6('lng')} AS x, {s6('lat')} AS y FROM L WHERE n >= 2")
+def explode_vertices(spark, d):
+    return _vertices(X.trajectories(spark, d))
+
+
+# aggregates
+
+
+def _points(spark, d) -> DataFrame:
+    return X.customers(spark, d).withColumn("geom", G.point("lng", "lat"))
+
+
+@query("bbox", "SELECT g, min(lng) AS minx, min(lat) AS miny, max(lng) AS maxx, max(lat) AS maxy FROM P GROUP BY g")
+def bbox(spark, d):
+    return A.bbox(_points(spark, d), "g")
+
+
+@query("group_center", f"SELECT g, {s6('(min(lng)+max(lng))/2')} AS lng, {s6('(min(lat)+max(lat))/2')} AS lat FROM P GROUP BY g")
+def group_center(spark, d):
+    return A.center(_points(spark, d), "g").select("g", r6(F.col("lng")).alias("lng"), r6(F.col("lat")).alias("lat"))
+
+
+@query("group_centroid", f"SELECT g, {s6('avg(lng)')} AS lng, {s6('avg(lat)')} AS lat FROM P GROUP BY g")
+def group_centroid(spark, d):
+    return A.centroid(_points(spark, d), "g").select("g", r6(F.col("lng")).alias("lng"), r6(F.col("lat")).alias("lat"))
+
+
+@query("center_mean", f"SELECT g, {s6('sum(lng*(w+1000))/sum(w+1000)')} AS lng, {s6('sum(lat*(w+1000))/sum(w+1000)')} AS lat FROM P GROUP BY g")
+def center_mean(spark, d):
+    got = A.center_mean(X.customers(spark, d).withColumn("w", F.col("w") + 1000), "w", "g")
+    return got.select("g", r6(F.col("lng")).alias("lng"), r6(F.col("lat")).alias("lat"))
+
+
+_run = "SELECT {g}fid, lng, lat, sum(c) OVER ({p} ORDER BY fid) AS run, sum(c) OVER ({p}) AS total FROM (SELECT *, 1 + fid % 7 AS c FROM P) q"
+
+
+@query("center_median", f"SELECT g, lng, lat FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY fid) AS r FROM ({_run.format(g='g, ', p='PARTITION BY g')}) a WHERE run * 2 >= total) b WHERE r = 1")
+def center_median(spark, d):
+    return A.center_median(X.customers(spark, d).withColumn("c", 1 + F.col("fid") % 7), "c", "g")
+
+
+@query("center_median_all", f"SELECT lng, lat FROM ({_run.format(g='', p='')}) a WHERE run * 2 >= total ORDER BY fid LIMIT 1")
+def center_median_all(spark, d):
+    return A.center_median(X.customers(spark, d).withColumn("c", 1 + F.col("fid") % 7), "c")
+
+
+@query("counts", "SELECT count(*) AS coords, count(DISTINCT fid) AS features, count(DISTINCT fid) AS geoms FROM L WHERE n >= 2")
+def counts(spark, d):
+    return A.counts(X.trajectories(spark, d))
+
+
+@query("first_coord", "SELECT lng, lat FROM L WHERE n >= 2 AND k = n AND fid = (SELECT min(fid) FROM L WHERE n >= 2)")
+def first_coord(spark, d):
+    return A.first_coord(X.trajectories(spark, d))
+
+
+@query("last_coord", "SELECT lng, lat FROM L WHERE n >= 2 AND k = n AND fid = (SELECT max(fid) FROM L WHERE n >= 2)")
+def last_coord(spark, d):
+    return A.last_coord(X.trajectories(spark, d))
+
+
+@query("coord_reduce", f"SELECT fid, {s6('sum(lng+lat)')} AS acc FROM L WHERE n >= 2 GROUP BY fid")
+def coord_reduce(spark, d):
+    return A.coord_reduce(X.trajectories(spark, d), F.lit(0.0), lambda acc, p: acc + p[0] + p[1]).select("fid", r6(F.col("acc")).alias("acc"))
+
+
+@query("combine", "SELECT g, 'MultiPoint' AS t, count(*) AS n FROM P GROUP BY g")
+def combine(spark, d):
+    return A.combine(_points(spark, d), "g").select("g", G.get_type("geom").alias("t"), G.coord_count("geom").cast("long").alias("n"))
+
+
+@query("dissolve", "SELECT 'all' AS k, 1 AS parts, 72.0*5*34*5 AS a")
+def dissolve(spark, d):
+    got = A.dissolve(X.zones(spark, d).select(F.col("zid").alias("fid"), F.lit("all").alias("k"), "geom"), "k")
+    return got.select("k", "geom").groupBy("k").agg(F.count(F.lit(1)).cast("int").alias("parts"), F.round(F.sum(_flat_area("geom")), 6).alias("a"))
+
+
+def _flat_area(g) -> Column:
+    cross = lambda e: e["a"][0] * e["b"][1] - e["b"][0] * e["a"][1]
+    return G.total(F.flatten(G._c(g)["coords"]), lambda r: G.total(G.edges(r), cross)) / 2
+
+
+@query("convex_hull")
+def convex_hull(spark, d):
+    return A.convex_hull(_points(spark, d), "g").select("g", r6(_flat_area("geom")).alias("a"))
+
+
+@query("directional_mean", "SELECT round(CASE WHEN m < 0 THEN m + 360 ELSE m END, 6) AS mean FROM (SELECT degrees(atan2(avg(sin(b)), avg(cos(b)))) AS m FROM (SELECT atan2(e.lng-s.lng, e.lat-s.lat) AS b FROM L s JOIN L e ON s.fid = e.fid AND s.k = 1 AND e.k = e.n AND s.n >= 2) q) r")
+def directional_mean(spark, d):
+    return stats.directional_mean(X.trajectories(spark, d)).select(F.round("mean", 6).alias("mean"))
+
+
+_sde = "SELECT avg(lng) AS lng, avg(lat) AS lat, var_pop(lng) AS vx, var_pop(lat) AS vy, covar_pop(lng, lat) AS c, 0.5*atan2(2*covar_pop(lng, lat), var_pop(lng)-var_pop(lat)) AS t FROM P"
+
+
+@query("standard_deviational_ellipse", f"SELECT {s6('lng')} AS lng, {s6('lat')} AS lat, {s6('2*sqrt(vx*power(cos(t),2)+2*c*sin(t)*cos(t)+vy*power(sin(t),2))')} AS axis_x, {s6('2*sqrt(vx*power(sin(t),2)-2*c*sin(t)*cos(t)+vy*power(cos(t),2))')} AS axis_y, {s6('degrees(t)')} AS rotation FROM ({_sde}) q")
+def standard_deviational_ellipse(spark, d):
+    got = stats.standard_deviational_ellipse(X.customers(spark, d))
+    return got.select(*(r6(F.col(c)).alias(c) for c in ("lng", "lat", "axis_x", "axis_y", "rotation")))
+
+
+@query("nearest_neighbor", f"SELECT {s6('avg(m)')} AS observed, {s6('0.5*sqrt(any_value(area)/count(*))')} AS expected FROM (SELECT a.sid, min(sqrt(power(a.slng-b.slng,2)+power(a.slat-b.slat,2))) AS m FROM S a JOIN S b ON a.sid <> b.sid GROUP BY a.sid) q, (SELECT (max(slng)-min(slng))*(max(slat)-min(slat)) AS area FROM S) r")
+def nearest_neighbor(spark, d):
+    s = X.suppliers(spark, d).select(F.col("sid").alias("fid"), F.col("slng").alias("lng"), F.col("slat").alias("lat"))
+    return stats.nearest_neighbor_analysis(s).select(r6(F.col("observed")).alias("observed"), r6(F.col("expected")).alias("expected"))
+
+
+_quad = "SELECT least(9, floor((lng-x0)/((x1-x0)/10))) AS c, least(9, floor((lat-y0)/((y1-y0)/10))) AS r, count(*) AS n FROM P, (SELECT min(lng) x0, max(lng) x1, min(lat) y0, max(lat) y1 FROM P) q GROUP BY 1, 2"
+
+
+@query("quadrat", f"SELECT {s6('sum(power(n-m, 2)/m) + (100-count(*))*any_value(m)')} AS chi2, 99 AS df FROM ({_quad}) a, (SELECT count(*)/100.0::DOUBLE AS m FROM P) b")
+def quadrat(spark, d):
+    return stats.quadrat_analysis(X.customers(spark, d)).select(r6(F.col("chi2")).alias("chi2"), "df")
+
+
+@query("moran_index", f"SELECT {s6('(SELECT sum((CASE WHEN d > 1e-15 THEN 1/d ELSE 1 END)*p) FROM (SELECT sqrt(power(a.slng-b.slng,2)+power(a.slat-b.slat,2)) AS d, (a.v-m)*(b.v-m) AS p FROM S a, S b, (SELECT avg(v) AS m FROM S) q WHERE a.sid <> b.sid) r) / (SELECT var_pop(v)*count(*) FROM S)')} AS i")
+def moran_index(spark, d):
+    s = X.suppliers(spark, d).select(F.col("sid").alias("fid"), F.col("slng").alias("lng"), F.col("slat").alias("lat"), "v")
+    return stats.moran_index(s, "v").select(r6(F.col("i")).alias("i"))
+
+
+_dw = "sqrt(power(a.slng-b.slng,2)+power(a.slat-b.slat,2))"
+
+
+@query("distance_weight", f"SELECT a.sid AS i, b.sid AS j, {s6(f'1/{_dw}')} AS w FROM S a, S b WHERE a.sid <> b.sid AND {_dw} > 0 AND {_dw} <= 30")
+def distance_weight(spark, d):
+    s = X.suppliers(spark, d).select(F.col("sid").alias("fid"), F.col("slng").alias("lng"), F.col("slat").alias("lat"))
+    return stats.distance_weight(s, 30.0).select("i", "j", r6(F.col("w")).alias("w"))
+
+
+# kernels
+
+_ov = "(greatest(0, least(x1, bx1)-greatest(x0, bx0))*greatest(0, least(y1, by1)-greatest(y0, by0)))"
+_za, _ba = "((x1-x0)*(y1-y0))", "((bx1-bx0)*(by1-by0))"
+
+
+def _clipping(name: str, op: str, sql: str) -> None:
+    @query(name, f"SELECT zid, sid, {s6(sql)} AS a FROM Z, B WHERE sid <= 10")
+    def run(spark, d):
+        pairs = _zone_boxes(spark, d).filter("sid <= 10")
+        return pairs.select("zid", "sid", K.combine("geom", "geom2", op).alias("g")).select("zid", "sid", F.coalesce(r6(_flat_area("g")), F.lit(0.0)).alias("a"))
+
+
+_clipping("polygon_union", "union", f"{_za}+{_ba}-{_ov}")
+_clipping("polygon_intersect", "intersect", _ov)
+_clipping("polygon_difference", "difference", f"{_za}-{_ov}")
+_clipping("polygon_xor", "xor", f"{_za}+{_ba}-2*{_ov}")
+
+
+@query("bbox_clip", f"SELECT sid, {s6('greatest(0, least(30, bx1)-greatest(-30, bx0))*greatest(0, least(30, by1)-greatest(-30, by0))')} AS a FROM B WHERE bx0 < 30 AND bx1 > -30 AND by0 < 30 AND by1 > -30")
+def bbox_clip(spark, d):
+    got = X.boxes(spark, d).select("sid", K.box_clip("geom2", (-30, -30, 30, 30), "corrected").alias("g")).filter("g is not null")
+    return got.select("sid", r6(_flat_area("g")).alias("a")).filter("a > 0")
+
+
+@query("simplify")
+def simplify(spark, d):
+    return X.trajectories(spark, d).select("fid", G.coord_count(K.simplify("geom", 20.0)).alias("n"))
+
+
+@query("line_offset")
+def line_offset(spark, d):
+    return X.trajectories(spark, d).select("fid", G.coord_count(K.line_offset("geom", 10.0)).alias("n"))
+
+
+@query("buffer", f"SELECT sid, {s6('(bx1-bx0)*(by1-by0)')} AS lower FROM B WHERE sid <= 10")
+def buffer(spark, d):
+    """A buffered box holds the box: what both have in common is the box."""
+    rows = X.boxes(spark, d).filter("sid <= 10").select("sid", "geom2", K.buffer("geom2", 50.0).alias("g"))
+    common = rows.select("sid", K.polygon_intersect("geom2", "g").alias("c"))
+    return common.select("sid", r6(_flat_area("c")).alias("lower"))
+
+
+@query("tangents", "SELECT sid, 2 AS n FROM B WHERE NOT (bx0 <= 0 AND bx1 >= 0 AND by0 <= 0 AND by1 >= 0)")
+def tangents(spark, d):
+    rows = X.boxes(spark, d).filter("NOT (bx0 <= 0 AND bx1 >= 0 AND by0 <= 0 AND by1 >= 0)")
+    return rows.select("sid", F.size(K.tangents(G.point(0.0, 0.0), "geom2")).alias("n"))
+
+
+@query("tessellate", "SELECT zid, 2 AS n, 72.0*34 AS a FROM Z")
+def tessellate(spark, d):
+    rows = X.zones(spark, d).select("zid", K.tessellate("geom").alias("ts"))
+    return rows.select("zid", F.size("ts").alias("n"), F.round(G.total(F.col("ts"), _flat_area), 6).alias("a"))
+
+
+@query("unkink", "SELECT zid, 2 AS n FROM Z")
+def unkink(spark, d):
+    bow = G.polygon(F.array(F.array(G.position("x0", "y0"), G.position("x1", "y1"), G.position("x1", "y0"), G.position("x0", "y1"), G.position("x0", "y0"))))
+    return X.zones(spark, d).select("zid", F.size(K.unkink(bow)).alias("n"))
+
+
+@query("tin")
+def tin(spark, d):
+    s = X.suppliers(spark, d).select(F.col("sid").alias("fid"), F.col("slng").alias("lng"), F.col("slat").alias("lat"), "v")
+    return surfaces.tin(s, "v").agg(F.count(F.lit(1)).alias("n"), r6(F.sum(_flat_area("geom"))).alias("a"))
+
+
+@query("voronoi", "SELECT count(*) AS n, 61200.0 AS a FROM (SELECT DISTINCT slng, slat FROM S) q")
+def voronoi(spark, d):
+    s = X.suppliers(spark, d).groupBy(F.col("slng").alias("lng"), F.col("slat").alias("lat")).agg(F.min("sid").alias("fid"))
+    return surfaces.voronoi(s, (-180, -85, 180, 85)).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(_flat_area("geom")), 4).alias("a"))
+
+
+@query("concave_hull")
+def concave_hull(spark, d):
+    s = X.suppliers(spark, d).select(F.col("slng").alias("lng"), F.col("slat").alias("lat"))
+    return surfaces.concave_hull(s, 120.0).select(r6(_flat_area("geom")).alias("a"))
+
+
+@query("polygonize", "SELECT 25 AS n, 72.0*34*25 AS a")
+def polygonize(spark, d):
+    got = surfaces.polygonize(X.zones(spark, d).select(F.col("zid").alias("fid"), "geom"))
+    return got.agg(F.count(F.lit(1)).cast("int").alias("n"), F.round(F.sum(_flat_area("geom")), 6).alias("a"))
+
+
+_idw = "CASE WHEN min(d) < 1e-15 THEN any_value(CASE WHEN d < 1e-15 THEN v END) ELSE sum(v/power(d, 2))/sum(1/power(d, 2)) END"
+
+
+@query("interpolate", "SELECT count(*) AS n FROM (SELECT unnest(range(CAST(floor((max(slng)-min(slng))/(5/cos(radians((min(slat)+max(slat))/2)))+1e-9)+1 AS BIGINT))) FROM S) a, (SELECT unnest(range(CAST(floor((max(slat)-min(slat))/(5/cos(radians((min(slat)+max(slat))/2)))+1e-9)+1 AS BIGINT))) FROM S) b")
+def interpolate(spark, d):
+    s = X.suppliers(spark, d).select(F.col("sid").alias("fid"), F.col("slng").alias("lng"), F.col("slat").alias("lat"), F.col("v").alias("z"))
+    return surfaces.interpolate(s, 5, "degrees").agg(F.count("z").alias("n"))
+
+
+@query("isolines")
+def isolines(spark, d):
+    s = X.suppliers(spark, d).select(F.col("sid").alias("fid"), F.col("slng").alias("lng"), F.col("slat").alias("lat"), F.col("v").alias("z"))
+    return surfaces.isolines(s, [2000.0, 4000.0]).groupBy("break").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("isobands")
+def isobands(spark, d):
+    s = X.suppliers(spark, d).select(F.col("sid").alias("fid"), F.col("slng").alias("lng"), F.col("slat").alias("lat"), F.col("v").alias("z"))
+    return surfaces.isobands(s, [-1e6, 3000.0, 1e6]).groupBy("break").agg(r6(F.sum(_flat_area("geom"))).alias("a"))
+
+
+# clusters and networks
+
+
+@query("kmeans", "SELECT count(*) AS n, 5 AS k FROM P")
+def kmeans(spark, d):
+    return clusters.kmeans(X.customers(spark, d).select("fid", "lng", "lat"), 5).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster").cast("int").alias("k"))
+
+
+_nb = "sqrt(power(a.slng-b.slng,2)+power(a.slat-b.slat,2)) <= 20"
+
+
+@query("dbscan", f", N AS (SELECT a.sid AS i, b.sid AS j FROM S a JOIN S b ON a.sid <> b.sid AND {_nb}), C AS (SELECT i FROM N GROUP BY i HAVING count(*) >= 3), E AS (SELECT N.i, N.j FROM N JOIN C x ON x.i = N.i JOIN C y ON y.i = N.j) SELECT (SELECT count(*) FROM C) AS core, (SELECT count(*) FROM S WHERE sid NOT IN (SELECT i FROM C) AND sid NOT IN (SELECT N.i FROM N JOIN C ON C.i = N.j)) AS noise")
+def dbscan(spark, d):
+    s = X.suppliers(spark, d).select(F.col("sid").alias("fid"), F.col("slng").alias("lng"), F.col("slat").alias("lat"))
+    left = s.select(F.col("fid").alias("i"), F.col("lng").alias("x"), F.col("lat").alias("y"))
+    right = s.select(F.col("fid").alias("j"), F.col("lng").alias("rx"), F.col("lat").alias("ry"))
+    core = joins_near(left, right).filter("i <> j").groupBy("i").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    noise = clusters.dbscan(s, 20.0, 3).agg(F.sum(F.when(F.col("cluster") == 0, 1).otherwise(0)).alias("noise"))
+    return core.agg(F.count(F.lit(1)).alias("core")).crossJoin(noise)
+
+
+def joins_near(left: DataFrame, right: DataFrame) -> DataFrame:
+    from meridia.plans.spatial_join import near_pairs
+
+    return near_pairs(left, right, 20.0)
+
+
+@query("shortest_path", f"SELECT {s6('2*sqrt(power(72.0, 2))+2*34.0')} AS cost")
+def shortest_path(spark, d):
+    """Over the edges of the zones, from one corner of the grid to another."""
+    net = X.zones(spark, d).select(F.col("zid").alias("fid"), G.polygon_to_line("geom").alias("geom"))
+    return graph.shortest_path(net, (-180.0, -85.0), (-36.0, -17.0)).select(r6(F.col("cost")).alias("cost"))
+
+
+# sources
+
+
+@query("geojson_roundtrip", f"SELECT fid, {s6('lng')} AS x, {s6('lat')} AS y, {s6('w')} AS w FROM P")
+def geojson_roundtrip(spark, d):
+    rows = _points(spark, d).select("fid", "geom", F.parse_json(F.to_json(F.struct("fid", "w"))).alias("props"))
+    docs = rows.select(geojson.feature_json("geom", "props").alias("value"))
+    back = geojson.from_json_column(docs)
+    return back.select(geojson.number("props", "fid").cast("long").alias("fid"), r6(G.x_of("geom")).alias("x"), r6(G.y_of("geom")).alias("y"), r6(geojson.number("props", "w")).alias("w"))
