@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import buffers, mix, pieces, prefix_hash, span_hash
-from .common import only, parallelism, release, table, written
+from .common import dropped, only, parallelism, release, table, written
 
 SPAN, GRAM = 50, 16
 SIDE = (SPAN - GRAM) // 2
@@ -343,9 +343,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     settled = written(dealt.mapInArrow(_settle, "doc long, number long, g long"), "settled")
     release(spark)
     # A document's verdicts are no more than its anchors.
-    verdicts = settled.distinct().groupBy("doc").agg(F.collect_list(F.when(F.col("g").isNull(), F.col("number"))).alias("numbers"), F.collect_list(F.when(F.col("g").isNotNull(), F.struct("number", "g"))).alias("asked"))
+    verdicts = settled.groupBy("doc").agg(F.collect_set(F.when(F.col("g").isNull(), F.col("number"))).alias("numbers"), F.collect_set(F.when(F.col("g").isNotNull(), F.struct("number", "g"))).alias("asked"))
     joined = rows.mapInArrow(_packed, "id long, z binary").join(verdicts, F.col("id") == F.col("doc"), "left").select("id", "z", "numbers", "asked")
     located = written(joined.mapInArrow(_located, "id long, z binary, spans binary, g long, lo long, context binary"), "located")
+    dropped(settled)
     release(spark)
     asked = located.filter("g is not null").select("g", "id", "lo", "context").repartition(parallelism(spark), "g").sortWithinPartitions("g")
     cuts = written(asked.mapInArrow(_refine(1 << 20), "id long, start long, stop long").distinct(), "refined")
