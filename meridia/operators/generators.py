@@ -174,3 +174,9 @@ def explode_segments(features: DataFrame) -> DataFrame:
 def explode_chunks(features: DataFrame, size: float, unit: str = "kilometers", mode: str = "reference") -> DataFrame:
     rest = [c for c in features.columns if c != "geom"]
     return features.select(*rest, F.posexplode(L.chunks("geom", size, unit, mode)).alias("chunk", "geom"))
+
+
+def random_positions(spark: SparkSession, n: int, box=WORLD, seed: int = 0) -> DataFrame:
+    """(fid, lng, lat): plain positions in a box."""
+    x1, y1, x2, y2 = _box(box)
+    return spark.range(n).select(F.col("id").alias("fid"), _uniform(x1, x2, seed).alias("lng"), _uniform(y1, y2, seed + 1).alias("lat"))
