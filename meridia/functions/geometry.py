@@ -387,23 +387,26 @@ def sector(x, y, radius, b1, b2, steps: int = 64, unit: str = "kilometers") -> C
     return polygon(F.array(F.concat(mid, _arc(x, y, radius, b1, b2, steps, unit), mid)))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is evaluated once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def bezier_spline(g, sharpness: float = 0.85, resolution: int = 10000) -> Column:
     """A spline through the line's vertices, of ``resolution`` + 1 positions."""
-    r, n = path(g), F.size(path(g))
-    at = lambda i: F.get(r, F.greatest(F.lit(0), F.least(n - 1, i)))
+    resolution = max(2, resolution)
 
-    def spot(k: Column) -> Column:
-        t = k * (n - 1) / resolution
-        i = F.least(F.floor(t).cast("int"), n - 2)
-        u = t - i
-        a, b, before, after = at(i), at(i + 1), at(i - 1), at(i + 2)
+    def axis(s: Column, d: int) -> Column:
+        a, b, u, v = s["a"][d], s["b"][d], s["u"], 1 - s["u"]
+        c1, c2 = a + (b - s["p"][d]) * sharpness, b - (s["q"][d] - a) * sharpness
+        return F.when(s["n"] == 2, a + (b - a) * u).otherwise(v * v * v * a + 3 * v * v * u * c1 + 3 * v * u * u * c2 + u * u * u * b)
 
-        def axis(d: int) -> Column:
-            c1, c2 = a[d] + (b[d] - before[d]) * sharpness, b[d] - (after[d] - a[d]) * sharpness
-            v = 1 - u
-            curve = v * v * v * a[d] + 3 * v * v * u * c1 + 3 * v * u * u * c2 + u * u * u * b[d]
-            return F.when(n == 2, a[d] + (b[d] - a[d]) * u).otherwise(curve)
-
-        return F.array(axis(0), axis(1))
+    def spot(r: Column, k: Column) -> Column:
+        n = F.size(r)
+        t = k * (n - 1) / resolution
+        step = F.struct(F.least(F.floor(t).cast("int"), n - 2).alias("i"), t.alias("t"), n.alias("n"))
+        at = lambda s: F.struct(F.get(r, F.greatest(F.lit(0), s["i"] - 1)).alias("p"), F.get(r, s["i"]).alias("a"), F.get(r, s["i"] + 1).alias("b"), F.get(r, F.least(s["n"] - 1, s["i"] + 2)).alias("q"), (s["t"] - s["i"]).alias("u"), s["n"].alias("n"))
+        return let(let(step, at), lambda s: F.array(axis(s, 0), axis(s, 1)))
 
-    return F.when(n >= 2, linestring(F.transform(F.sequence(F.lit(0), F.lit(resolution)), spot)))
+    curve = let(path(g), lambda r: F.transform(F.sequence(F.lit(0), F.lit(resolution)), lambda k: spot(r, k)))
+    return F.when(F.size(path(g)) >= 2, linestring(curve))

@@ -32,12 +32,16 @@ def kmeans(points: DataFrame, k: int, max_iter: int = 100, seed: int = 0) -> Dat
         d = F.array(*(F.struct(((F.col("lng") - x) * (F.col("lng") - x) + (F.col("lat") - y) * (F.col("lat") - y)).alias("d"), F.lit(i).alias("i")) for i, (x, y) in enumerate(c.tolist())))
         return df.withColumn("cluster", F.array_min(d)["i"])
 
+    # Places with their counts: fewer rows than points, read in every round.
+    places = points.groupBy("lng", "lat").agg(F.count(F.lit(1)).alias("n")).persist()
     for _ in range(max_iter):
-        means = {r.cluster: (r.x, r.y) for r in assigned(points, centres).groupBy("cluster").agg(F.avg("lng").alias("x"), F.avg("lat").alias("y")).collect()}
+        sums = assigned(places, centres).groupBy("cluster").agg(F.sum(F.col("lng") * F.col("n")).alias("x"), F.sum(F.col("lat") * F.col("n")).alias("y"), F.sum("n").alias("n")).collect()
+        means = {r.cluster: (r.x / r.n, r.y / r.n) for r in sums}
         after = np.array([means.get(i, tuple(centres[i])) for i in range(len(centres))])
-        if np.abs(after - centres).max() < 1e-12:
+        moved, centres = np.abs(after - centres).max(), after
+        if moved < 1e-9:
             break
-        centres = after
+    places.unpersist()
     at = lambda j: F.element_at(F.array(*(F.lit(float(c[j])) for c in centres)), F.col("cluster") + 1)
     return assigned(points, centres).withColumn("cx", at(0)).withColumn("cy", at(1))
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from meridia.functions import geometry as G
 from meridia.functions import points as P
-from meridia.schema import EARTH_RADIUS
 
 BOX = ("minx", "miny", "maxx", "maxy")
 
@@ -109,6 +108,3 @@ def sphere_nearest(points: DataFrame, others: DataFrame, k: int = 1, rounds: int
 def _can_checkpoint(spark) -> bool:
     return bool(spark.conf.get("spark.checkpoint.dir", None))
 
-
-def earth_radius() -> float:
-    return EARTH_RADIUS

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions import geometry as G
 from meridia.functions import lines as L
-from meridia.plans.spatial_join import near_pairs, nearest
+from meridia.plans.spatial_join import near_pairs
 
 BLOCK = 2048
 
@@ -197,4 +197,4 @@ def distance_weight(points: DataFrame, threshold: float = 0.0) -> DataFrame:
     return pairs.filter((F.col("i") != F.col("j")) & (F.col("d") > 0)).select("i", "j", (1 / F.col("d")).alias("w"))
 
 
-__all__ = ["chi_square_p", "directional_mean", "distance_weight", "moran_index", "nearest", "nearest_neighbor_analysis", "quadrat_analysis", "standard_deviational_ellipse"]
+__all__ = ["chi_square_p", "directional_mean", "distance_weight", "moran_index", "nearest_neighbor_analysis", "quadrat_analysis", "standard_deviational_ellipse"]

@@ -71,31 +71,3 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     own = left.withColumn("_cx", at("x")).withColumn("_cy", at("y"))
     pairs = own.join(spread, ["_cx", "_cy"]).withColumn("d", F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry")))
     return pairs.filter(F.col("d") <= radius).drop("_cx", "_cy")
-
-
-def nearest(left: DataFrame, right: DataFrame, key: str, cell: float | None = None, rounds: int = 40) -> DataFrame:
-    """For each row of ``left`` (key, x, y) its nearest row of ``right`` (rid, rx, ry) in the
-    plane: (key, rid, d); among equally near ones the smallest rid.
-
-    Cells are searched in rings that double: a round settles the rows that have a
-    neighbour within its radius, and only the others go on. Columns of ``left`` are the
-    three named.
-    """
-    spark = left.sparkSession
-    box = right.agg(F.min("rx"), F.max("rx"), F.min("ry"), F.max("ry"), F.count(F.lit(1))).first()
-    if not box[4]:
-        return left.select(key, F.lit(None).cast("long").alias("rid"), F.lit(None).cast("double").alias("d")).limit(0)
-    size = cell or max(1e-9, math.sqrt(max(box[1] - box[0], 1e-9) * max(box[3] - box[2], 1e-9) / box[4]) * 2)
-    todo, done = left.select(key, "x", "y"), None
-    for _ in range(rounds):
-        got = near_pairs(todo, right.select("rid", "rx", "ry"), size).groupBy(key).agg(F.min(F.struct("d", "rid")).alias("m")).select(key, F.col("m.rid").alias("rid"), F.col("m.d").alias("d")).checkpoint() if _checkpoints(spark) else near_pairs(todo, right.select("rid", "rx", "ry"), size).groupBy(key).agg(F.min(F.struct("d", "rid")).alias("m")).select(key, F.col("m.rid").alias("rid"), F.col("m.d").alias("d")).persist()
-        done = got if done is None else done.unionByName(got)
-        todo = todo.join(got.select(key), key, "left_anti")
-        if todo.isEmpty():
-            return done
-        size *= 4
-    raise RuntimeError("no neighbour found within the search's reach")
-
-
-def _checkpoints(spark) -> bool:
-    return bool(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined())
