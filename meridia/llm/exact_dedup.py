@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, dropped, only, table, written
+from .common import ascii_lower, only, table, written
 
 SALTS = 64
 
@@ -60,8 +60,6 @@ def exact_dedup(
         truth = clash.groupBy("h", "t").agg(F.count(F.lit(1)).alias("n"), best("id").alias("keep"), F.collect_set("salt").alias("salts"))
         truth = truth.select("h", "t", "n", "keep", F.explode("salts").alias("salt"))
         out = out.unionByName(clash.join(truth, ["h", "t", "salt"]).select("id", "keep", "n", F.sha2("t", 256).alias("sha")))
-    else:
-        out._meridia_groups = groups
     return out.select(
         F.col("id").alias("doc_id"),
         F.col("keep").alias("keep_id"),

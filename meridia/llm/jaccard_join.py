@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import PIECE, buffers, mix, pieces, shingle_hashes
+from .bytescan import buffers, mix, pieces, shingle_hashes
 from .common import only, parallelism, release, table, written
 from .graph import components
 
