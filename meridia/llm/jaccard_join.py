@@ -37,7 +37,7 @@ from .common import only, parallelism, release, table, written
 from .graph import components
 
 WIDTH, PERCENT = 5, 80
-FLUSH_KEYS = 2_000_000
+FLUSH_KEYS, SALTS = 2_000_000, 64
 
 
 def band_edges(limit: int = 1 << 31) -> list[int]:
@@ -356,8 +356,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = F.array(*(F.lit(int(x)) for x in EDGES[:60]))
     counts = {r.band: r.n for r in full.groupBy((F.size(F.filter(edges, lambda x: x <= F.col("n"))) - 1).alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()}
     # Equal sets are one class; its smallest id stands for it.
-    least = full.groupBy("cls").agg(F.min("id").alias("rep"))
-    member = written(full.select("id", "cls").join(least, "cls").select("id", "rep").groupBy("id").agg(F.min("rep").alias("rep")), "classes")
+    # The rows of a large class are dealt over its salts.
+    salted = full.select("id", "cls", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    least = salted.groupBy("cls").agg(F.min("id").alias("rep"), F.collect_set("salt").alias("salts"))
+    spread = least.select("cls", "rep", F.explode("salts").alias("salt"))
+    member = written(salted.join(spread, ["cls", "salt"]).groupBy("id").agg(F.min("rep").alias("rep")), "classes")
     reps = written(full.join(least.select(F.col("rep").alias("id"), "cls"), ["id", "cls"], "left_semi").select("id", "n", "bits").dropDuplicates(["id"]), "class-signatures")
 
     buckets = 4 * parallelism(spark)
