@@ -6,7 +6,9 @@ a task depends on its longest text and not on how many rows Spark sends at once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,25 @@ import pyarrow.compute as pc
 
 PIECE = 1 << 20
 
+# One allocator for all, whose free pages ``trimmed`` can hand back.
+pa.set_memory_pool(pa.system_memory_pool())
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: workers keep their pages
+    _LIBC = None
+
+
+def trimmed(rows: Iterator) -> Iterator:
+    """The same rows; afterwards, free memory goes back to the machine. Workers are kept for
+    later tasks, and several may wait side by side, so what they hold idle adds up."""
+    try:
+        yield from rows
+    finally:
+        _powers.clear()
+        gc.collect()
+        if _LIBC is not None and hasattr(_LIBC, "malloc_trim"):
+            _LIBC.malloc_trim(0)
+
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -25,6 +46,11 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
+def lean(scan: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that leaves a lean worker."""
+    return lambda batches: trimmed(scan(batches))
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes and its offsets; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import _LOWER, buffers, pieces, prefix_hash, span_hash
+from .bytescan import _LOWER, buffers, lean, pieces, prefix_hash, span_hash
 from .common import only, table
 
 WINDOW, STRIDE, ITEM = 64, 32, 32
@@ -272,7 +272,7 @@ def fitted(rows: DataFrame, block: list[tuple], seed: int = 7) -> Items | None:
     items = Items.of(block)
     if not len(items.terms):
         return None
-    counts = {r.term: r.n for r in rows.mapInArrow(_frequencies(items.terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    counts = {r.term: r.n for r in rows.mapInArrow(lean(_frequencies(items.terms)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     total = counts.pop(-1, 0)
     df = np.zeros(len(items.terms))
     df[list(counts)] = list(counts.values())
@@ -280,8 +280,8 @@ def fitted(rows: DataFrame, block: list[tuple], seed: int = 7) -> Items | None:
     if total < 200 or not (items.matrix().any(1)).all():  # a tiny corpus has no stop words to speak of
         items.weight = np.log((1 + total) / (1 + df)) + 1
     own = items.matrix()
-    parts = rows.mapInArrow(_sketch(items.terms, items.weight, RANK, seed), "term long, row binary")
-    summed = parts.repartition(min(16, len(items.terms)), "term").mapInArrow(_summed(RANK), "term long, row binary")
+    parts = rows.mapInArrow(lean(_sketch(items.terms, items.weight, RANK, seed)), "term long, row binary")
+    summed = parts.repartition(min(16, len(items.terms)), "term").mapInArrow(lean(_summed(RANK)), "term long, row binary")
     sketch = np.zeros((len(items.terms), RANK))
     for r in summed.toLocalIterator():
         sketch[r.term] = np.frombuffer(r.row, "<f4")
@@ -312,7 +312,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kind = pa.int64() if item_type == "bigint" else pa.int32() if item_type == "int" else pa.string()
     for block in item_blocks(only(benchmark, item=item_col, t=item_text)):
         if items := fitted(rows, block):
-            part = rows.mapInArrow(_found(items, cosine, lcs, paraphrase, kind), schema)
+            part = rows.mapInArrow(lean(_found(items, cosine, lcs, paraphrase, kind)), schema)
             found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema)
@@ -333,7 +333,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
                 gone = {t for t, _ in matches(*buffers(batch.column(column)), items, cosine, lcs, paraphrase)}
                 yield batch.take(pa.array([k for k in range(batch.num_rows) if k not in gone], pa.int64()))
 
-        docs = docs.mapInArrow(scan, docs.schema)
+        docs = docs.mapInArrow(lean(scan), docs.schema)
     return docs
 
 

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import buffers, mix, pieces, shingle_hashes
+from .bytescan import buffers, lean, mix, pieces, shingle_hashes
 from .common import only, parallelism, release, table, written
 from .graph import components
 
@@ -333,7 +333,7 @@ def _verified(width: int, percent: int):
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     one = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("z").alias("z_a")), "a")
     two = one.join(texts.select(F.col("id").alias("b"), F.col("z").alias("z_b")), "b")
-    return two.select("a", "b", "z_a", "z_b").mapInArrow(_verified(width, percent), "a long, b long")
+    return two.select("a", "b", "z_a", "z_b").mapInArrow(lean(_verified(width, percent)), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -351,7 +351,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("percent must be from 50 to 100")
     spark = docs.sparkSession
     rows = only(docs, id=id_col, t=text_col).select(F.col("id").cast("long").alias("id"), F.col("t").cast("string").alias("t"))
-    sigs = written(rows.mapInArrow(_signatures(width), "id long, n long, cls binary, bits binary"), "signatures")
+    sigs = written(rows.mapInArrow(lean(_signatures(width)), "id long, n long, cls binary, bits binary"), "signatures")
     full = sigs.filter("n > 0 and id is not null")
     edges = F.array(*(F.lit(int(x)) for x in EDGES[:60]))
     counts = {r.band: r.n for r in full.groupBy((F.size(F.filter(edges, lambda x: x <= F.col("n"))) - 1).alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -364,9 +364,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = written(full.join(least.select(F.col("rep").alias("id"), "cls"), ["id", "cls"], "left_semi").select("id", "n", "bits").dropDuplicates(["id"]), "class-signatures")
 
     buckets = 4 * parallelism(spark)
-    blobs = rows.mapInArrow(_key_blobs(width, percent, allocation(counts, percent), buckets, FLUSH_KEYS), "bucket long, blob binary")
+    blobs = rows.mapInArrow(lean(_key_blobs(width, percent, allocation(counts, percent), buckets, FLUSH_KEYS)), "bucket long, blob binary")
     dealt = blobs.repartition(parallelism(spark), "bucket").sortWithinPartitions("bucket")
-    groups = written(dealt.mapInArrow(_groups, "g long, lead long, id long"), "groups")
+    groups = written(dealt.mapInArrow(lean(_groups), "g long, lead long, id long"), "groups")
     release(spark)
 
     # Round 1: of each set's groups' leads, the nearest by bitmap.
@@ -374,10 +374,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = star.join(member.select("id", F.col("rep").alias("b")), "id").join(member.select(F.col("id").alias("lead"), F.col("rep").alias("a")), "lead")
     ends = named.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sided = ends.join(reps.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a").join(reps.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b")
-    near = written(sided.mapInArrow(_near(percent), "a long, b long, far long"), "near-pairs")
+    near = written(sided.mapInArrow(lean(_near(percent)), "a long, b long, far long"), "near-pairs")
     taking = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).union(groups.select("id")).union(groups.select("lead")).distinct()
     taking = taking.join(reps.select("id"), "id", "left_semi")
-    texts = written(rows.filter("id is not null").mapInArrow(_packed, "id long, z binary").join(taking, "id", "left_semi").dropDuplicates(["id"]), "texts", "none")
+    texts = written(rows.filter("id is not null").mapInArrow(lean(_packed), "id long, z binary").join(taking, "id", "left_semi").dropDuplicates(["id"]), "texts", "none")
     release(spark)
     best = near.groupBy("b").agg(F.min(F.struct("far", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     links = written(_verify(best, texts, width, percent), "links-1")
@@ -394,7 +394,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mixed = inside.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("g")
     crossing = inside.join(mixed, "g", "left_semi").distinct().join(reps.withColumnRenamed("id", "rep"), "rep")
     dealt = crossing.select("g", "rep", "component", "n", "bits").repartition("g").sortWithinPartitions("g")
-    more = written(dealt.mapInArrow(_crossing(percent), "a long, b long").union(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crossing-pairs")
+    more = written(dealt.mapInArrow(lean(_crossing(percent)), "a long, b long").union(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crossing-pairs")
     if not more.isEmpty():
         found = written(_verify(more, texts, width, percent), "links-2")
         first = written(components(links.unionByName(found)), "components-2")

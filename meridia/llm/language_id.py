@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import buffers, pieces
+from .bytescan import buffers, lean, pieces
 from .common import table, written
 
 BINS, MAX_LANGUAGES, LEAST_ROWS, LEAST = 1 << 14, 64, 10, 0.5
@@ -121,11 +121,11 @@ def identify(
         return rows.select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
     # The model is languages x bins numbers, however many rows there are.
     counts = np.full((len(languages), bins), 0.5)
-    learned = rows.filter("declared is not null").mapInArrow(_counted(languages, bins), "lang long, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
+    learned = rows.filter("declared is not null").mapInArrow(lean(_counted(languages, bins)), "lang long, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
     np.add.at(counts, (learned["lang"].to_numpy(int), learned["bin"].to_numpy(int)), learned["n"].to_numpy(float))
     model = np.log(counts / counts.sum(1, keepdims=True))
 
-    scored = written(rows.mapInArrow(_scored(model, bins), f"id {id_type}, declared string, host string, suffix string, scores array<double>, n long"), "language-scores")
+    scored = written(rows.mapInArrow(lean(_scored(model, bins)), f"id {id_type}, declared string, host string, suffix string, scores array<double>, n long"), "language-scores")
     guess = scored.filter("n > 0").withColumn("guess", _argmax(F.col("scores")))
     # What rows of each guess declare: at most languages x (languages + 1) counts.
     heard = guess.filter("declared is not null").groupBy("guess", F.when(F.col("declared").isin(languages), F.col("declared")).alias("declared")).agg(F.count(F.lit(1)).alias("n")).collect()

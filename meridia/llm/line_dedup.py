@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytescan import lean
 from .common import fresh_path, only, remove, table, written
 
 SPACES = b" \t\n\x0b\x0c\r"
@@ -55,7 +56,7 @@ class LineRuns:
 
     def keys(self, docs: DataFrame) -> DataFrame:
         """(h, id), once for each document and key."""
-        return docs.select(F.col("id").cast("long").alias("id"), "t").mapInArrow(_keys(self.least), "h binary, id long")
+        return docs.select(F.col("id").cast("long").alias("id"), "t").mapInArrow(lean(_keys(self.least)), "h binary, id long")
 
     def read(self) -> DataFrame | None:
         paths = [p for level in self.levels for p in level]
@@ -160,7 +161,7 @@ def line_dedup(
     gone = runs.keys(rows).join(repeated, "h").filter(~F.col("id").eqNullSafe(F.col("keep")))
     drops = gone.groupBy("id").agg(F.collect_set("h").alias("drops"))
     joined = rows.join(drops, rows["id"].eqNullSafe(drops["id"]), "left").select(rows["id"], "t", "drops")
-    out = joined.mapInArrow(_rewrite(least_chars), "id long, n_lines long, n_dropped long, kept string, sha string")
+    out = joined.mapInArrow(lean(_rewrite(least_chars)), "id long, n_lines long, n_dropped long, kept string, sha string")
     return out.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.col("kept").alias("kept_text"), F.col("sha").alias("kept_sha256"))
 
 

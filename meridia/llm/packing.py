@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bytescan import lean
 from .common import only, table, written
 from .token_counts import VOCABULARY, compiled
 
@@ -231,7 +232,7 @@ def pack(
     order = sorted(found, key=lambda x: (x is None, x))
     names = {} if buckets else {s: k for k, s in enumerate(order)}
     tokens = written(
-        rows.select("id", "t", "source", F.pmod(F.xxhash64("source"), F.lit(1 << 31)).alias("hash")).mapInArrow(_tokenised(names, buckets, vocabulary, end), f"id {id_type}, queue int, block int, start long, n long, ids binary"),
+        rows.select("id", "t", "source", F.pmod(F.xxhash64("source"), F.lit(1 << 31)).alias("hash")).mapInArrow(lean(_tokenised(names, buckets, vocabulary, end)), f"id {id_type}, queue int, block int, start long, n long, ids binary"),
         "tokens",
     )
     # One row for each task and queue, which is all that running sums are needed of.
@@ -246,7 +247,7 @@ def pack(
     if totals.count() <= BROADCAST_ROWS:
         bases = F.broadcast(bases)
     numbered = tokens.join(bases, ["queue", "block"]).select("id", "queue", (F.col("base") + F.col("start")).alias("begin"), "n", "ids")
-    pieces = numbered.mapInArrow(_cut(phases, sum(per_queue), length, compiled(vocabulary).narrow), f"id {id_type}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    pieces = numbered.mapInArrow(lean(_cut(phases, sum(per_queue), length, compiled(vocabulary).narrow)), f"id {id_type}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
     return pieces.withColumnRenamed("id", "doc_id")
 
 

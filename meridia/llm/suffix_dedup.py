@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import buffers, mix, pieces, prefix_hash, span_hash
+from .bytescan import buffers, lean, mix, pieces, prefix_hash, span_hash
 from .common import dropped, only, parallelism, release, table, written
 
 SPAN, GRAM = 50, 16
@@ -339,20 +339,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     rows = only(docs, id=id_col, t=text_col).select(F.col("id").cast("long").alias("id"), F.col("t").cast("string").alias("t"))
     buckets = 4 * parallelism(spark)
-    dealt = rows.mapInArrow(_deal(buckets, FLUSH), "bucket long, blob binary").repartition(parallelism(spark), "bucket").sortWithinPartitions("bucket")
-    settled = written(dealt.mapInArrow(_settle, "doc long, number long, g long"), "settled")
+    dealt = rows.mapInArrow(lean(_deal(buckets, FLUSH)), "bucket long, blob binary").repartition(parallelism(spark), "bucket").sortWithinPartitions("bucket")
+    settled = written(dealt.mapInArrow(lean(_settle), "doc long, number long, g long"), "settled")
     release(spark)
     # A document's verdicts are no more than its anchors.
     verdicts = settled.groupBy("doc").agg(F.collect_set(F.when(F.col("g").isNull(), F.col("number"))).alias("numbers"), F.collect_set(F.when(F.col("g").isNotNull(), F.struct("number", "g"))).alias("asked"))
-    joined = rows.mapInArrow(_packed, "id long, z binary").join(verdicts, F.col("id") == F.col("doc"), "left").select("id", "z", "numbers", "asked")
-    located = written(joined.mapInArrow(_located, "id long, z binary, spans binary, g long, lo long, context binary"), "located")
+    joined = rows.mapInArrow(lean(_packed), "id long, z binary").join(verdicts, F.col("id") == F.col("doc"), "left").select("id", "z", "numbers", "asked")
+    located = written(joined.mapInArrow(lean(_located), "id long, z binary, spans binary, g long, lo long, context binary"), "located")
     dropped(settled)
     release(spark)
     asked = located.filter("g is not null").select("g", "id", "lo", "context").repartition(parallelism(spark), "g").sortWithinPartitions("g")
-    cuts = written(asked.mapInArrow(_refine(1 << 20), "id long, start long, stop long").distinct(), "refined")
+    cuts = written(asked.mapInArrow(lean(_refine(1 << 20)), "id long, start long, stop long").distinct(), "refined")
     more = cuts.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("more")).withColumnRenamed("id", "doc")
     whole = located.filter("z is not null").select("id", "z", "spans").join(more, F.col("id") == F.col("doc"), "left").select("id", "z", "spans", "more")
-    out = whole.mapInArrow(_removed, "id long, n_bytes long, n_removed long, n_spans long, kept binary, sha string")
+    out = whole.mapInArrow(lean(_removed), "id long, n_bytes long, n_removed long, n_spans long, kept binary, sha string")
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", F.col("sha").alias("kept_sha256"))
 
 

@@ -37,12 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .bytescan import lean
 from .common import only, table
 
 VOCABULARY = "word_bpe_49k.json"
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
-CHUNK, LIMIT, MAX_WORDS = 1 << 16, 2048, 600_000
+CHUNK, LIMIT, MAX_WORDS = 1 << 16, 2048, 400_000
 
 
 #: The word pattern of the vocabulary, and the same over the characters of Latin-1 alone
@@ -205,7 +206,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = only(docs, id=id_col, t=text_col).select("id", F.col("t").cast("string").alias("t"))
-    out = rows.mapInArrow(_count(vocabulary, chunk), f"id {id_type}, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(lean(_count(vocabulary, chunk)), f"id {id_type}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
