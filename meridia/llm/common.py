@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ARROW_BYTES = 8 << 20
 _RUN = f"meridia-{uuid.uuid4().hex[:12]}"
 _OWN: dict[str, str] = {}
 
@@ -80,8 +81,15 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python workers in Arrow batches of about ``ARROW_BYTES``; the usual
+    limit counts rows, which says little about texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def only(df: DataFrame, **cols: str) -> DataFrame:
     """Just the named columns under private names, so that others can't clash."""
+    small_batches(df.sparkSession)
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in cols.items()))
 
 

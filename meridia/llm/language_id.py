@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import buffers, lean, pieces
-from .common import table, written
+from .common import small_batches, table, written
 
 BINS, MAX_LANGUAGES, LEAST_ROWS, LEAST = 1 << 14, 64, 10, 0.5
 STRENGTH = 20.0
@@ -111,7 +111,7 @@ def identify(
     Repeated rows get the same verdict; ties go to the first language by name. Other
     columns are not read; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     own = lambda x: F.lit(None).cast("string") if x is None else (F.col(f"`{x}`") if isinstance(x, str) else x).cast("string")
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), own(text).alias("t"), own(declared).alias("declared"), own(host).alias("host"), own(suffix).alias("suffix"))
