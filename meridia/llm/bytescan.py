@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 # One allocator for all, whose free pages ``trimmed`` can hand back.
 pa.set_memory_pool(pa.system_memory_pool())

@@ -37,7 +37,7 @@ from .common import only, parallelism, release, table, written
 from .graph import components
 
 WIDTH, PERCENT = 5, 80
-FLUSH_KEYS, SALTS = 1_000_000, 64
+FLUSH_KEYS, SALTS = 300_000, 64
 
 
 def band_edges(limit: int = 1 << 31) -> list[int]:
