@@ -1,16 +1,19 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts are read as passages, windows of ``WINDOW`` words every ``STRIDE`` words. Their
-terms are the words of the benchmark that are no stop words here (in over a fiftieth of
-the corpus's passages); what else a passage holds cannot tell it apart from the items.
+terms are the words of the benchmark; what else a passage holds cannot tell it apart from
+the items. However common a term is here, it keeps a weight: what is common may be so
+because copies of an item are.
 
 1. One pass counts in how many passages of the corpus each term is.
 2. One pass takes the randomised SVD's sketch: each task adds up A'(A R) over its TF-IDF
    passages for a fixed random matrix R of ``RANK`` columns, and the parts are summed.
    An orthonormal basis of the sketch's columns and of the block's item passages spans
    the latent space, so no item is lost in it.
-3. One pass projects all passages, takes those with a cosine of ``LEAST_COSINE`` or more
-   to a passage of an item as candidates and compares the words around with the item's:
+3. One pass projects all passages and takes as candidates those with a cosine of
+   ``LEAST_COSINE`` or more to a passage of an item, and those that hold ``HELD`` of its
+   words, whose cosine is low where most of these words are common in the corpus. It
+   compares the words around with the item's:
    a longest common subsequence of ``LEAST_LCS`` of the item's words is a match, as is one
    of ``PARAPHRASE_LCS`` if the item's answer, its last words, stands there too.
 
@@ -32,7 +35,7 @@ from .common import only, table
 
 WINDOW, STRIDE, ITEM = 64, 32, 32
 LEAST_COSINE, LEAST_LCS, PARAPHRASE_LCS, ANSWER = 0.15, 0.8, 0.6, 5
-STOP, BLOCK, RANK, LEAST_WORDS = 0.02, 512, 64, 5
+HELD, BLOCK, RANK, LEAST_WORDS = 0.6, 512, 64, 5
 
 _WORD = np.zeros(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -73,6 +76,9 @@ class Items:
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     basis: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     latent: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    #: Term by passage: what a term adds to a cosine in the latent space, and to the words held.
+    cosines: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    shares: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
     @classmethod
     def of(cls, rows: list[tuple]) -> Items:
@@ -84,11 +90,16 @@ class Items:
         spans = [(a - first[t], b - first[t]) for t, a, b in zip(text.tolist(), lo.tolist(), hi.tolist(), strict=True)]
         return cls([i for i, _ in rows], words, np.unique(hashes), text, spans, [Subsequence.of(w) for w in words])
 
-    def matrix(self) -> np.ndarray:
-        """TF-IDF rows of the items' passages, of unit length."""
+    def counts(self) -> np.ndarray:
+        """How often each term is in each of the items' passages."""
         out = np.zeros((len(self.passages), len(self.terms)), np.float32)
         for row, (item, (a, b)) in enumerate(zip(self.passages.tolist(), self.spans, strict=True)):
             np.add.at(out[row], np.searchsorted(self.terms, self.words[item][a:b]), 1)
+        return out
+
+    def matrix(self) -> np.ndarray:
+        """TF-IDF rows of the items' passages, of unit length."""
+        out = self.counts()
         out = np.where(out > 0, 1 + np.log(np.maximum(out, 1)), 0).astype(np.float32) * self.weight.astype(np.float32)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
@@ -124,13 +135,13 @@ def _frequencies(terms: np.ndarray):
 
 
 def _weighted(window: np.ndarray, term: np.ndarray, others: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sparse unit rows: (row, term, value, window of each row); passages without a term of
-    weight have none. Words that are no terms count in the length, as terms of middling weight."""
-    pair, tf = np.unique(window[weight[term] > 0] * len(weight) + term[weight[term] > 0], return_counts=True)
+    """Sparse unit rows: (row, term, value, window of each row); passages without a term
+    have none. Words that are no terms count in the length, as terms of middling weight."""
+    pair, tf = np.unique(window * len(weight) + term, return_counts=True)
     at, term = pair // len(weight), pair % len(weight)
     value = (1 + np.log(tf)) * weight[term]
     rows, row = np.unique(at, return_inverse=True)
-    norm = np.sqrt(np.bincount(row, value * value, len(rows)) + others[rows] * np.median(weight[weight > 0]) ** 2)
+    norm = np.sqrt(np.bincount(row, value * value, len(rows)) + others[rows] * np.median(weight) ** 2)
     return row, term, value / norm[row] if len(row) else value, rows
 
 
@@ -229,9 +240,9 @@ def matches(raw: np.ndarray, at: np.ndarray, items: Items, cosine: float, lcs: f
     for s in range(0, len(rows), 4096):
         cut = slice(*np.searchsorted(row, (s, s + 4096)))
         n = min(4096, len(rows) - s)
-        y = _project(row[cut] - s, term[cut], value[cut], n, items.basis)
-        near = y @ items.latent.T  # y is the projection of a unit vector: what the space misses counts against it
-        r, p = np.nonzero(near >= cosine)
+        near = _project(row[cut] - s, term[cut], value[cut], n, items.cosines)
+        held = _project(row[cut] - s, term[cut], np.ones(len(row[cut])), n, items.shares)
+        r, p = np.nonzero((near >= cosine) | (held >= HELD - 1e-6))
         item = items.passages[p]
         for t, w, i, c in zip(text[rows[s + r]].tolist(), rows[s + r].tolist(), item.tolist(), near[r, p].tolist(), strict=True):
             own = items.words[i]
@@ -276,10 +287,9 @@ def fitted(rows: DataFrame, block: list[tuple], seed: int = 7) -> Items | None:
     total = counts.pop(-1, 0)
     df = np.zeros(len(items.terms))
     df[list(counts)] = list(counts.values())
-    items.weight = np.where(df <= STOP * max(total, 1), np.log((1 + total) / (1 + df)) + 1, 0.0)
-    if total < 200 or not (items.matrix().any(1)).all():  # a tiny corpus has no stop words to speak of
-        items.weight = np.log((1 + total) / (1 + df)) + 1
-    own = items.matrix()
+    items.weight = np.log((1 + total) / (1 + df)) + 1
+    own, counts = items.matrix(), items.counts()
+    items.shares = np.ascontiguousarray((counts / counts.sum(1, keepdims=True)).T)
     parts = rows.mapInArrow(lean(_sketch(items.terms, items.weight, RANK, seed)), "term long, row binary")
     summed = parts.repartition(min(16, len(items.terms)), "term").mapInArrow(lean(_summed(RANK)), "term long, row binary")
     sketch = np.zeros((len(items.terms), RANK))
@@ -291,6 +301,9 @@ def fitted(rows: DataFrame, block: list[tuple], seed: int = 7) -> Items | None:
     items.basis = basis.astype(np.float32)
     latent = own @ items.basis
     items.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    # A passage is projected as a unit vector (what the space misses counts against it) and
+    # multiplied with the items' projections: both products are one matrix.
+    items.cosines = np.ascontiguousarray(items.basis @ items.latent.T)
     return items
 
 
@@ -299,7 +312,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cosine: float = LEAST_COSINE, lcs: float = LEAST_LCS, paraphrase: float = PARAPHRASE_LCS) -> DataFrame:
-    """One row for each match: doc_id, item_id, cosine, lcs_share (best of its passages).
+    """One row for each match: doc_id, item_id, cosine, lcs_share (best of its passages; the
+    cosine may be under ``cosine`` where the passage holds ``HELD`` of the item's words).
 
     Texts are read whole; a null text has no words and matches nothing. Items of under
     ``LEAST_WORDS`` words (or null) match nothing. Rows that repeat an id are matched

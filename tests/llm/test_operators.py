@@ -328,6 +328,19 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(table(spark, clean), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n_clean, n_copies", [(300, 60), (20, 300)])
+def test_hot_copies_of_an_item_are_found(spark, n_clean, n_copies):
+    """The item's words are common because of the copies, which lack just its rarest one."""
+    item = words(5, 29, 3000).split()
+    copy = " ".join([*item[:14], "other", *item[15:]])
+    item[14] = "unseen"
+    rows = [(k, words(1000 + k, 100, 6000)) for k in range(n_clean)]
+    rows += [(2000 + k, f"{words(4000 + k, 12, 6000)} {copy} {words(9000 + k, 12, 6000)}") for k in range(n_copies)]
+    bench = spark.createDataFrame([(2, " ".join(item))], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(table(spark, rows), bench).collect()}
+    assert got == {(2000 + k, 2) for k in range(n_copies)}
+
+
 def test_common_subsequence():
     r = random.Random(3)
     for _ in range(200):
