@@ -227,6 +227,21 @@ def test_secrets(spark):
     assert secrets.secret_spans(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("size", [20, 32])
+def test_random_secrets_of_each_class_are_found(spark, size):
+    r = random.Random(size)
+    digits, lower = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    classes = ["0123456789abcdef", "0123456789ABCDEF", digits + lower, digits + lower.upper(), digits + lower + lower.upper(), digits + lower + lower.upper() + "+/"]
+    rows = [(k, "a key " + "".join(r.choice(classes[k % 6]) for _ in range(size)) + " here") for k in range(900)]
+    rows = [(k, t) for k, t in rows if re.search("[0-9]", t) and re.search("[A-Za-z]", t[6:-5]) and not any(re.search(p, t[6:-5]) for p in secrets.ALLOW)]
+    low = [(1000, "key " + "deadbeef00" * 3), (1001, "key " + "abcabc123" * 3), (1002, "key " + "test_test_test_test_test_1"), (1003, "key " + "0" * 30 + "A")]
+    got = {x.doc_id: any(s.kind == 3 for s in x.found) for x in secrets.secret_spans(table(spark, rows + low)).collect()}
+    for kind in range(6):
+        own = [got[k] for k, _ in rows if k % 6 == kind]
+        assert len(own) > 100 and sum(own) >= 0.95 * len(own)
+    assert not any(got[k] for k, _ in low)
+
+
 def test_language(spark):
     lines = {"en": "the of and to in is it that was for", "de": "der die das und ist nicht ein mit von zu", "fr": "le la les des une est dans pour que qui"}
     r = random.Random(1)
