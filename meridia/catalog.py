@@ -118,7 +118,17 @@ _ro = f"(radians(lng)+{_d}*sin(radians(fid%360))/{_rq})"
 
 @query("rhumb_destination", f"SELECT fid, {s6(f'degrees(({_ro}+pi())-2*pi()*trunc(({_ro}+pi())/(2*pi()))-pi())')} AS x, {s6(f'degrees({_rl})')} AS y FROM P WHERE abs(lat) < 80 AND fid%180 NOT IN (90)")
 def rhumb_destination(spark, d):
-    return X.customers(spark, d).filter("abs(lat) < 80 AND fid%180 NOT IN (90)").select("fid", *_two(P.rhumb_destination("lng", "lat", 500.0, F.col("fid") % 360)))
+    return _rhumb_destinations(X.customers(spark, d).filter("abs(lat) < 80 AND fid%180 NOT IN (90)"))
+
+
+@query("rhumb_destination_all")
+def rhumb_destination_all(spark, d):
+    """Every point, due east and west and near the poles too, where the SQL's formula degenerates."""
+    return _rhumb_destinations(X.customers(spark, d))
+
+
+def _rhumb_destinations(points: DataFrame) -> DataFrame:
+    return points.select("fid", *_two(P.rhumb_destination("lng", "lat", 500.0, F.col("fid") % 360)))
 
 
 _bx, _by = "(cos(radians(lat2))*cos(radians(lng2-lng)))", "(cos(radians(lat2))*sin(radians(lng2-lng)))"
@@ -527,7 +537,16 @@ def nearest_each(spark, d):
 
 @query("line_intersections", "SELECT count(*) AS n FROM (SELECT DISTINCT round(h.slng, 10), round(v.slat, 10) FROM S h, S v WHERE h.sid <= 100 AND v.sid <= 100 AND abs(h.slng - v.slng) <= 20 AND abs(v.slat - h.slat) <= 20) q")
 def line_intersections(spark, d):
-    s = X.suppliers(spark, d).filter("sid <= 100")
+    return _crossings(X.suppliers(spark, d).filter("sid <= 100"))
+
+
+@query("line_intersections_all")
+def line_intersections_all(spark, d):
+    """Of every supplier's lines."""
+    return _crossings(X.suppliers(spark, d))
+
+
+def _crossings(s: DataFrame) -> DataFrame:
     up = s.select(G.linestring(F.array(G.position("slng", F.col("slat") - 20), G.position("slng", F.col("slat") + 20))).alias("geom"))
     flat = s.select(G.linestring(F.array(G.position(F.col("slng") - 20, "slat"), G.position(F.col("slng") + 20, "slat"))).alias("geom"))
     return joins.line_intersections(up, flat, cell=10.0).agg(F.count(F.lit(1)).alias("n"))
@@ -772,7 +791,13 @@ _za, _ba = "((x1-x0)*(y1-y0))", "((bx1-bx0)*(by1-by0))"
 def _clipping(name: str, op: str, sql: str) -> None:
     @query(name, f"SELECT zid, sid, {s6(sql)} AS a FROM Z, B WHERE sid <= 10")
     def run(spark, d):
-        pairs = _zone_boxes(spark, d).filter("sid <= 10")
+        return areas(_zone_boxes(spark, d).filter("sid <= 10"))
+
+    @query(f"{name}_all")
+    def run_all(spark, d):
+        return areas(_zone_boxes(spark, d))
+
+    def areas(pairs: DataFrame) -> DataFrame:
         return pairs.select("zid", "sid", K.combine("geom", "geom2", op).alias("g")).select("zid", "sid", F.coalesce(r6(_flat_area("g")), F.lit(0.0)).alias("a"))
 
 
@@ -801,7 +826,17 @@ def line_offset(spark, d):
 @query("buffer", f"SELECT sid, {s6('(bx1-bx0)*(by1-by0)')} AS lower FROM B WHERE sid <= 10")
 def buffer(spark, d):
     """A buffered box holds the box: what both have in common is the box."""
-    rows = X.boxes(spark, d).filter("sid <= 10").select("sid", "geom2", K.buffer("geom2", 50.0).alias("g"))
+    return _buffered(X.boxes(spark, d).filter("sid <= 10"))
+
+
+@query("buffer_all")
+def buffer_all(spark, d):
+    """Of every box."""
+    return _buffered(X.boxes(spark, d))
+
+
+def _buffered(boxes: DataFrame) -> DataFrame:
+    rows = boxes.select("sid", "geom2", K.buffer("geom2", 50.0).alias("g"))
     common = rows.select("sid", K.polygon_intersect("geom2", "g").alias("c"))
     return common.select("sid", r6(_flat_area("c")).alias("lower"))
 

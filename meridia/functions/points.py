@@ -93,10 +93,11 @@ def destination(x, y, dist, brg, unit: str = "kilometers", mode: str = "referenc
 
 
 def rhumb_destination(x, y, dist, brg, unit: str = "kilometers", mode: str = "reference") -> tuple[Column, Column]:
-    """(lng, lat) of the point at a distance along a line of constant bearing."""
+    """(lng, lat) of the point at a distance along a line of constant bearing. Due east and west
+    the quotient of two rounding errors would take the place of the parallel's stretch."""
     d, turn, lat, lng = angular_radians(_c(dist), unit), _rad(brg), _rad(y), _rad(x)
     lat2 = lat + d * F.cos(turn)
-    q = F.coalesce(_rhumb_q(lat, lat2), F.cos(lat))
+    q = F.coalesce(_rhumb_q(lat, lat2, 1e-10), F.cos(lat))
     lng2 = lng + F.try_divide(d * F.sin(turn), q)
     folded = F.greatest(F.lit(-PI / 2), F.least(F.lit(PI / 2), _wrapped(lat2, mode)))
     return F.degrees(_wrapped(lng2, mode)), F.degrees(folded)
