@@ -70,7 +70,7 @@ def _sides(raw: np.ndarray, sums: np.ndarray, at: np.ndarray, place: np.ndarray,
     return (span_hash(sums, lo, place + GRAM) >> np.uint64(40)).astype(np.uint16), (span_hash(sums, place, hi) >> np.uint64(40)).astype(np.uint16)
 
 
-ENTRY = np.dtype([("key", "<u8"), ("whole", "<u4"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("number", "<u4"), ("use", "u1")])
+ENTRY = np.dtype([("key", "<u8"), ("whole", "<u8"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("number", "<u4"), ("use", "u1")])
 
 
 def _squeezed(e: np.ndarray) -> bytes:
@@ -87,7 +87,7 @@ def _spread(blob: bytes) -> np.ndarray:
     key = np.zeros((n, 8), np.uint8)
     key[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, pos).reshape(-1, 6)
     out["key"], pos = key.view("<u8").ravel(), pos + 6 * n
-    for name, kind in (("whole", "<u4"), ("left", "<u2"), ("right", "<u2"), ("doc", "<u4" if small else "<i8"), ("number", "<u2" if short else "<u4"), ("use", "u1")):
+    for name, kind in (("whole", "<u8"), ("left", "<u2"), ("right", "<u2"), ("doc", "<u4" if small else "<i8"), ("number", "<u2" if short else "<u4"), ("use", "u1")):
         out[name] = np.frombuffer(blob, kind, n, pos)
         pos += n * np.dtype(kind).itemsize
     return out
@@ -144,7 +144,7 @@ def _deal(buckets: int, flush: int):
             sums = prefix_hash(raw)
             e = np.zeros(len(place), ENTRY)
             e["key"] = mix(span_hash(sums, place, place + GRAM))
-            e["whole"] = (span_hash(sums, lo, hi + SPAN) >> np.uint64(32)).astype(np.uint32)
+            e["whole"] = span_hash(sums, lo, hi + SPAN)  # all 64 bits: kinds around one hot passage differ by it alone
             e["left"], e["right"] = _sides(raw, sums, at, place, text)
             e["doc"] = ids[text]
             e["number"] = np.arange(len(text)) - np.searchsorted(text, text)

@@ -81,6 +81,14 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.suffix_dedup(table(spark, [(None, COPY), (1, COPY)])).filter("n_removed = 0").count() == 2
 
 
+def test_contexts_that_share_half_a_hash_are_not_equal(spark):
+    """Two contexts around one passage whose hashes agree in 32 bits, as do gram and sides."""
+    core = "bwhbkwvjjhyzbucaxnrktswywhtedueqraovfdqrtiunbggkzttanltrkxrg"
+    rows = [(1, core + "gtzpfsvnykjwluryuucpnhplsjnsdd"), (2, core + "ofvtxiwnttyuoilkvgcwvehlqrfmka")]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.suffix_dedup(table(spark, rows)).collect()}
+    assert got == removed(rows) and got[2][1] == 60
+
+
 def test_refinement_finds_equal_windows():
     raw = np.frombuffer((COPY + "|" + COPY[30:200]).encode(), np.uint8)
     position = np.arange(len(raw) - 49)
