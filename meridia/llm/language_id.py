@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .bytescan import buffers, lean, pieces
 from .common import small_batches, table, written
 
-BINS, MAX_LANGUAGES, LEAST_ROWS, LEAST = 1 << 14, 64, 10, 0.5
+BINS, LEAST = 1 << 14, 0.5
 STRENGTH = 20.0
 
 _LETTER = np.full(256, 32, np.uint8)
@@ -105,9 +105,9 @@ def identify(
     """One row per row of ``docs``: doc_id, lang (null if unknown), confidence, kept.
 
     ``declared``, ``host`` and ``suffix`` are columns or expressions; None or a null
-    value is no evidence. Languages are those that ``LEAST_ROWS`` rows declare (the
-    ``MAX_LANGUAGES`` most frequent); without any, every row is rejected. ``accept``
-    limits which are kept. A null or letterless text is rejected with confidence 0.
+    value is no evidence. Languages are all that any row declares, as they stand; the model
+    grows with their number. Without any, rows with letters are kept as unknown. ``accept``
+    limits which are kept (unknown is none of them). A null or letterless text is rejected with confidence 0.
     Repeated rows get the same verdict; ties go to the first language by name. Other
     columns are not read; an empty table gives an empty result.
     """
@@ -115,10 +115,10 @@ def identify(
     own = lambda x: F.lit(None).cast("string") if x is None else (F.col(f"`{x}`") if isinstance(x, str) else x).cast("string")
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), own(text).alias("t"), own(declared).alias("declared"), own(host).alias("host"), own(suffix).alias("suffix"))
-    common = rows.filter("declared is not null").groupBy("declared").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_ROWS)
-    languages = sorted(r.declared for r in common.orderBy(F.desc("n"), "declared").limit(MAX_LANGUAGES).collect())
+    languages = sorted(r.declared for r in rows.filter("declared is not null").select("declared").distinct().collect())
     if not languages:
-        return rows.select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
+        lettered = F.coalesce(F.rlike("t", F.lit(r"[A-Za-z]|[^\x00-\x7F]")), F.lit(False)) & F.lit(accept is None)
+        return rows.select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), lettered.alias("kept"))
     # The model is languages x bins numbers, however many rows there are.
     counts = np.full((len(languages), bins), 0.5)
     learned = rows.filter("declared is not null").mapInArrow(lean(_counted(languages, bins)), "lang long, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
@@ -127,30 +127,34 @@ def identify(
 
     scored = written(rows.mapInArrow(lean(_scored(model, bins)), f"id {id_type}, declared string, host string, suffix string, scores array<double>, n long"), "language-scores")
     guess = scored.filter("n > 0").withColumn("guess", _argmax(F.col("scores")))
-    # What rows of each guess declare: at most languages x (languages + 1) counts.
-    heard = guess.filter("declared is not null").groupBy("guess", F.when(F.col("declared").isin(languages), F.col("declared")).alias("declared")).agg(F.count(F.lit(1)).alias("n")).collect()
+    # What rows of each guess declare: at most languages x languages counts.
+    heard = guess.filter("declared is not null").groupBy("guess", "declared").agg(F.count(F.lit(1)).alias("n")).collect()
+    place = {x: k for k, x in enumerate(languages)}
     says = np.full((len(languages), len(languages) + 1), 0.5)
     for r in heard:
-        says[r.guess, languages.index(r.declared) if r.declared else -1] += r.n
+        says[r.guess, place[r.declared]] += r.n
     says = np.log(says / says.sum(1, keepdims=True))
-    table_of = F.create_map(*(x for k, lang in enumerate([*languages, ""]) for x in (F.lit(lang), F.array(*(F.lit(float(v)) for v in says[:, k])))))
-
-    at = lambda prefix: [F.sum((F.col("guess") == k).cast("double")).alias(f"{prefix}{k}") for k in range(len(languages))]
-    overall = guess.agg(*at("g")).first()
-    total = sum(x or 0 for x in overall)
-    base = [((x or 0) + 1) / (total + len(languages)) for x in overall]
-    per_suffix = guess.groupBy("suffix").agg(*at("s"))
-    per_host = guess.groupBy("host", "suffix").agg(*at("h"))
-    whole = lambda p: sum((F.col(f"{p}{k}") for k in range(len(languages))), F.lit(0.0))
-    of_suffix = [(F.col(f"s{k}") + STRENGTH * base[k]) / (whole("s") + STRENGTH) for k in range(len(languages))]
-    suffixes = per_suffix.select("suffix", F.array(*of_suffix).alias("up"))
-    prior = F.array(*(F.log((F.col(f"h{k}") + STRENGTH * F.col("up")[k]) / (whole("h") + STRENGTH)) for k in range(len(languages))))
+    table_of = docs.sparkSession.createDataFrame([(x, says[:, k].tolist()) for x, k in place.items()], "declared string, word array<double>")
+
+    def counted(*by: str) -> DataFrame:
+        each = guess.groupBy(*by, "guess").agg(F.count(F.lit(1)).alias("n"))
+        return each.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("guess", F.col("n").cast("double")))).alias("c"), F.sum("n").cast("double").alias("whole"))
+
+    overall = {r.guess: r.n for r in guess.groupBy("guess").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(overall.values())
+    base = [(overall.get(k, 0) + 1) / (total + len(languages)) for k in range(len(languages))]
+    numbers = F.sequence(F.lit(0), F.lit(len(languages) - 1))
+    smoothed = lambda up: F.transform(numbers, lambda k: (F.coalesce(F.try_element_at("c", k), F.lit(0.0)) + STRENGTH * F.get(up, k)) / (F.col("whole") + STRENGTH))
+    suffixes = counted("suffix").select("suffix", smoothed(F.array(*(F.lit(x) for x in base))).alias("up"))
+    per_host = counted("host", "suffix")
+    prior = F.transform(smoothed(F.col("up")), lambda p: F.log(p))
     hosts = per_host.join(suffixes, per_host["suffix"].eqNullSafe(suffixes["suffix"])).select("host", per_host["suffix"], prior.alias("prior"))
     joined = scored.join(hosts, scored["host"].eqNullSafe(hosts["host"]) & scored["suffix"].eqNullSafe(hosts["suffix"]), "left").select("id", "declared", "scores", "n", "prior")
+    joined = joined.join(F.broadcast(table_of), "declared", "left")
 
     flat = F.array(*(F.lit(math.log(x)) for x in base))
     none = F.array_repeat(F.lit(0.0), len(languages))
-    word = F.when(F.col("declared").isNull(), none).otherwise(F.coalesce(table_of[F.col("declared")], table_of[F.lit("")]))
+    word = F.coalesce("word", none)
     fused = F.zip_with(F.zip_with("scores", F.coalesce("prior", flat), lambda a, b: a + b), word, lambda a, b: a + b)
     judged = joined.select("id", "n", fused.alias("p")).withColumn("top", F.array_max("p"))
     mass = F.aggregate("p", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top")))

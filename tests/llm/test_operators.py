@@ -263,6 +263,21 @@ def test_language(spark):
     assert {x.lang for x in only} == {"de"}
 
 
+def test_every_declared_language_counts(spark):
+    """More languages than any cap, some of few rows; and no declarations at all."""
+    rows = []
+    for x in range(70):
+        r = random.Random(x)
+        own = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)]
+        rows += [(100 * x + k, " ".join(r.choice(own) for _ in range(60)), f"l{x:02}", f"h{x}") for k in range(3 if x > 65 else 10)]
+    got = {r.doc_id: r for r in language_id.identify(table(spark, rows)).collect()}
+    assert all(got[k].lang == lang and got[k].kept for k, _, lang, _ in rows)
+    none = [(1, "some words", None, "a"), (2, "12 %", None, "a"), (3, None, None, None), (4, "é", None, None)]
+    got = {r.doc_id: (r.lang, r.kept) for r in language_id.identify(table(spark, none)).collect()}
+    assert got == {1: (None, True), 2: (None, False), 3: (None, False), 4: (None, True)}
+    assert language_id.identify(table(spark, none), accept=("en",)).filter("kept").count() == 0
+
+
 def test_page_evidence(spark):
     def page(k, x):
         return (k, f"http://www.{x}{k % 3}.example.{x}/p?q=1", f'<html lang="{x}-XX"><body><p>{"der die das und" if x == "de" else "the of and to"}</p></body></html>')
