@@ -4,8 +4,9 @@
 documents that hold it and the largest id among them. Each batch of documents adds one
 run, sorted by hash and written to the shared folder; ``fan`` runs of a level are
 merged into one run of the next, so n batches leave O(fan * log n) runs and a key is
-rewritten O(log n) times. A batch is anti-joined to the runs before its own run is
-added, which tells the lines never seen before; both sides are sorted by hash.
+rewritten O(log n) times. ``unseen`` anti-joins a batch to the runs there are, which
+tells the lines never seen before; ``line_dedup`` does not take that step, since its
+result needs counts, to which known keys add as much as new ones.
 """
 
 from __future__ import annotations
