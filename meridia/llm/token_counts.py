@@ -5,10 +5,12 @@
 * The splitter reads characters. Its states are the places between pre-tokens and
   inside a run of letters or of other signs; its transitions are a regular expression
   over the classes of the tokenizer's own pattern.
-* The word layer is a trie of words, determinised as it is met: the path of a word ends
-  in a state whose transition back to the splitter emits the number of tokens (or the
-  ids) of the word's byte-pair merges. It is filled by the tokenizer library itself and
-  emptied when it holds ``MAX_WORDS`` paths, like the cache of any lazy automaton.
+* The word layer is no automaton but a memo, a dict of words to the ids of their
+  byte-pair merges. It is filled by the tokenizer library itself and emptied when it
+  holds ``MAX_WORDS`` words. No merges are compiled into states.
+
+Texts that hold a special string of the tokenizer go around all this: the library
+counts them alone.
 
 Texts are cut into chunks. Where a chunk begins, its state is unknown, so a chunk is
 read as a *state map*: up to its first reset (a position that no pre-token spans,
