@@ -13,11 +13,14 @@ into too few segments for the argument indexes a prefix of its tokens besides; o
 such sets can miss each other otherwise.
 
 Candidates are never listed pair by pair. Sets with a key form a group, and every set is
-first compared with one member of its groups. Pairs of a group are looked at only
-between the components that this leaves, and only those whose parity bitmaps (whose
-Hamming distance never exceeds the symmetric difference) permit a link are listed and
-verified on the sets themselves. What the components need is complete then; links
-inside a component aren't listed.
+first compared with one member of its groups; the links contract to components. Of
+what is left, each group gives a forest of the pairs across components that sizes and
+parity bitmaps (whose Hamming distance never exceeds the symmetric difference) permit.
+The forests' components are families: any two sets that could still link are in one.
+A family's sets are compared on their tokens, and only links that join components are
+given out, so every stage makes rows in proportion to those it reads. Groups and
+families beyond ``TILE`` tokens are compared by pairs of blocks, one tile at a time.
+What the components need is complete then; links inside a component aren't listed.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ from .graph import components
 
 WIDTH, PERCENT = 5, 80
 FLUSH_KEYS, SALTS = 300_000, 64
+#: Bytes of keys in a bucket, and tokens in a block of a group that is compared by tiles.
+BUCKET, TILE = 32 << 20, 1 << 20
 
 
 def band_edges(limit: int = 1 << 31) -> list[int]:
@@ -88,6 +93,15 @@ def allocation(counts: dict[int, int], percent: int = PERCENT, shared: float = 0
     return out
 
 
+def key_bytes(counts: dict[int, int], percent: int, deletions: dict[int, bool]) -> int:
+    """About what the keys of all sets take, 14 bytes for each of two bands' worth."""
+    out = 0.0
+    for band, n in counts.items():
+        m = segments(band, percent, deletions[band])
+        out += 28 * n * m * (1 + float(EDGES[band]) / m if deletions[band] else 1)
+    return int(out)
+
+
 def band_of(size: int) -> int:
     return int(np.searchsorted(EDGES, size, "right")) - 1
 
@@ -126,9 +140,9 @@ def index_keys(tokens: np.ndarray, percent: int, deletions: dict[int, bool]) ->
     return np.unique(np.concatenate(out))
 
 
-def parity(tokens: np.ndarray) -> bytes:
-    """Bitmap of the parities of the tokens' low bits, about two bits for each token."""
-    bits = max(6, (2 * len(tokens) - 1).bit_length() if len(tokens) else 6)
+def parity(tokens: np.ndarray, each: int = 2) -> bytes:
+    """Bitmap of the parities of the tokens' low bits, about ``each`` bits for each token."""
+    bits = max(6, (each * len(tokens) - 1).bit_length() if len(tokens) else 6)
     return np.packbits(np.bincount((tokens & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits) & 1, bitorder="little").tobytes()
 
 
@@ -145,7 +159,8 @@ def apart(a: bytes, b: bytes) -> int:
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    at = np.minimum(b.searchsorted(a), len(b) - 1)
+    both = int((b[at] == a).sum())
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
@@ -258,51 +273,101 @@ def _near(percent: int):
     return scan
 
 
-def _crossing(percent: int):
-    """Between the components within each group (rows sorted by g): the pairs that
-    sizes and bitmaps permit. Bitmaps of a group are compared as one matrix, in blocks."""
-
-    def pairs(rows: list[tuple]) -> list[tuple]:
-        rows = sorted({r[1]: r for r in rows}.values(), key=lambda r: r[3])
-        comp, size = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-        if len(rows) < 2 or comp.min() == comp.max():
-            return []
-        out = []
-        for k, (_, a, c, n, bits) in enumerate(rows):
-            stop = int(np.searchsorted(size, n * 100 // percent, "right"))
-            other = np.flatnonzero(comp[k + 1 : stop] != c) + k + 1
-            mine = np.frombuffer(bits, np.uint8)
-            for width in {len(rows[j][4]) for j in other.tolist()}:
-                at = np.array([j for j in other.tolist() if len(rows[j][4]) == width])
-                low = min(width, len(mine))
-                for s in range(0, len(at), 4096):
-                    some = at[s : s + 4096]
-                    theirs = np.frombuffer(b"".join(rows[j][4] for j in some.tolist()), np.uint8).reshape(len(some), -1, low)
-                    far = np.bitwise_count(np.bitwise_xor.reduce(theirs, 1) ^ folded(mine, low)).sum(1)
-                    near = some[far <= (n + size[some]) * (100 - percent) // (100 + percent)]
-                    out += [(a, rows[j][1]) for j in near.tolist()]
-        return out
+def _tiled(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """``rows`` with their group's tile (lo, hi) and their own block in it, tile by tile.
+
+    A group whose ``n`` (a small set counts for ``most`` / 4096) add up to ``most`` or less
+    is one tile. A larger one is dealt over blocks by ``rep``, and each two blocks are a
+    tile, so no task holds more than two.
+    """
+    blocks = rows.groupBy(by).agg(F.ceil(F.sum(F.greatest("n", F.lit(most // 4096))) / most).cast("int").alias("blocks")).filter("blocks > 1")
+    dealt = rows.join(blocks, by, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("blocks", "other")
+    return dealt.repartition(by, "lo", "hi").sortWithinPartitions(by, "lo", "hi")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """The rows of each tile, without the group's number."""
+    now, rows = None, []
+    for batch in batches:
+        for key, row in zip(zip(*(batch[k].to_pylist() for k in (batch.schema.names[0], "lo", "hi")), strict=True), zip(*(batch[k].to_pylist() for k in columns), strict=True), strict=True):
+            if key != now and rows:
+                yield rows
+                rows = []
+            now = key
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _joining(rows: list[tuple], bits: list[bytes], apart: np.ndarray, percent: int, test=None) -> list[tuple[int, int]]:
+    """Pairs (of places in ``rows``: rep, own block, size; in order of size) that sizes,
+    bitmaps and ``test`` permit, of different ``apart`` and not joined by earlier pairs:
+    a forest, so no more than rows. Bitmaps grow with sizes, so equal widths are runs."""
+    size, own = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    width = np.array([len(x) for x in bits])
+    whole = own.min() == own.max()
+    label = np.arange(len(rows)) if test is None else apart.copy()
+    tables = {w: (int(np.searchsorted(width, w)), np.frombuffer(b"".join(bits[int(np.searchsorted(width, w)) : int(np.searchsorted(width, w, "right"))]), np.uint8).reshape(-1, w)) for w in np.unique(width).tolist()}
+    out = []
+    for k in range(len(rows) - 1):
+        stop = int(np.searchsorted(size, size[k] * 100 // percent, "right"))
+        good = (label[k + 1 : stop] != label[k]) & (apart[k + 1 : stop] != apart[k])
+        if not whole:
+            good &= own[k + 1 : stop] != own[k]
+        other = np.flatnonzero(good) + k + 1
+        low = int(width[k])
+        mine = np.frombuffer(bits[k], np.uint8)
+        for w in np.unique(width[other]).tolist():
+            start, held = tables[w]
+            some = other[width[other] == w]
+            theirs = held[some - start]
+            if w > low:
+                theirs = np.bitwise_xor.reduce(theirs.reshape(len(some), -1, low), 1)
+            far = np.bitwise_count(theirs ^ mine).sum(1)
+            fine = far <= (size[k] + size[some]) * (100 - percent) // (100 + percent)
+            for j in some[fine][np.argsort(far[fine], kind="stable")].tolist():
+                if label[j] != label[k] and (test is None or test(k, j)):
+                    out.append((k, j))
+                    label[label == label[j]] = label[k]
+    return out
+
+
+def _candidates(percent: int):
+    """A forest of the pairs, across components, that sizes and bitmaps permit in each tile."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        for rows in _runs(batches, ("rep", "own", "n", "component", "bits")):
+            rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: r[2])
+            if len({r[3] for r in rows}) > 1:
+                made = _joining(rows, [r[4] for r in rows], np.array([r[3] for r in rows]), percent)
+                yield pa.record_batch({"a": pa.array([rows[x][0] for x, _ in made], pa.int64()), "b": pa.array([rows[y][0] for _, y in made], pa.int64())})
 
-        def made() -> pa.RecordBatch:
-            found = pairs(rows)
-            return pa.record_batch({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+    return scan
 
-        for batch in batches:
-            for row in zip(*(batch[k].to_pylist() for k in ("g", "rep", "component", "n", "bits")), strict=True):
-                if row[0] != now and rows:
-                    yield made()
-                    rows = []
-                now = row[0]
-                rows.append(row)
-        if rows:
-            yield made()
+
+def _links(width: int, percent: int):
+    """The links, verified on the sets, that join components within each tile of a family."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, ("rep", "own", "n", "component", "z")):
+            rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: r[2])
+            if len({r[3] for r in rows}) < 2:
+                continue
+            sets = [_tokens(r[4], width) for r in rows]
+            rows = [r[:4] for r in rows]
+            made = _joining(rows, [parity(x, 16) for x in sets], np.unique([r[3] for r in rows], return_inverse=True)[1], percent, lambda x, y, sets=sets: linked(sets[x], sets[y], percent))
+            yield pa.record_batch({"a": pa.array([rows[x][0] for x, _ in made], pa.int64()), "b": pa.array([rows[y][0] for _, y in made], pa.int64())})
 
     return scan
 
 
+def _tokens(z: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8)
+    return next(shingle_hashes(raw, np.array([0, len(raw)]), width))
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1)
     for batch in pieces(batches, "t"):
@@ -311,18 +376,12 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(width: int, percent: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-
-        def tokens(z: bytes) -> np.ndarray:
-            raw = np.frombuffer(unpack.decompress(z), np.uint8)
-            return next(shingle_hashes(raw, np.array([0, len(raw)]), width))
-
         for batch in batches:
             keep, last, own = [], None, None
             for k, (a, x, y) in enumerate(zip(batch["a"].to_pylist(), batch["z_a"], batch["z_b"], strict=True)):
                 if a != last:
-                    last, own = a, tokens(x.as_py())
-                if linked(own, tokens(y.as_py()), percent):
+                    last, own = a, _tokens(x.as_py(), width)
+                if linked(own, _tokens(y.as_py(), width), percent):
                     keep.append(k)
             at = pa.array(keep, pa.int64())
             yield pa.record_batch([batch["a"].take(at), batch["b"].take(at)], names=["a", "b"])
@@ -363,9 +422,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     member = written(salted.join(spread, ["cls", "salt"]).groupBy("id").agg(F.min("rep").alias("rep")), "classes")
     reps = written(full.join(least.select(F.col("rep").alias("id"), "cls"), ["id", "cls"], "left_semi").select("id", "n", "bits").dropDuplicates(["id"]), "class-signatures")
 
-    buckets = 4 * parallelism(spark)
-    blobs = rows.mapInArrow(lean(_key_blobs(width, percent, allocation(counts, percent), buckets, FLUSH_KEYS)), "bucket long, blob binary")
-    dealt = blobs.repartition(parallelism(spark), "bucket").sortWithinPartitions("bucket")
+    # A task holds one bucket at a time, so their number follows the keys' bytes.
+    plan = allocation(counts, percent)
+    buckets = max(4 * parallelism(spark), key_bytes(counts, percent, plan) // BUCKET)
+    blobs = rows.mapInArrow(lean(_key_blobs(width, percent, plan, buckets, FLUSH_KEYS)), "bucket long, blob binary")
+    dealt = blobs.repartition(max(parallelism(spark), buckets // 4), "bucket").sortWithinPartitions("bucket")
     groups = written(dealt.mapInArrow(lean(_groups), "g long, lead long, id long"), "groups")
     release(spark)
 
@@ -375,28 +436,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ends = named.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sided = ends.join(reps.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a").join(reps.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b")
     near = written(sided.mapInArrow(lean(_near(percent)), "a long, b long, far long"), "near-pairs")
-    taking = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).union(groups.select("id")).union(groups.select("lead")).distinct()
-    taking = taking.join(reps.select("id"), "id", "left_semi")
+    # A group names any member of a class; its text is the representative's.
+    taking = groups.select("id").union(groups.select("lead")).distinct().join(member, "id").select(F.col("rep").alias("id")).distinct()
     texts = written(rows.filter("id is not null").mapInArrow(lean(_packed), "id long, z binary").join(taking, "id", "left_semi").dropDuplicates(["id"]), "texts", "none")
     release(spark)
     best = near.groupBy("b").agg(F.min(F.struct("far", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     links = written(_verify(best, texts, width, percent), "links-1")
     first = written(components(links), "components-1")
 
-    # Round 2: pairs that share a group but no component.
+    # Round 2: what else could link shares a group but no component. Candidates, joined up,
+    # make families; a set is in one family, where it is compared on its tokens.
     home = written(member.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("id", "rep", F.coalesce("component", "rep").alias("component")), "homes")
-    own = home.filter("id = rep")
-    of = lambda side: own.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}"))
+    own = home.filter("id = rep").select("rep", "component")
+    of = lambda side: own.select(F.col("rep").alias(side), F.col("component").alias(f"c_{side}"))
     rest = near.join(of("a"), "a").join(of("b"), "b").filter("c_a <> c_b").select("a", "b")
     # A group of two has but the pair compared before.
     large = groups.join(groups.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g"), "g", "left_semi")
     inside = large.select("g", "id").union(large.select("g", F.col("lead").alias("id"))).distinct().join(home, "id").select("g", "rep", "component")
     mixed = inside.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("g")
-    crossing = inside.join(mixed, "g", "left_semi").distinct().join(reps.withColumnRenamed("id", "rep"), "rep")
-    dealt = crossing.select("g", "rep", "component", "n", "bits").repartition("g").sortWithinPartitions("g")
-    more = written(dealt.mapInArrow(lean(_crossing(percent)), "a long, b long").union(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crossing-pairs")
-    if not more.isEmpty():
-        found = written(_verify(more, texts, width, percent), "links-2")
+    crossing = inside.join(mixed, "g", "left_semi").distinct().join(reps.withColumnRenamed("id", "rep"), "rep").select("g", "rep", "component", "n", "bits")
+    forest = written(_tiled(crossing, "g", TILE).mapInArrow(lean(_candidates(percent)), "a long, b long").union(rest).distinct(), "candidates")
+    if not forest.isEmpty():
+        family = components(forest).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+        facing = family.join(own, "rep").join(reps.select(F.col("id").alias("rep"), "n"), "rep").join(texts.withColumnRenamed("id", "rep"), "rep")
+        found = written(_tiled(facing.select("family", "rep", "component", "n", "z"), "family", TILE).mapInArrow(lean(_links(width, percent)), "a long, b long"), "links-2")
         first = written(components(links.unionByName(found)), "components-2")
         home = member.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     out = sigs.select("id", "n").join(home.select("id", "component"), "id", "left")

@@ -329,6 +329,22 @@ def test_jaccard_join(spark):
     assert [x.component_id for x in jaccard_join.jaccard_components(table(spark, [(None, COPY), (3, COPY)])).orderBy("doc_id").collect()] == [None, 3]
 
 
+def test_a_large_family_in_tiles(spark, monkeypatch):
+    """300 copies whose edits leave pairs on both sides of the threshold, dealt over tiles."""
+    r = random.Random(16)
+    base, rows = words(2000, 110, 5000).split(), []
+    for k in range(300):
+        copy = list(base)
+        for _ in range(r.choice([1, 2, 2, 2, 3])):
+            copy[r.randrange(len(copy))] = f"new{r.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    want = linked_components(rows)
+    assert 5 < len({c for _, c in want.values()}) < 200
+    monkeypatch.setattr(jaccard_join, "TILE", 9000)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(table(spark, rows)).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("deletion", [False, True])
 def test_similar_sets_share_a_key(deletion):
     rng = np.random.default_rng(8)
