@@ -30,9 +30,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, only, table, written
+from .common import fresh_path, only, parallelism, table, written
 
 LEAST_REVISIT, BLOCK, FILE_BYTES = 100, 256, 256 << 20
+SHARD_BLOCKS, READ_BYTES = 4096, 16 << 20
 INDEX = "key string, page_id long, file string, offset long, length long"
 
 
@@ -140,30 +141,35 @@ class Archive:
     folder: str
     blocks: DataFrame  # shard, block, first, n, data
     directory: DataFrame  # shard, firsts: the sparse directory, one row for each shard
+    n_bytes: int  # of all captures
 
 
 def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_revisit: int = LEAST_REVISIT, block: int = BLOCK, file_bytes: int = FILE_BYTES) -> Archive:
     """Archives every row of ``pages`` and builds the index.
 
     A null html counts as empty, a null url as the empty URL. Rows without an id are
-    archived as responses. Rows that repeat an id and payload are one capture each;
-    the first id's rows are all responses. Other columns are not read.
+    archived as responses. Rows that repeat an id are one capture each, whatever their
+    payloads; of equal payloads the first id's rows are all responses. Other columns are
+    not read.
     """
     spark = pages.sparkSession
     rows = only(pages, id=id_col, url=url_col, html=html_col).select(F.col("id").cast("long").alias("id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
     # Digests only are grouped, and combine before the shuffle, however many copies there are.
+    # A capture is known by id and digest: rows that repeat an id may differ in payload.
     firsts = rows.filter((F.octet_length("html") >= least_revisit) & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    revisits = rows.filter(F.octet_length("html") >= least_revisit).select("id", "digest").join(firsts, "digest").filter("id > first").select("id", F.col("first").alias("refers_to")).distinct()
-    joined = rows.join(revisits, "id", "left")
+    revisits = rows.filter(F.octet_length("html") >= least_revisit).select("id", "digest").join(firsts, "digest").filter("id > first").select("id", "digest", F.col("first").alias("refers_to")).distinct()
+    joined = rows.join(revisits, ["id", "digest"], "left")
     folder = fresh_path(spark, "warc")
     captures = written(joined.select("id", "url", "html", "digest", "refers_to").mapInArrow(_archive(folder, file_bytes), INDEX), "warc-captures")
-    shards = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), captures.count() // (4 * block) + 1))
+    n_rows, n_bytes = captures.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    # As many as there are tasks for, unless a directory would grow beyond SHARD_BLOCKS keys.
+    shards = max(min(parallelism(spark), n_rows // (4 * block) + 1), n_rows // (SHARD_BLOCKS * block) + 1)
     # The id and offset break ties, so a hot URL is dealt over several shards.
     ordered = captures.repartitionByRange(shards, "key", "file", "offset").sortWithinPartitions("key", "file", "offset")
     blocks = written(ordered.mapInArrow(_blocks(block), "shard int, block int, first string, n int, data binary"), "warc-blocks")
     directory = blocks.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("block", "first"))).alias("d")).select("shard", F.col("d.first").alias("firsts"))
-    return Archive(folder, blocks, directory)
+    return Archive(folder, blocks, directory, n_bytes)
 
 
 def _route(edges: list[str]):
@@ -183,23 +189,33 @@ def _route(edges: list[str]):
 
 
 def _block_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by shard, its directory first: (shard, block, key) for each key's blocks."""
+    now, firsts = None, []
     for batch in batches:
         keys, shards, numbers = [], [], []
-        for key, shard, firsts in zip(batch["key"].to_pylist(), batch["shard"].to_pylist(), batch["firsts"].to_pylist(), strict=True):
-            for b in range(max(0, bisect.bisect_left(firsts, key) - 1), bisect.bisect_right(firsts, key)):
-                keys.append(key)
-                shards.append(shard)
-                numbers.append(b)
+        for shard, key, own in zip(*(batch[k].to_pylist() for k in ("shard", "key", "firsts")), strict=True):
+            if own is not None:
+                now, firsts = shard, own
+            elif shard == now:
+                for b in range(max(0, bisect.bisect_left(firsts, key) - 1), bisect.bisect_right(firsts, key)):
+                    keys.append(key)
+                    shards.append(shard)
+                    numbers.append(b)
         yield pa.record_batch({"key": pa.array(keys, pa.string()), "shard": pa.array(shards, pa.int32()), "block": pa.array(numbers, pa.int32())})
 
 
 def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by block, its data first: the captures of each key that follows."""
+    now, rows, keys = None, [], []
     for batch in batches:
         found = []
-        for wanted, data in zip(batch["keys"].to_pylist(), batch["data"], strict=True):
-            rows = block_rows(data.as_py())
-            keys = [r[0] for r in rows]
-            for key in wanted:
+        for shard, block, key, data in zip(batch["shard"].to_pylist(), batch["block"].to_pylist(), batch["key"].to_pylist(), batch["data"], strict=True):
+            if data.is_valid:
+                now, rows, keys = (shard, block), data.as_py(), None
+            elif (shard, block) == now:
+                if keys is None:  # a block that no key asks for stays packed
+                    rows = block_rows(rows)
+                    keys = [r[0] for r in rows]
                 found += rows[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
         cols = list(zip(*found, strict=True)) or [[]] * 5
         yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["key", "page_id", "file", "offset", "length"])
@@ -236,11 +252,18 @@ def lookup(archive: Archive, urls: DataFrame, url_col: str = "url", payloads: bo
     edges = sorted((r.first, r.shard) for r in archive.directory.select(F.element_at("firsts", 1).alias("first"), "shard").collect())
     order = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(edges)], "at int, shard int") if edges else spark.createDataFrame([], "at int, shard int")
     keys = only(urls, url=url_col).mapInArrow(_route([x for x, _ in edges]), "key string, at int").distinct()
-    wanted = keys.join(order, "at").join(archive.directory, "shard").select("key", "shard", "firsts").mapInArrow(_block_of, "key string, shard int, block int")
-    # A block holds few distinct keys, so the keys wanted of it are few too.
-    grouped = wanted.groupBy("shard", "block").agg(F.collect_set("key").alias("keys"))
-    captures = grouped.join(archive.blocks, ["shard", "block"]).select("keys", "data").mapInArrow(_captures, INDEX)
-    ordered = captures.repartition(F.col("file")).sortWithinPartitions("file", "offset")
+    # A directory, and a block, comes to its keys once: they meet in sorted partitions.
+    none = F.lit(None).cast
+    wanted = keys.join(F.broadcast(order), "at").select("shard", F.lit(1).alias("turn"), "key", none("array<string>").alias("firsts"))
+    first = archive.directory.select("shard", F.lit(0).alias("turn"), none("string").alias("key"), "firsts")
+    tasks = parallelism(spark)
+    located = first.unionByName(wanted).repartition(tasks, "shard").sortWithinPartitions("shard", "turn").select("shard", "key", "firsts").mapInArrow(_block_of, "key string, shard int, block int")
+    asked = located.select("shard", "block", F.lit(1).alias("turn"), "key", none("binary").alias("data"))
+    blocks = archive.blocks.select("shard", "block", F.lit(0).alias("turn"), none("string").alias("key"), "data")
+    met = blocks.unionByName(asked).repartition(tasks, "shard", "block").sortWithinPartitions("shard", "block", "turn")
+    captures = met.select("shard", "block", "key", "data").mapInArrow(_captures, INDEX)
+    # Ranges of READ_BYTES of a file are read by one task, in order.
+    ordered = captures.withColumn("stretch", F.floor(F.col("offset") / READ_BYTES)).repartition(max(tasks, archive.n_bytes // (4 * READ_BYTES)), "file", "stretch").sortWithinPartitions("file", "offset")
     schema = "page_id long, url string, record_type string, refers_to long, digest string, n_bytes long" + (", payload binary" if payloads else "")
     return ordered.select("file", "offset", "length").mapInArrow(_read(archive.folder, payloads), schema)
 
