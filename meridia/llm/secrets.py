@@ -19,6 +19,7 @@ becomes a span, unless the allow-list suppresses it. Base spans are never suppre
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
-WINDOW = 20
+WINDOW, RUN = 20, 256
 #: Bits per character that a window must reach, by character class: the lowest hundredth of
 #: windows of 20 characters drawn at random from 16, 36 and 62 or 64 symbols is below.
 HEX_BITS, ALNUM_BITS, BASE64_BITS = 2.9, 3.4, 3.64
@@ -48,53 +49,69 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0
     """Array of (start, kind, end, text) of the matches whose ``group`` has ``least`` characters."""
     lit = F.lit(pattern)
     match, gaps = F.regexp_extract_all(text, lit, F.lit(0)), F.split(text, pattern, -1)
-    if group:
-        pairs = F.arrays_zip(gaps, match, F.regexp_extract_all(text, lit, F.lit(group)))
-        gap, whole, tested = "0", "1", "2"
-    else:
-        pairs = F.arrays_zip(gaps, match)
-        gap, whole, tested = "0", "1", "1"
+    extra = (F.regexp_extract_all(text, lit, F.lit(group)),) if group else ()
+    tested = "2" if group else "1"
+    size = lambda x: F.length(x["0"]) + F.length(x["1"])
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x[gap])
-        end = start + F.length(x[whole])
-        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x[whole].alias("text")).cast(SPAN[6:-1]))
-        found = F.when(F.length(x[tested]) >= least, F.concat(acc["found"], span)).otherwise(acc["found"])
-        return F.when(x[whole].isNull(), acc).otherwise(F.struct(end.alias("at"), found.alias("found")))
+        start = acc["at"] + F.length(x["0"])
+        end = start + F.length(x["1"])
+        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["1"].alias("text")).cast(SPAN[6:-1]))
+        return F.struct(end.alias("at"), F.when(F.length(x[tested]) >= least, F.concat(acc["found"], span)).otherwise(acc["found"]).alias("found"))
 
     none = F.array().cast(SPAN)
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
-    found = F.aggregate(pairs, start, step, lambda acc: acc["found"])
-    return F.when(F.rlike(text, lit), found).otherwise(none)
+
+    def located(pairs: Column) -> Column:
+        # Runs of RUN matches are summed first, so that no array grows match by match.
+        runs = F.transform(F.sequence(F.lit(0), F.size(pairs).cast("int") - 1, F.lit(RUN)), lambda k: F.slice(pairs, k + 1, RUN))
+        return _let(runs, lambda runs: _let(_begins(F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda acc, x: acc + size(x)))), lambda begins: F.flatten(F.transform(runs, lambda run, k: F.aggregate(run, F.struct(F.get(begins, k).alias("at"), none.alias("found")), step, lambda acc: acc["found"])))))
+
+    # The last gap has no match after it.
+    pairs = F.slice(F.arrays_zip(gaps, match, *extra), 1, F.size(match))
+    return F.when(F.rlike(text, lit), _let(pairs, lambda p: F.when(F.size(p) > 0, located(p)).otherwise(none))).otherwise(none)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _begins(lengths: Column) -> Column:
+    """The sums of the lengths before each."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins"))
+    return F.aggregate(lengths, none, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["begins"], F.array(acc["at"])).alias("begins")), lambda acc: acc["begins"])
 
 
 def _window_bits(word: Column, alphabet: str, window: int) -> Column:
     """The highest entropy (bits per character) of the windows of ``word``.
 
     State: a count for each character of the alphabet, the running sum of c*log2(c),
-    and the least such sum of a whole window, which is the most entropy.
+    and the least such sum of a whole window, which is the most entropy. The word is
+    cut into characters once; each step knows the one that enters and the one that leaves.
     """
     size, log_w = len(alphabet), math.log2(window)
     gain = F.lit([0.0] + [(c + 1) * math.log2(c + 1) - c * math.log2(c) for c in range(1, window + 1)])
+    number = F.map_from_arrays(F.lit(list(alphabet)), F.lit(list(range(1, size + 1))))
 
     def put(counts: Column, at: Column, by: int) -> Column:
         return F.concat(F.slice(counts, 1, at - 1), F.array(F.element_at(counts, at) + by), F.slice(counts, at + 1, size))
 
-    def step(acc: Column, i: Column) -> Column:
-        come = F.instr(F.lit(alphabet), F.substring(word, i, F.lit(1)))
-        had = F.element_at(acc["counts"], come)
-        total = acc["total"] + F.element_at(gain, had + 1)
+    def step(acc: Column, x: Column) -> Column:
+        come, go = x["come"], x["go"]
         grown = put(acc["counts"], come, 1)
-        full = i > window
-        go = F.when(full, F.instr(F.lit(alphabet), F.substring(word, i - window, F.lit(1)))).otherwise(F.lit(1))
-        left = F.element_at(grown, go)
-        counts = F.when(full, put(grown, go, -1)).otherwise(grown)
-        total = F.when(full, total - F.element_at(gain, F.greatest(left, F.lit(1)))).otherwise(total)
-        least = F.when(i >= window, F.least(acc["least"], total)).otherwise(acc["least"])
-        return F.struct(counts.alias("counts"), total.alias("total"), least.alias("least"))
-
-    zero = F.struct(F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0.0).alias("total"), F.lit(1e9).alias("least"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), zero, step, lambda acc: F.lit(log_w) - acc["least"] / window)
+        total = acc["total"] + F.element_at(gain, F.element_at(acc["counts"], come) + 1)
+        full = go > 0
+        out = F.greatest(go, F.lit(1))
+        total = F.when(full, total - F.element_at(gain, F.greatest(F.element_at(grown, out), F.lit(1)))).otherwise(total)
+        counts = F.when(full, put(grown, out, -1)).otherwise(grown)
+        seen = acc["seen"] + 1
+        least = F.when(seen >= window, F.least(acc["least"], total)).otherwise(acc["least"])
+        return F.struct(counts.alias("counts"), total.alias("total"), least.alias("least"), seen.alias("seen"))
+
+    zero = F.struct(F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0.0).alias("total"), F.lit(1e9).alias("least"), F.lit(0).alias("seen"))
+    codes = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.element_at(number, c))
+    late = lambda own: F.slice(F.concat(F.array_repeat(F.lit(0), window), own), F.lit(1), F.size(own))
+    return _let(codes, lambda own: F.aggregate(F.zip_with(own, late(own), lambda a, b: F.struct(a.alias("come"), b.alias("go"))), zero, step, lambda acc: F.lit(log_w) - acc["least"] / window))
 
 
 def _entropy_spans(text: Column, window: int, hex_bits: float, alnum_bits: float, base64_bits: float, allow: tuple[str, ...]) -> Column:

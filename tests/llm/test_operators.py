@@ -250,6 +250,16 @@ def test_random_secrets_of_each_class_are_found(spark, size):
     assert not any(got[k] for k, _ in low)
 
 
+def test_a_long_candidate_is_read_once(spark):
+    """A data URI of 100,000 characters, and a text of 3,000 matches."""
+    r = random.Random(12)
+    uri = "".join(r.choice(secrets.ALPHABET[:64]) for _ in range(100_000))
+    many = " ".join(f"{r.getrandbits(128):032x}" for _ in range(3000))
+    got = {x.doc_id: x for x in secrets.secret_spans(table(spark, [(1, uri), (2, many)])).collect()}
+    assert [(x.start, x.kind, x.end) for x in got[1].found if x.kind == 3] == [(0, 3, 100_000)]
+    assert [(x.start, x.end) for x in got[2].base] == [(33 * k, 33 * k + 32) for k in range(3000)]
+
+
 def test_language(spark):
     lines = {"en": "the of and to in is it that was for", "de": "der die das und ist nicht ein mit von zu", "fr": "le la les des une est dans pour que qui"}
     r = random.Random(1)
@@ -425,6 +435,14 @@ def test_warc(spark):
     assert warc.lookup(warc.write_archive(pages.limit(0)), pages).count() == 0
 
 
+def test_repeated_page_ids_keep_their_payloads(spark):
+    shared, own = "<p>" + "s" * 200, "<p>" + "o" * 200
+    rows = [(1, "http://a.example.com/", shared), (5, "http://b.example.com/", shared), (5, "http://c.example.com/", own)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [(x.page_id, x.record_type, x.refers_to, x.payload) for x in warc.lookup(warc.write_archive(pages), pages).collect()]
+    assert sorted(got, key=str) == sorted([(1, "response", None, shared.encode()), (5, "revisit", 1, None), (5, "response", None, own.encode())], key=str)
+
+
 def test_surt():
     assert warc.surt("http://www.Example.com:80/a?b#c") == "com,example,www)/a?b" and warc.surt("https://x.org:8443") == "org,x:8443)/" and warc.surt(None) == ""
 
