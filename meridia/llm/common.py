@@ -24,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of this run inside ``spark.checkpoint.dir``.
 
-    Where that setting is missing (local tests) a temporary folder takes its place.
+    In a local session without that setting a temporary folder takes its place; on a
+    cluster, where executors would not share it, the setting must be there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="meridia-")
