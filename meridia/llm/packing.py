@@ -26,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytescan import lean
+from .bytescan import buffers, lean, pieces
 from .common import only, table, written
-from .token_counts import VOCABULARY, compiled
+from .transducer import VOCABULARY, compiled
 
 LENGTH, END, MAX_QUEUES = 2048, 1, 4096
 #: Shares are multiples of 1/DEN, so that products with any round's number fit 64 bits.
 DEN = 1 << 28
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, ROUND_CELLS = 1_000_000, 1 << 19
 
 
 @dataclass
@@ -103,8 +103,9 @@ def placed(phases: list[Phase], queue: int, cuts: np.ndarray) -> tuple[np.ndarra
             continue
         share = int(p.whole[queue]) * DEN + int(p.part[queue])
         first, last = -(-(a + 1) * DEN // share) - 1, -(-b * DEN // share) - 1
-        for r0 in range(first, last + 1, 1 << 16):  # bounded, however long the stretch
-            r = np.arange(r0, min(last + 1, r0 + (1 << 16)) + 1, dtype=np.int64)
+        step = max(1, ROUND_CELLS // len(p.sent))  # bounded, however long the stretch and however many queues
+        for r0 in range(first, last + 1, step):
+            r = np.arange(r0, min(last + 1, r0 + step) + 1, dtype=np.int64)
             owed = p.owed(r)
             mine = owed[:, queue]
             begin = np.maximum(mine[:-1], a)
@@ -122,20 +123,18 @@ def _tokenised(names: dict, buckets: int, vocabulary: str, end: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, block = compiled(vocabulary), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
-        last = np.asarray([end], "<u4").tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                queues, starts, sizes, blobs = [], [], [], []
-                for text, source, hashed in zip(part["t"].to_pylist(), part["source"].to_pylist(), part["hash"].to_pylist(), strict=True):
-                    raw = automaton.ids(text or "") + last
-                    queue = hashed % buckets if buckets else names[source]
-                    queues.append(queue)
-                    starts.append(seen.get(queue, 0))
-                    sizes.append(len(raw) // 4)
-                    seen[queue] = starts[-1] + sizes[-1]
-                    blobs.append(np.frombuffer(raw, "<u4").astype("<u2").tobytes() if automaton.narrow else raw)
-                yield pa.record_batch([part["id"], pa.array(queues, pa.int32()), pa.array([block] * len(queues), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=["id", "queue", "block", "start", "n", "ids"])
+        last = np.array([end], automaton.kind).tobytes()
+        for part in pieces(batches, "t"):
+            flat, edge = automaton.tokens(*buffers(part["t"]))
+            queues, starts, sizes, blobs = [], [], [], []
+            for source, hashed, a, b in zip(part["source"].to_pylist(), part["hash"].to_pylist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                queue = hashed % buckets if buckets else names[source]
+                queues.append(queue)
+                starts.append(seen.get(queue, 0))
+                sizes.append(b - a + 1)
+                seen[queue] = starts[-1] + sizes[-1]
+                blobs.append(flat[a:b].tobytes() + last)
+            yield pa.record_batch([part["id"], pa.array(queues, pa.int32()), pa.array([block] * len(queues), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=["id", "queue", "block", "start", "n", "ids"])
 
     return scan
 

@@ -1,134 +1,35 @@
 """Token counts by a compiled finite-state tokenizer.
 
-``compiled`` turns a tokenizer file into a deterministic transducer in two layers:
-
-* The splitter reads characters. Its states are the places between pre-tokens and
-  inside a run of letters or of other signs; its transitions are a regular expression
-  over the classes of the tokenizer's own pattern.
-* The word layer is no automaton but a memo, a dict of words to the ids of their
-  byte-pair merges. It is filled by the tokenizer library itself and emptied when it
-  holds ``MAX_WORDS`` words. No merges are compiled into states.
-
-Texts that hold a special string of the tokenizer go around all this: the library
-counts them alone.
-
-Texts are cut into chunks. Where a chunk begins, its state is unknown, so a chunk is
-read as a *state map*: up to its first reset (a position that no pre-token spans,
-whatever came before) it keeps the characters, since what they emit depends on the
-state that comes in; after its last reset it keeps the characters that the next chunk's
-beginning may extend; between the two it has a plain number. Two maps compose into one
-of the same kind, composition is associative, and a parallel prefix scan (in rounds,
-each pairing neighbours) leaves the map of the whole text, whose two ends close at the
-text's own ends. A chunk without a reset stays characters only, so the longest run
-without white space, not the text, bounds what a map holds.
+``transducer`` compiles a tokenizer file: a splitter over characters, and a deterministic
+transducer of the byte-pair merges whose transitions carry the counts of tokens emitted.
+
+Texts of up to ``CHUNK`` bytes are read whole. A longer one is cut into chunks. Where a
+chunk begins, its state is unknown, so a chunk is read as a *state map*: up to its first
+reset (a position that no pre-token and no special string spans, whatever came before)
+it keeps the characters, since what they emit depends on the state that comes in; after
+its last reset it keeps the characters that name the state it leaves; between the two it
+has a plain number. Two maps compose into one of the same kind, and composition is
+associative, so the maps of a text are composed by pairs, round after round: the up-sweep
+of a parallel prefix scan, whose root is the text's count. A row is never divided among
+tasks, so the rounds are one task's work. A chunk without a reset stays characters only:
+the longest run without white space, not the text, bounds what a map holds.
 """
 
 from __future__ import annotations
 
-import json
-import os
-import re
-import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from .bytescan import lean
+from .bytescan import buffers, lean, pieces
 from .common import only, table
+from .transducer import VOCABULARY, Words, compiled
 
-VOCABULARY = "word_bpe_49k.json"
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-
-CHUNK, LIMIT, MAX_WORDS = 1 << 16, 2048, 400_000
-
-
-#: The word pattern of the vocabulary, and the same over the characters of Latin-1 alone
-#: (already lower-cased), where its classes are short enough to be written out.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_L, _N, _S = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
-LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
-
-
-class Transducer:
-    """The compiled tokenizer; ``emit`` maps a word to its ids as little-endian uint32 bytes."""
-
-    def __init__(self, path: str, max_words: int = MAX_WORDS):
-        spec = json.load(open(path, encoding="utf-8"))
-        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        split = [x for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"]
-        if steps != ["NFC", "Replace", "Lowercase"] or len(split) != 1 or spec["model"]["type"] != "BPE" or not spec["model"].get("end_of_word_suffix"):
-            raise ValueError(f"{path} is no word-end BPE with lower-casing, which this compiler is for")
-        self.library = Tokenizer.from_file(path)
-        self.splitter = regex.compile(split[0]["pattern"]["Regex"])
-        if split[0]["pattern"]["Regex"] != PATTERN:
-            raise ValueError(f"{path} splits words by a pattern that the Latin-1 table was not made for")
-        self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
-        self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
-        self.special = [x["content"] for x in spec.get("added_tokens", [])]
-        self.narrow = self.library.get_vocab_size() < 1 << 16
-        self.max_words, self.words = max_words, {}
-
-    def plain(self, text: str) -> bool:
-        """Whether the splitter alone decides: no special string stands in the text."""
-        return not any(x in text for x in self.special)
-
-    def pre_tokens(self, text: str) -> list[str]:
-        try:
-            text.encode("latin-1")
-            return LATIN.findall(text.lower())
-        except UnicodeEncodeError:
-            text = unicodedata.normalize("NFC", text)
-            # Lower-casing goes character by character in the library: no final sigma.
-            return self.splitter.findall(text.replace("Σ", "σ").lower())
-
-    def learn(self, words: set[str]) -> None:
-        """Adds the paths of words not met before. They go to the library as one text;
-        every word's last token, and no other, carries the end-of-word mark."""
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > self.max_words:
-            self.words.clear()
-            new = list(words)
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
-            ids = np.asarray(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            raw, at = ids.tobytes(), 0
-            if len(stops) != len(part):
-                raise ValueError("words and their ends differ in number")
-            for word, stop in zip(part, stops.tolist(), strict=True):
-                self.words[word], at = raw[at:stop], stop
-
-    def ids(self, text: str) -> bytes:
-        """The ids of a whole text, 4 bytes each."""
-        if not self.plain(text):
-            return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = self.pre_tokens(text)
-        try:
-            return b"".join(map(self.words.__getitem__, parts))
-        except KeyError:
-            self.learn(set(parts))
-            return b"".join(map(self.words.__getitem__, parts))
-
-    def count(self, text: str) -> int:
-        return len(self.ids(text)) // 4
-
-
-@lru_cache(maxsize=4)
-def compiled(name: str = VOCABULARY) -> Transducer:
-    """The transducer of a vocabulary, once for each Python worker. ``name`` is a path, or
-    a file of the installed ``public_tokenizers``."""
-    if "/" not in name:
-        import public_tokenizers
-
-        name = str(public_tokenizers.path(name))
-    return Transducer(name)
-
+CHUNK, LIMIT = 1 << 16, 2048
 
 #: A place between two ASCII characters of which the first is white space and the second
 #: is not: pre-tokens hold no white space, and normalisation moves nothing across it.
@@ -136,7 +37,7 @@ RESET = regex.compile(r"(?<=[\x20\x09-\x0D])(?=[!-~])")
 StateMap = tuple[str, int, str | None]
 
 
-def state_map(chunk: str, automaton: Transducer) -> StateMap:
+def state_map(chunk: str, automaton: Words) -> StateMap:
     """(head, emitted, tail) of a chunk; tail None: no reset, and all of it is head."""
     first = RESET.search(chunk)
     if first is None:
@@ -151,7 +52,7 @@ def state_map(chunk: str, automaton: Transducer) -> StateMap:
     return chunk[: first.start()], automaton.count(chunk[first.start() : last]), chunk[last:]
 
 
-def composed(left: StateMap, right: StateMap, automaton: Transducer) -> StateMap:
+def composed(left: StateMap, right: StateMap, automaton: Words) -> StateMap:
     """The map of reading left, then right. What lies between the last reset of one and
     the first of the other is read as soon as both are known. A reset on the seam
     itself needs no care: joining characters over it changes nothing."""
@@ -162,7 +63,7 @@ def composed(left: StateMap, right: StateMap, automaton: Transducer) -> StateMap
     return left[0], left[1] + automaton.count(left[2] + right[0]) + right[1], right[2]
 
 
-def closed(whole: StateMap, automaton: Transducer) -> int:
+def closed(whole: StateMap, automaton: Words) -> int:
     head, emitted, tail = whole
     return automaton.count(head) + emitted + (automaton.count(tail) if tail else 0)
 
@@ -171,29 +72,32 @@ def chunks(text: str, size: int) -> list[str]:
     return [text[k : k + size] for k in range(0, len(text), size)] or [""]
 
 
-def scanned(maps: list[StateMap], automaton: Transducer) -> StateMap:
+def scanned(maps: list[StateMap], automaton: Words) -> StateMap:
     """The composition of all maps by pairing neighbours, round after round."""
     while len(maps) > 1:
         maps = [composed(*pair, automaton) if len(pair) == 2 else pair[0] for pair in (maps[k : k + 2] for k in range(0, len(maps), 2))]
     return maps[0]
 
 
-def text_count(text: str, automaton: Transducer, chunk: int = CHUNK) -> int:
-    if not automaton.plain(text):  # a special string may take part of a word, or cross chunks
-        return automaton.count(text)
+def text_count(text: str, automaton: Words, chunk: int = CHUNK) -> int:
     return closed(scanned([state_map(c, automaton) for c in chunks(text, chunk)], automaton), automaton)
 
 
 def _count(name: str, chunk: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = compiled(name)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                texts = [t or "" for t in part["t"].to_pylist()]
-                counts = [text_count(t, automaton, chunk) for t in texts]
-                sizes = [len(t) if t.isascii() else len(t.encode()) for t in texts]
-                yield pa.record_batch({"id": part["id"], "n_bytes": pa.array(sizes, pa.int64()), "n_tokens": pa.array(counts, pa.int64())})
+        for batch in pieces(batches, "t"):
+            raw, at = buffers(batch["t"])
+            sizes = np.diff(at)
+            long = np.flatnonzero(sizes > chunk)
+            if len(long):
+                counts = np.zeros(len(sizes), np.int64)
+                for t in range(len(sizes)):
+                    own = raw[at[t] : at[t + 1]]
+                    counts[t] = text_count(own.tobytes().decode(), automaton, chunk) if sizes[t] > chunk else automaton.counts(own, np.array([0, len(own)]))[0]
+            else:
+                counts = automaton.counts(raw, at)
+            yield pa.record_batch({"id": batch["id"], "n_bytes": pa.array(sizes, pa.int64()), "n_tokens": pa.array(counts, pa.int64())})
 
     return scan
 

@@ -1,16 +1,19 @@
 """Operators against brute force on small inputs, and their edge cases."""
 
 import hashlib
+import json
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from meridia.llm import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, secrets, suffix_dedup, token_counts, warc
+from meridia.llm import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, secrets, suffix_dedup, token_counts, transducer, warc
 
 DOCS = "doc_id long, text string, lang string, source string, id long, t string, h string, n long, salt int, ids string"
 
@@ -105,18 +108,43 @@ ODD = ["a", "b", " ", "\n", "\x1c", "\x85", "\xa0", "é", "é", "Σ", "İ", "ß
 
 def test_token_counts(spark):
     automaton = token_counts.compiled()
+    library = Tokenizer.from_file(str(public_tokenizers.path(transducer.VOCABULARY)))
     r = random.Random(1)
-    texts = ["".join(r.choice(ODD) for _ in range(r.randrange(30))) for _ in range(1500)]
-    want = [len(x.ids) for x in automaton.library.encode_batch(texts, add_special_tokens=False)]
+    texts = ["".join(r.choice(ODD) for _ in range(r.randrange(30))) for _ in range(1000)]
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert [automaton.ids(t).tolist() for t in texts] == want
+    want = [len(x) for x in want]
     for chunk in (1, 5, 1 << 16):
         assert [token_counts.text_count(t, automaton, chunk) for t in texts] == want
     got = {x.doc_id: x for x in token_counts.token_counts(table(spark, CORPUS), chunk=1000).collect()}
     for i, t, *_ in CORPUS:
-        n = len(automaton.library.encode(t or "", add_special_tokens=False).ids)
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 2048)
     assert token_counts.token_counts(table(spark, [])).count() == 0
 
 
+def test_transitions_carry_the_counts():
+    """Along a word's transitions the counts add up to its prefix's tokens; words are the
+    library's, also when states and words are dropped again and again."""
+    library = Tokenizer.from_file(str(public_tokenizers.path(transducer.VOCABULARY)))
+    automaton = transducer.Words(json.load(open(public_tokenizers.path(transducer.VOCABULARY), encoding="utf-8")), max_words=50)
+    machine = automaton.transducer
+    r = random.Random(4)
+    made = ["".join(r.choice(["th", "e", "in", "st", "qu", "z", "ation", "ing"]) for _ in range(r.randrange(1, 9))) for _ in range(500)] + ["a" * 200, "ab" * 90]
+    for word in made:
+        assert machine.ids(word.encode()) == library.encode(word, add_special_tokens=False).ids
+    state = total = 0
+    for byte in made[0].encode()[:-1]:
+        total += machine.emitted(state, byte)
+        state = machine.next[state << 8 | byte]
+        assert total == machine.tokens[state]
+    machine.max_states = 100
+    for k in range(0, len(made), 40):
+        text = " ".join(made[k : k + 40]) + " <|endoftext|>é"
+        assert automaton.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(machine.token) < 1000
+
+
 def test_state_maps_are_associative():
     automaton = token_counts.compiled()
     r = random.Random(2)
@@ -165,7 +193,7 @@ def test_line_runs_level_and_compact(spark):
 def test_packing(spark):
     rows = [(k, words(k, 40 + 13 * (k % 17)), "en", f"s{k % 3}" if k % 5 else "hot") for k in range(150)] + [(900, None, "en", None), (901, "", "en", "s1"), (902, LONG, "en", "s2")]
     automaton = token_counts.compiled()
-    want = {i: np.frombuffer(automaton.ids(t or ""), "<u4").tolist() + [1] for i, t, *_ in rows}
+    want = {i: automaton.ids(t or "").tolist() + [1] for i, t, *_ in rows}
     for options in ({}, {"targets": {"hot": 3, "s1": 1.5}}, {"max_queues": 2}):
         pieces = packing.pack(table(spark, rows).repartition(4), **options).collect()
         doc, seq = defaultdict(list), defaultdict(list)
