@@ -9,10 +9,10 @@ form one stretch of text, its context.
   removed whole, and one of whose gram, with the 17 bytes before or after it, no smaller
   document knows stays.
 * What is left, contexts that overlap others in part, goes through the refinement: the
-  buckets of all 8-byte strings, numbered by sorting, are refined to 16 bytes by sorting
-  pairs of bucket numbers (of a position and of the one 8 further), these to 32 and
-  these to 50, each level reusing the numbers of the one before. Positions alone in
-  their bucket drop out at once. What shares a last bucket is equal, byte for byte.
+  buckets of all 8-byte strings are refined to 16 bytes by sorting on bucket pointers (of
+  a position and of the one 8 further), these to 32 and these to 50, each level reading
+  the pointers as the levels before have updated them. Positions alone in their bucket
+  are not sorted again. What shares a last bucket is equal, byte for byte.
 
 A task combines equal contexts before they leave it: only the smallest document's goes
 on. Just one context of every kind is refined.
@@ -34,7 +34,8 @@ from .common import dropped, only, parallelism, release, table, written
 
 SPAN, GRAM = 50, 16
 SIDE = (SPAN - GRAM) // 2
-FLUSH = 2_000_000
+FLUSH, BUCKET = 2_000_000, 32 << 20
+PLACE = np.uint64((1 << 32) - 1)  # a string of Arrow is shorter
 
 
 def anchors(raw: np.ndarray, at: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -47,8 +48,8 @@ def anchors(raw: np.ndarray, at: np.ndarray, span: int = SPAN, gram: int = GRAM)
     sums = prefix_hash(raw)
     starts = np.arange(n - gram + 1)
     hashes = span_hash(sums, starts, starts + gram)
-    low = np.uint64((1 << n.bit_length()) - 1)
-    least = (hashes & ~low) | starts.astype(np.uint64)  # ties go to the leftmost
+    # Ties go to the leftmost. The order of grams must not depend on what else is read at once.
+    least = (hashes & ~PLACE) | starts.astype(np.uint64)
     done = 1
     while done * 2 <= width:
         least = np.minimum(least[:-done], least[done:])
@@ -57,7 +58,7 @@ def anchors(raw: np.ndarray, at: np.ndarray, span: int = SPAN, gram: int = GRAM)
         least = np.minimum(least[: len(least) - (width - done)], least[width - done :])
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(least)]
     start = np.flatnonzero(np.arange(len(least)) + span <= at[1:][text])
-    place, text = (least[start] & low).astype(np.int64), text[start]
+    place, text = (least[start] & PLACE).astype(np.int64), text[start]
     fresh = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (text[1:] != text[:-1]))) if len(start) else none
     stop = np.append(fresh[1:], len(start)) - 1 if len(start) else none
     return place[fresh], start[fresh], start[stop], text[fresh]
@@ -70,26 +71,34 @@ def _sides(raw: np.ndarray, sums: np.ndarray, at: np.ndarray, place: np.ndarray,
     return (span_hash(sums, lo, place + GRAM) >> np.uint64(40)).astype(np.uint16), (span_hash(sums, place, hi) >> np.uint64(40)).astype(np.uint16)
 
 
-ENTRY = np.dtype([("key", "<u8"), ("whole", "<u8"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("number", "<u4"), ("use", "u1")])
+ENTRY = np.dtype([("key", "<u8"), ("whole", "<u8"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("row", "<i8"), ("number", "<u4"), ("use", "u1")])
 
 
 def _squeezed(e: np.ndarray) -> bytes:
-    """Columns end to end; ids and numbers in 4 and 2 bytes where they fit."""
-    small, short = bool(len(e) == 0 or (e["doc"].min() >= 0 and e["doc"].max() < 1 << 32)), bool(len(e) == 0 or e["number"].max() < 1 << 16)
+    """Columns end to end, in order of documents and numbers, of which only the steps are
+    kept: they are small, so the shuffle's compression shortens them. ``row`` is left out
+    where it is 0 throughout."""
+    e = e[np.lexsort((e["number"], e["doc"]))]
     key = np.ascontiguousarray(e["key"]).view(np.uint8).reshape(-1, 8)[:, :6]
-    parts = [np.array([len(e), small, short], "<i8"), key, e["whole"], e["left"], e["right"], e["doc"].astype("<u4" if small else "<i8"), e["number"].astype("<u2" if short else "<u4"), e["use"]]
-    return b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
+    doc, number = (np.diff(e[k].astype(np.int64), prepend=0) for k in ("doc", "number"))
+    repeats = bool(e["row"].any())
+    first = int(e["doc"][0]) if len(e) else 0
+    doc[:1] = 0
+    small, short = (bool(x.min(initial=0) > -(1 << bits) and x.max(initial=0) < 1 << bits) for x, bits in ((doc, 31), (number, 15)))
+    parts = [np.array([len(e), small, short, repeats, first], "<i8"), key, e["whole"], e["left"], e["right"], doc.astype("<i4" if small else "<i8"), number.astype("<i2" if short else "<i8"), e["use"]]
+    return b"".join(np.ascontiguousarray(p).tobytes() for p in (*parts, *([e["row"]] if repeats else [])))
 
 
 def _spread(blob: bytes) -> np.ndarray:
-    n, small, short = np.frombuffer(blob, "<i8", 3).tolist()
-    out, pos = np.zeros(n, ENTRY), 24
+    n, small, short, repeats, first = np.frombuffer(blob, "<i8", 5).tolist()
+    out, pos = np.zeros(n, ENTRY), 40
     key = np.zeros((n, 8), np.uint8)
     key[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, pos).reshape(-1, 6)
     out["key"], pos = key.view("<u8").ravel(), pos + 6 * n
-    for name, kind in (("whole", "<u8"), ("left", "<u2"), ("right", "<u2"), ("doc", "<u4" if small else "<i8"), ("number", "<u2" if short else "<u4"), ("use", "u1")):
-        out[name] = np.frombuffer(blob, kind, n, pos)
-        pos += n * np.dtype(kind).itemsize
+    for name, kind in (("whole", "<u8"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i4" if small else "<i8"), ("number", "<i2" if short else "<i8"), ("use", "u1"), *([("row", "<i8")] if repeats else [])):
+        column = np.frombuffer(blob, kind, n, pos)
+        pos += column.nbytes
+        out[name] = first + np.cumsum(column, dtype=np.int64) if name == "doc" else np.cumsum(column, dtype=np.int64) if name == "number" else column
     return out
 
 
@@ -108,8 +117,13 @@ def _least(first: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.repeat(np.minimum.reduceat(values, first), np.diff(np.append(first, len(values)))) if len(values) else values
 
 
-def _deal(buckets: int, flush: int):
-    """Rows (bucket, blob) of entries, and (-1, blob) of contexts settled in this task."""
+def _row(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What tells apart the rows of one id: a hash of the text."""
+    return span_hash(prefix_hash(raw), at[:-1], at[1:]).view(np.int64)
+
+
+def _deal(buckets: int, flush: int, repeats: bool):
+    """Rows (bucket, blob) of entries; with ``repeats`` an entry knows its row by more than the id."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -147,6 +161,8 @@ def _deal(buckets: int, flush: int):
             e["whole"] = span_hash(sums, lo, hi + SPAN)  # all 64 bits: kinds around one hot passage differ by it alone
             e["left"], e["right"] = _sides(raw, sums, at, place, text)
             e["doc"] = ids[text]
+            if repeats:
+                e["row"] = _row(raw, at)[text]
             e["number"] = np.arange(len(text)) - np.searchsorted(text, text)
             # Whether windows need the bytes before (1) and after (2) the gram.
             e["use"] = (place - lo >= SIDE) * 1 + (place - hi <= SIDE) * 2
@@ -162,7 +178,7 @@ def _deal(buckets: int, flush: int):
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, number, g): contexts to remove whole (g null), and contexts to refine in group g."""
+    """(doc, row, number, g): contexts to remove whole (g null), and contexts to refine in group g."""
 
     def settled(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         e = np.concatenate([_spread(b) for b in blobs])
@@ -184,11 +200,11 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             needs = np.logical_or.reduceat((s["use"] & bit > 0) & (s["doc"] > least), first) if len(first) else np.zeros(0, bool)
             doubt[order] |= differs & np.repeat(needs, size)
         ask = e[doubt]
-        docs, numbers = np.concatenate([gone["doc"], ask["doc"]]), np.concatenate([gone["number"], ask["number"]]).astype(np.int64)
+        docs, rows, numbers = (np.concatenate([gone[k], ask[k]]).astype(np.int64) for k in ("doc", "row", "number"))
         group = pa.array([None] * len(gone), pa.int64()) if not len(ask) else pa.concat_arrays([pa.nulls(len(gone), pa.int64()), pa.array(ask["key"].view(np.int64))])
         for k in range(0, len(docs), 1 << 18):
             cut = slice(k, k + (1 << 18))
-            yield pa.record_batch([pa.array(docs[cut]), pa.array(numbers[cut]), group[cut]], names=["doc", "number", "g"])
+            yield pa.record_batch([pa.array(docs[cut]), pa.array(rows[cut]), pa.array(numbers[cut]), group[cut]], names=["doc", "row", "number", "g"])
 
     now, blobs = None, []
     for batch in batches:
@@ -202,20 +218,26 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settled(blobs)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=1)
-    for batch in pieces(batches, "t"):
-        yield pa.record_batch([batch["id"], pa.array([pack.compress(x.as_buffer() if x.is_valid else b"") for x in batch["t"]], pa.binary())], names=["id", "z"])
+def _packed(repeats: bool):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in pieces(batches, "t"):
+            raw, at = buffers(batch["t"])
+            row = _row(raw, at) if repeats else np.zeros(batch.num_rows, np.int64)
+            packed = [pack.compress(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.record_batch([batch["id"], pa.array(row), pa.array(packed, pa.binary())], names=["id", "row", "z"])
+
+    return scan
 
 
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each text a row (id, z, spans) with the stretches to remove so far, and rows
-    (id, g, lo, context) of what is to be refined."""
+    """For each text a row (id, row, z, spans) with the stretches to remove so far, and rows
+    (id, row, g, lo, context) of what is to be refined."""
     unpack = zstandard.ZstdDecompressor()
     empty = np.zeros(0, "<i8").tobytes()
     for batch in batches:
         rows: list[tuple] = []
-        for i, z, numbers, asked in zip(batch["id"].to_pylist(), batch["z"], batch["numbers"].to_pylist(), batch["asked"].to_pylist(), strict=True):
+        for i, own, z, numbers, asked in zip(batch["id"].to_pylist(), batch["row"].to_pylist(), batch["z"], batch["numbers"].to_pylist(), batch["asked"].to_pylist(), strict=True):
             spans, z = empty, z.as_py()
             if numbers or asked:
                 raw = np.frombuffer(unpack.decompress(z), np.uint8)
@@ -225,8 +247,8 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 whole_text = raw.tobytes()
                 for ask in asked or []:
                     k = ask["number"]
-                    rows.append((i, None, None, ask["g"], int(lo[k]), whole_text[lo[k] : hi[k] + SPAN]))
-            rows.append((i, z, spans, None, None, None))
+                    rows.append((i, own, None, None, ask["g"], int(lo[k]), whole_text[lo[k] : hi[k] + SPAN]))
+            rows.append((i, own, z, spans, None, None, None))
             if len(rows) > 5000:
                 yield _rows(rows)
                 rows = []
@@ -234,37 +256,43 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"id": pa.int64(), "z": pa.binary(), "spans": pa.binary(), "g": pa.int64(), "lo": pa.int64(), "context": pa.binary()}
+    kinds = {"id": pa.int64(), "row": pa.int64(), "z": pa.binary(), "spans": pa.binary(), "g": pa.int64(), "lo": pa.int64(), "context": pa.binary()}
     return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], names=list(kinds))
 
 
 def refined(raw: np.ndarray, position: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
     """Bucket-pointer refinement: of the given positions those whose ``span`` bytes (32 to 64)
-    occur at another one too, with the number of their bucket."""
+    occur at another one too, with the number of their bucket.
+
+    A level sorts only the positions that share a bucket with others, by their pointers and
+    the pointers one depth further, and writes the new pointers in place: the next level
+    reads them at its own, later offset. A position alone in its bucket keeps its pointer
+    from then on, and is never sorted again.
+    """
     wide = np.lib.stride_tricks.sliding_window_view(np.append(raw, np.zeros(8, np.uint8)), 8)
     gram = np.ascontiguousarray(wide).view("<u8").ravel()
-    bucket = np.unique(gram, return_inverse=True)[1].astype(np.int64)
-    depth = 8
+    pointer, size = np.unique(gram, return_inverse=True, return_counts=True)[1:]
+    pointer, shared = pointer.astype(np.int64), size[pointer] > 1
+    top, depth = len(size), 8
     while depth < span:
         step = min(depth, span - depth)
-        # Every position whose bucket pointer the next levels read, not the given ones only.
-        after = bucket[np.minimum(np.arange(len(bucket)) + step, len(bucket) - 1)]
-        pair = bucket * (int(bucket.max()) + 1) + after
+        # The last level is asked of the given positions only; others' pointers serve as offsets.
+        live = np.flatnonzero(shared) if depth + step < span else position[shared[position]]
+        pair = pointer[live] * (top + len(live) + 1) + pointer[np.minimum(live + step, len(pointer) - 1)]
+        fresh, size = np.unique(pair, return_inverse=True, return_counts=True)[1:]
+        shared = np.zeros(len(pointer), bool)
+        shared[live] = size[fresh] > 1
+        pointer[live] = top + fresh
+        top += len(size)
         depth += step
-        if depth == span:
-            pair = pair[position]
-        bucket, counts = np.unique(pair, return_inverse=True, return_counts=True)[1:]
-        bucket = bucket.astype(np.int64)
-        if depth < span:  # a window alone in its bucket stays alone
-            position = position[counts[bucket[position]] > 1]
-    alive = counts[bucket] > 1
-    return position[alive], bucket[alive]
+    alive = position[shared[position]]
+    return alive, pointer[alive]
 
 
 def _refine(limit: int):
-    """(id, start, stop) to remove, from contexts that arrive by groups (whole groups at a time)."""
+    """(id, row, start, stop) to remove, from contexts that arrive by groups (whole groups at a time)."""
 
-    def found(ids: list, los: list, contexts: list) -> pa.RecordBatch:
+    def found(ids: list, own: list, los: list, contexts: list) -> pa.RecordBatch:
         raw = np.frombuffer(b"".join(contexts), np.uint8)
         size = np.array([len(c) for c in contexts], np.int64)
         begin = np.append(0, np.cumsum(size))[:-1]
@@ -282,22 +310,23 @@ def _refine(limit: int):
         start = np.array(los, np.int64)[owner] + kept - begin[owner]
         run = np.flatnonzero(np.append(True, (np.diff(start) != 1) | (np.diff(owner) != 0))) if len(start) else np.zeros(0, np.int64)
         stop = (start[np.append(run[1:], len(start)) - 1] if len(start) else start) + SPAN
-        return pa.record_batch([pa.array(np.array(ids, np.int64)[owner[run]]), pa.array(start[run]), pa.array(stop)], names=["id", "start", "stop"])
+        return pa.record_batch([pa.array(np.array(ids, np.int64)[owner[run]]), pa.array(np.array(own, np.int64)[owner[run]]), pa.array(start[run]), pa.array(stop)], names=["id", "row", "start", "stop"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, ids, los, contexts = None, 0, [], [], []
+        now, held, ids, own, los, contexts = None, 0, [], [], [], []
         for batch in batches:
-            for g, i, lo, c in zip(*(batch[k].to_pylist() for k in ("g", "id", "lo", "context")), strict=True):
+            for g, i, row, lo, c in zip(*(batch[k].to_pylist() for k in ("g", "id", "row", "lo", "context")), strict=True):
                 if g != now and held > limit:
-                    yield found(ids, los, contexts)
-                    held, ids, los, contexts = 0, [], [], []
+                    yield found(ids, own, los, contexts)
+                    held, ids, own, los, contexts = 0, [], [], [], []
                 now = g
                 held += len(c)
                 ids.append(i)
+                own.append(row)
                 los.append(lo)
                 contexts.append(c)
         if ids:
-            yield found(ids, los, contexts)
+            yield found(ids, own, los, contexts)
 
     return scan
 
@@ -331,27 +360,32 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are UTF-8 bytes, a null text is empty. Every byte goes that is in a string of
     50 bytes which also starts in a row with a smaller id, judged on the input as it is.
-    Ids are integers; rows that repeat an id count as one document and remove nothing
-    from each other, but all their texts must be equal for the result to be defined. A
-    row without an id neither removes nor loses anything. Other columns are not read; an
-    empty table gives an empty result.
+    Ids are integers; rows that repeat an id, whether their texts are equal or not, remove
+    nothing from each other, and each has its own result. A row without an id neither
+    removes nor loses anything. Other columns are not read; an empty table gives an empty
+    result.
     """
     spark = docs.sparkSession
     rows = only(docs, id=id_col, t=text_col).select(F.col("id").cast("long").alias("id"), F.col("t").cast("string").alias("t"))
-    buckets = 4 * parallelism(spark)
-    dealt = rows.mapInArrow(lean(_deal(buckets, FLUSH)), "bucket long, blob binary").repartition(parallelism(spark), "bucket").sortWithinPartitions("bucket")
-    settled = written(dealt.mapInArrow(lean(_settle), "doc long, number long, g long"), "settled")
+    repeats = not rows.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    # An anchor comes every 18 bytes or so and takes 24; a task holds one bucket at a time.
+    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    tasks = parallelism(spark)
+    buckets = max(4 * tasks, n_bytes * 4 // 3 // BUCKET)
+    dealt = rows.mapInArrow(lean(_deal(buckets, FLUSH, repeats)), "bucket long, blob binary").repartition(max(tasks, buckets // 4), "bucket").sortWithinPartitions("bucket")
+    settled = written(dealt.mapInArrow(lean(_settle), "doc long, row long, number long, g long"), "settled")
     release(spark)
-    # A document's verdicts are no more than its anchors.
-    verdicts = settled.groupBy("doc").agg(F.collect_set(F.when(F.col("g").isNull(), F.col("number"))).alias("numbers"), F.collect_set(F.when(F.col("g").isNotNull(), F.struct("number", "g"))).alias("asked"))
-    joined = rows.mapInArrow(lean(_packed), "id long, z binary").join(verdicts, F.col("id") == F.col("doc"), "left").select("id", "z", "numbers", "asked")
-    located = written(joined.mapInArrow(lean(_located), "id long, z binary, spans binary, g long, lo long, context binary"), "located")
+    # A row's verdicts are no more than its anchors.
+    verdicts = settled.groupBy(F.col("doc"), F.col("row").alias("own")).agg(F.collect_set(F.when(F.col("g").isNull(), F.col("number"))).alias("numbers"), F.collect_set(F.when(F.col("g").isNotNull(), F.struct("number", "g"))).alias("asked"))
+    packed = rows.mapInArrow(lean(_packed(repeats)), "id long, row long, z binary")
+    joined = packed.join(verdicts, (F.col("id") == F.col("doc")) & (F.col("row") == F.col("own")), "left").select("id", "row", "z", "numbers", "asked")
+    located = written(joined.mapInArrow(lean(_located), "id long, row long, z binary, spans binary, g long, lo long, context binary"), "located")
     dropped(settled)
     release(spark)
-    asked = located.filter("g is not null").select("g", "id", "lo", "context").repartition(parallelism(spark), "g").sortWithinPartitions("g")
-    cuts = written(asked.mapInArrow(lean(_refine(1 << 20)), "id long, start long, stop long").distinct(), "refined")
-    more = cuts.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("more")).withColumnRenamed("id", "doc")
-    whole = located.filter("z is not null").select("id", "z", "spans").join(more, F.col("id") == F.col("doc"), "left").select("id", "z", "spans", "more")
+    asked = located.filter("g is not null").select("g", "id", "row", "lo", "context").repartition(tasks, "g").sortWithinPartitions("g")
+    cuts = written(asked.mapInArrow(lean(_refine(1 << 20)), "id long, row long, start long, stop long").distinct(), "refined")
+    more = cuts.groupBy(F.col("id").alias("doc"), F.col("row").alias("own")).agg(F.collect_list(F.struct("start", "stop")).alias("more"))
+    whole = located.filter("z is not null").select("id", "row", "z", "spans").join(more, (F.col("id") == F.col("doc")) & (F.col("row") == F.col("own")), "left").select("id", "z", "spans", "more")
     out = whole.mapInArrow(lean(_removed), "id long, n_bytes long, n_removed long, n_spans long, kept binary, sha string")
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", F.col("sha").alias("kept_sha256"))
 

@@ -84,6 +84,30 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.suffix_dedup(table(spark, [(None, COPY), (1, COPY)])).filter("n_removed = 0").count() == 2
 
 
+def test_rows_that_repeat_an_id_have_results_of_their_own(spark):
+    r = random.Random(31)
+    base = [words(40 + k, 40, 50) for k in range(4)]
+    rows = [(k // 3, "".join(r.choice(base)[r.randrange(60) :][: r.randrange(30, 200)] for _ in range(3))) for k in range(45)]
+    rows += [(2, base[0]), (2, base[0][:80]), (2, base[0][:80]), (9, base[0]), (9, base[0][:80])]
+    lead, want = {}, []
+    for i, t in rows:
+        for k in range(len(t) - 49):
+            lead[t[k : k + 50]] = min(i, lead.get(t[k : k + 50], i))
+    for i, t in rows:
+        gone = {j for k in range(len(t) - 49) if lead[t[k : k + 50]] < i for j in range(k, k + 50)}
+        want.append((i, len(t), hashlib.sha256("".join(c for k, c in enumerate(t) if k not in gone).encode()).hexdigest()))
+    got = [(x.doc_id, x.n_bytes, x.kept_sha256) for x in suffix_dedup.suffix_dedup(table(spark, rows)).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_anchors_do_not_depend_on_what_is_read_with_them():
+    text = np.frombuffer(words(50, 400).encode(), np.uint8)
+    alone = suffix_dedup.anchors(text, np.array([0, len(text)]))[0]
+    more = np.concatenate([text, np.frombuffer(words(51, 90_000).encode(), np.uint8)])
+    place, _, _, own = suffix_dedup.anchors(more, np.array([0, len(text), len(more)]))
+    assert place[own == 0].tolist() == alone.tolist()
+
+
 def test_contexts_that_share_half_a_hash_are_not_equal(spark):
     """Two contexts around one passage whose hashes agree in 32 bits, as do gram and sides."""
     core = "bwhbkwvjjhyzbucaxnrktswywhtedueqraovfdqrtiunbggkzttanltrkxrg"
