@@ -274,7 +274,7 @@ def _near(percent: int):
 
 
 def _tiled(rows: DataFrame, by: str, most: int) -> DataFrame:
-    """``rows`` with their group's tile (lo, hi) and their own block in it, tile by tile.
+    """``rows`` (rep, n, ...) with their group's tile (lo, hi) and their own block in it.
 
     A group whose ``n`` (a small set counts for ``most`` / 4096) add up to ``most`` or less
     is one tile. A larger one is dealt over blocks by ``rep``, and each two blocks are a
@@ -284,7 +284,11 @@ def _tiled(rows: DataFrame, by: str, most: int) -> DataFrame:
     dealt = rows.join(blocks, by, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("blocks", "other")
-    return dealt.repartition(by, "lo", "hi").sortWithinPartitions(by, "lo", "hi")
+    return dealt
+
+
+def _by_tile(rows: DataFrame, by: str) -> DataFrame:
+    return rows.repartition(by, "lo", "hi").sortWithinPartitions(by, "lo", "hi")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
@@ -454,12 +458,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     large = groups.join(groups.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g"), "g", "left_semi")
     inside = large.select("g", "id").union(large.select("g", F.col("lead").alias("id"))).distinct().join(home, "id").select("g", "rep", "component")
     mixed = inside.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("g")
-    crossing = inside.join(mixed, "g", "left_semi").distinct().join(reps.withColumnRenamed("id", "rep"), "rep").select("g", "rep", "component", "n", "bits")
-    forest = written(_tiled(crossing, "g", TILE).mapInArrow(lean(_candidates(percent)), "a long, b long").union(rest).distinct(), "candidates")
+    sized, drawn = (reps.select(F.col("id").alias("rep"), k) for k in ("n", "bits"))
+    crossing = _tiled(inside.join(mixed, "g", "left_semi").distinct().join(sized, "rep"), "g", TILE).join(drawn, "rep")
+    forest = written(_by_tile(crossing.select("g", "lo", "hi", "rep", "own", "n", "component", "bits"), "g").mapInArrow(lean(_candidates(percent)), "a long, b long").union(rest).distinct(), "candidates")
     if not forest.isEmpty():
         family = components(forest).select(F.col("node").alias("rep"), F.col("component").alias("family"))
-        facing = family.join(own, "rep").join(reps.select(F.col("id").alias("rep"), "n"), "rep").join(texts.withColumnRenamed("id", "rep"), "rep")
-        found = written(_tiled(facing.select("family", "rep", "component", "n", "z"), "family", TILE).mapInArrow(lean(_links(width, percent)), "a long, b long"), "links-2")
+        facing = _tiled(family.join(own, "rep").join(sized, "rep"), "family", TILE).join(texts.withColumnRenamed("id", "rep"), "rep")
+        found = written(_by_tile(facing.select("family", "lo", "hi", "rep", "own", "n", "component", "z"), "family").mapInArrow(lean(_links(width, percent)), "a long, b long"), "links-2")
         first = written(components(links.unionByName(found)), "components-2")
         home = member.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     out = sigs.select("id", "n").join(home.select("id", "component"), "id", "left")
