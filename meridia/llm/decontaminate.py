@@ -6,16 +6,19 @@ the items. However common a term is here, it keeps a weight: what is common may
 because copies of an item are.
 
 1. One pass counts in how many passages of the corpus each term is.
-2. One pass takes the randomised SVD's sketch: each task adds up A'(A R) over its TF-IDF
-   passages for a fixed random matrix R of ``RANK`` columns, and the parts are summed.
-   An orthonormal basis of the sketch's columns and of the block's item passages spans
-   the latent space, so no item is lost in it.
-3. One pass projects all passages and takes as candidates those with a cosine of
-   ``LEAST_COSINE`` or more to a passage of an item, and those that hold ``HELD`` of its
-   words, whose cosine is low where most of these words are common in the corpus. It
-   compares the words around with the item's:
-   a longest common subsequence of ``LEAST_LCS`` of the item's words is a match, as is one
-   of ``PARAPHRASE_LCS`` if the item's answer, its last words, stands there too.
+2. One pass takes the sketch of a randomised SVD: each task adds up A'(A R) over its TF-IDF
+   passages for a fixed random matrix R of ``RANK`` and some more columns, and the parts
+   are summed. From the sketch alone follow the leading right singular vectors of A; they
+   are the latent space, and nothing of the items goes into it.
+3. One pass projects all passages, and takes as candidates those with a cosine of
+   ``LEAST_COSINE`` or more, in the latent space, to a passage of an item. Checks follow:
+   the candidate holds ``HELD`` of the passage's words, and the words around have a
+   longest common subsequence with the item of ``LEAST_LCS`` of its words, or of
+   ``PARAPHRASE_LCS`` if the item's answer, its last words, stands there too. An item
+   of more than one passage is matched by one whole passage as well.
+
+The rank and the least cosine are set by measurement: of matches found by comparing every
+document with every item, retrieval has to find 0.9 at least (a test does so).
 
 Items are handled in blocks of ``BLOCK`` passages, which bounds what tasks are sent.
 """
@@ -29,13 +32,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .bytescan import _LOWER, buffers, lean, pieces, prefix_hash, span_hash
 from .common import only, table
 
 WINDOW, STRIDE, ITEM = 64, 32, 32
-LEAST_COSINE, LEAST_LCS, PARAPHRASE_LCS, ANSWER = 0.15, 0.8, 0.6, 5
-HELD, BLOCK, RANK, LEAST_WORDS = 0.6, 512, 64, 5
+LEAST_COSINE, LEAST_LCS, PARAPHRASE_LCS, ANSWER = 0.2, 0.8, 0.6, 5
+HELD, BLOCK, RANK, MORE, LEAST_WORDS = 0.5, 512, 256, 32, 5
+ROWS = 1024  # passages projected at a time
 
 _WORD = np.zeros(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -73,12 +78,11 @@ class Items:
     passages: np.ndarray  # item number of each passage
     spans: list[tuple[int, int]]
     tables: list[Subsequence]
+    parts: list[Subsequence | None]  # of each passage, where the item has more than one
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    basis: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
-    latent: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
-    #: Term by passage: what a term adds to a cosine in the latent space, and to the words held.
-    cosines: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
-    shares: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    basis: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # term by latent dimension
+    latent: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # passages in the latent space, of unit length
+    shares: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # passage by term: of its words
 
     @classmethod
     def of(cls, rows: list[tuple]) -> Items:
@@ -88,7 +92,9 @@ class Items:
         text, lo, hi = windows(first, ITEM, ITEM // 2)
         words = [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
         spans = [(a - first[t], b - first[t]) for t, a, b in zip(text.tolist(), lo.tolist(), hi.tolist(), strict=True)]
-        return cls([i for i, _ in rows], words, np.unique(hashes), text, spans, [Subsequence.of(w) for w in words])
+        alone = np.bincount(text, minlength=len(words)) < 2
+        parts = [None if alone[t] else Subsequence.of(words[t][a:b]) for t, (a, b) in zip(text.tolist(), spans, strict=True)]
+        return cls([i for i, _ in rows], words, np.unique(hashes), text, spans, [Subsequence.of(w) for w in words], parts)
 
     def counts(self) -> np.ndarray:
         """How often each term is in each of the items' passages."""
@@ -135,8 +141,8 @@ def _frequencies(terms: np.ndarray):
 
 
 def _weighted(window: np.ndarray, term: np.ndarray, others: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sparse unit rows: (row, term, value, window of each row); passages without a term
-    have none. Words that are no terms count in the length, as terms of middling weight."""
+    """Sparse TF-IDF rows of unit length: (row, term, value, window of each row); passages without
+    a term have none. Words that are no terms count in the length, as terms of middling weight."""
     pair, tf = np.unique(window * len(weight) + term, return_counts=True)
     at, term = pair // len(weight), pair % len(weight)
     value = (1 + np.log(tf)) * weight[term]
@@ -158,19 +164,24 @@ def _project(row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, basis
     return out
 
 
-def _sketch(terms: np.ndarray, weight: np.ndarray, rank: int, seed: int):
+def _ground(n_terms: int, seed: int) -> np.ndarray:
+    """The random matrix R."""
+    return np.random.default_rng(seed).standard_normal((n_terms, min(RANK + MORE, n_terms))).astype(np.float32)
+
+
+def _sketch(terms: np.ndarray, weight: np.ndarray, seed: int):
     """(term, row): this task's part of A'(A R), row by row of terms."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ground = np.random.default_rng(seed).standard_normal((len(terms), rank)).astype(np.float32)
-        total = np.zeros((len(terms), rank))
+        ground = _ground(len(terms), seed)
+        total = np.zeros(ground.shape)
         for batch in pieces(batches, "t"):
             *_, others, window, term = _hits(*buffers(batch["t"]), terms)
             row, term, value, rows = _weighted(window, term, others, weight)
-            for s in range(0, len(rows), 4096):
-                cut = slice(*np.searchsorted(row, (s, s + 4096)))
-                n = min(4096, len(rows) - s)
-                y = _project(row[cut] - s, term[cut], value[cut], n, ground)
+            value = value.astype(np.float32)
+            for s in range(0, len(rows), ROWS):
+                cut = slice(*np.searchsorted(row, (s, s + ROWS)))
+                y = _project(row[cut] - s, term[cut], value[cut], min(ROWS, len(rows) - s), ground)
                 order = np.argsort(term[cut], kind="stable")
                 if len(order):
                     owner = term[cut][order]
@@ -232,26 +243,43 @@ def _contains(text: np.ndarray, part: np.ndarray) -> bool:
     return any(np.array_equal(text[s : s + len(part)], part) for s in spots.tolist())
 
 
+def _candidates(row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, items: Items, cosine: float) -> tuple[np.ndarray, ...]:
+    """(row, passage, cosine) of the pairs near each other in the latent space where the
+    row holds ``HELD`` of the passage's words."""
+    own = _project(row, term, value, n, items.basis)
+    own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
+    near = own @ items.latent.T
+    r, p = np.nonzero(near >= cosine)
+    first = np.searchsorted(row, np.arange(n + 1))
+    size = np.diff(first)[r]  # none is 0: such a row has no place in the latent space
+    begin = np.cumsum(size) - size
+    at = np.arange(int(size.sum())) + np.repeat(first[r] - begin, size)
+    held = np.add.reduceat(items.shares[np.repeat(p, size), term[at]], begin) if len(r) else np.zeros(0)
+    good = held >= HELD - 1e-6
+    return r[good], p[good], near[r[good], p[good]]
+
+
 def matches(raw: np.ndarray, at: np.ndarray, items: Items, cosine: float, lcs: float, paraphrase: float) -> dict[tuple[int, int], tuple[float, float]]:
     """(text, item) -> the best (share of the item's words in common, cosine) of each match."""
     words, first, text, lo, hi, others, window, term = _hits(raw, at, items.terms)
     row, term, value, rows = _weighted(window, term, others, items.weight)
     out: dict[tuple[int, int], tuple[float, float]] = {}
-    for s in range(0, len(rows), 4096):
-        cut = slice(*np.searchsorted(row, (s, s + 4096)))
-        n = min(4096, len(rows) - s)
-        near = _project(row[cut] - s, term[cut], value[cut], n, items.cosines)
-        held = _project(row[cut] - s, term[cut], np.ones(len(row[cut])), n, items.shares)
-        r, p = np.nonzero((near >= cosine) | (held >= HELD - 1e-6))
-        item = items.passages[p]
-        for t, w, i, c in zip(text[rows[s + r]].tolist(), rows[s + r].tolist(), item.tolist(), near[r, p].tolist(), strict=True):
+    for s in range(0, len(rows), ROWS):
+        cut = slice(*np.searchsorted(row, (s, s + ROWS)))
+        r, p, c = _candidates(row[cut] - s, term[cut], value[cut], min(ROWS, len(rows) - s), items, cosine)
+        for t, w, k, i, near in zip(text[rows[s + r]].tolist(), rows[s + r].tolist(), p.tolist(), items.passages[p].tolist(), c.tolist(), strict=True):
             own = items.words[i]
             if len(own) < LEAST_WORDS or out.get((t, i), (0, 0))[0] >= 1:
                 continue
             around = words[max(first[t], lo[w] - len(own)) : min(first[t + 1], hi[w] + len(own))]
             share = items.tables[i].length(around, int(min(lcs, paraphrase) * len(own))) / len(own)
-            if share >= lcs or share >= paraphrase and _contains(around, own[-ANSWER:]):
-                out[t, i] = max(out.get((t, i), (0.0, 0.0)), (share, c))
+            found = share >= lcs or share >= paraphrase and _contains(around, own[-ANSWER:])
+            if not found and items.parts[k] is not None:
+                part = items.parts[k].length(around, int(lcs * items.parts[k].size))
+                found = part >= lcs * items.parts[k].size
+                share = max(share, part / len(own))
+            if found:
+                out[t, i] = max(out.get((t, i), (0.0, 0.0)), (share, near))
     return out
 
 
@@ -288,32 +316,39 @@ def fitted(rows: DataFrame, block: list[tuple], seed: int = 7) -> Items | None:
     df = np.zeros(len(items.terms))
     df[list(counts)] = list(counts.values())
     items.weight = np.log((1 + total) / (1 + df)) + 1
-    own, counts = items.matrix(), items.counts()
-    items.shares = np.ascontiguousarray((counts / counts.sum(1, keepdims=True)).T)
-    parts = rows.mapInArrow(lean(_sketch(items.terms, items.weight, RANK, seed)), "term long, row binary")
-    summed = parts.repartition(min(16, len(items.terms)), "term").mapInArrow(lean(_summed(RANK)), "term long, row binary")
-    sketch = np.zeros((len(items.terms), RANK))
+    counts = items.counts()
+    items.shares = counts / counts.sum(1, keepdims=True)
+    parts = rows.mapInArrow(lean(_sketch(items.terms, items.weight, seed)), "term long, row binary")
+    ground = _ground(len(items.terms), seed).astype(float)
+    summed = parts.repartition(min(16, len(items.terms)), "term").mapInArrow(lean(_summed(ground.shape[1])), "term long, row binary")
+    sketch = np.zeros(ground.shape)
     for r in summed.toLocalIterator():
         sketch[r.term] = np.frombuffer(r.row, "<f4")
-    # The corpus's directions, and those of the item passages themselves.
-    sketch /= np.maximum(np.linalg.norm(sketch, axis=0), 1e-9)
-    basis, _ = np.linalg.qr(np.concatenate([own.T, sketch], 1))
-    items.basis = basis.astype(np.float32)
-    latent = own @ items.basis
+    items.basis = latent_space(sketch, ground)
+    latent = items.matrix() @ items.basis
     items.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    # A passage is projected as a unit vector (what the space misses counts against it) and
-    # multiplied with the items' projections: both products are one matrix.
-    items.cosines = np.ascontiguousarray(items.basis @ items.latent.T)
     return items
 
 
+def latent_space(sketch: np.ndarray, ground: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """The leading right singular vectors of A (columns), from A'A R and R alone: an
+    orthonormal basis Q of the sketch's columns, and the eigenvectors of Q'A'A Q, which is
+    solved from Q'(A'A R) = (Q'A'A Q)(Q'R)."""
+    basis, _ = np.linalg.qr(sketch)
+    inner = np.linalg.lstsq((basis.T @ ground).T, (basis.T @ sketch).T, rcond=None)[0].T
+    value, vector = np.linalg.eigh((inner + inner.T) / 2)
+    order = np.argsort(-value)[:rank]
+    order = order[value[order] > 1e-9 * max(float(value.max(initial=0)), 1e-300)]
+    return (basis @ vector[:, order]).astype(np.float32)
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return only(docs, id=id_col, t=text_col).select("id", F.col("t").cast("string").alias("t"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cosine: float = LEAST_COSINE, lcs: float = LEAST_LCS, paraphrase: float = PARAPHRASE_LCS) -> DataFrame:
-    """One row for each match: doc_id, item_id, cosine, lcs_share (best of its passages; the
-    cosine may be under ``cosine`` where the passage holds ``HELD`` of the item's words).
+    """One row for each match: doc_id, item_id, cosine (in the latent space), lcs_share (of the
+    item's words; best of the document's passages).
 
     Texts are read whole; a null text has no words and matches nothing. Items of under
     ``LEAST_WORDS`` words (or null) match nothing. Rows that repeat an id are matched
@@ -323,7 +358,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows, found = _rows(docs, id_col, text_col), None
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"id {id_type}, item {item_type}, cosine double, share double"
-    kind = pa.int64() if item_type == "bigint" else pa.int32() if item_type == "int" else pa.string()
+    kind = to_arrow_type(benchmark.schema[item_col].dataType)
     for block in item_blocks(only(benchmark, item=item_col, t=item_text)):
         if items := fitted(rows, block):
             part = rows.mapInArrow(lean(_found(items, cosine, lcs, paraphrase, kind)), schema)

@@ -457,6 +457,56 @@ def test_hot_copies_of_an_item_are_found(spark, n_clean, n_copies):
     assert got == {(2000 + k, 2) for k in range(n_copies)}
 
 
+def test_paraphrases_are_found_in_the_latent_space(spark):
+    """Against every document compared with every item; the space is the corpus's alone."""
+    r = random.Random(21)
+    items = [(k, words(7000 + k, r.randrange(16, 60), 3000)) for k in range(40)]
+    rows = [(k, words(200 + k, 160, 5000)) for k in range(150)]
+    for k in range(80):
+        body = items[k % 40][1].split()
+        for j in range(len(body) - 5):  # the answer stays
+            if r.random() < 0.25:
+                body[j] = f"w{r.randrange(5000)}"
+        rows.append((1000 + k, f"{words(k, r.randrange(60), 5000)} {' '.join(body)} {words(k + 90, r.randrange(60), 5000)}"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(table(spark, rows), bench).collect()}
+
+    def hashed(texts):
+        raw = [t.encode() for t in texts]
+        at = np.append(0, np.cumsum([len(x) for x in raw]))
+        return decontaminate.word_hashes(np.frombuffer(b"".join(raw), np.uint8), at)
+
+    block, (own, first) = decontaminate.Items.of(items), hashed([t for _, t in rows])
+    want = set()
+    for d, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+        for i, item in enumerate(block.words):
+            for lo in range(a, b, 32):
+                around = own[max(a, lo - len(item)) : min(b, lo + 64 + len(item))]
+                share = block.tables[i].length(around) / len(item)
+                want |= {(rows[d][0], items[i][0])} if share >= 0.8 or share >= 0.6 and decontaminate._contains(around, item[-5:]) else set()
+    assert len(want) >= 70 and len(got & want) >= 0.9 * len(want)
+    assert {x for x in got - want} == set() or all(block.parts[k] is not None for _, i in got - want for k in np.flatnonzero(block.passages == i))
+    # Of the corpus's energy the space holds nearly what the best one of its rank does.
+    fit = decontaminate.fitted(decontaminate._rows(table(spark, rows), "doc_id", "text"), items)
+    raw = [t.encode() for _, t in rows]
+    *_, others, window, term = decontaminate._hits(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])), fit.terms)
+    row, term, value, n = decontaminate._weighted(window, term, others, fit.weight)
+    whole = np.zeros((len(n), len(fit.terms)))
+    whole[row, term] = value
+    best = (np.linalg.svd(whole, compute_uv=False)[: decontaminate.RANK] ** 2).sum()
+    chance = np.linalg.qr(np.random.default_rng(0).standard_normal(fit.basis.shape))[0]
+    assert fit.basis.shape == (len(fit.terms), decontaminate.RANK) and len(fit.terms) > 3 * decontaminate.RANK
+    assert np.allclose(fit.basis.T @ fit.basis, np.eye(decontaminate.RANK), atol=1e-4)
+    assert ((whole @ fit.basis) ** 2).sum() > 0.85 * best > 1.5 * ((whole @ chance) ** 2).sum()
+
+
+def test_an_excerpt_of_a_long_item_is_found(spark):
+    item = words(8000, 200, 3000)
+    rows = [(k, words(k, 100, 6000)) for k in range(40)] + [(90, f"{words(61, 40, 6000)} {' '.join(item.split()[50:110])} {words(62, 40, 6000)}")]
+    bench = spark.createDataFrame([("a-1", item)], "item_id string, text string")
+    assert [(x.doc_id, x.item_id) for x in decontaminate.contaminated(table(spark, rows), bench).collect()] == [(90, "a-1")]
+
+
 def test_common_subsequence():
     r = random.Random(3)
     for _ in range(200):
