@@ -1,21 +1,27 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 ``LineRuns`` keeps, for every line key seen so far, a 128-bit hash with the number of
-documents that hold it and the largest id among them. Each batch of documents adds one
-run, sorted by hash and written to the shared folder; ``fan`` runs of a level are
-merged into one run of the next, so n batches leave O(fan * log n) runs and a key is
-rewritten O(log n) times. ``unseen`` anti-joins a batch to the runs there are, which
-tells the lines never seen before; ``line_dedup`` does not take that step, since its
-result needs counts, to which known keys add as much as new ones.
+documents that hold it and the largest id among them. Runs are dealt into buckets by
+hash and sorted in each, so two runs meet bucket by bucket without a shuffle.
+
+* Each batch of documents is merge-anti-joined to the runs there are. What no run has
+  becomes a run of its own, so a key is in one run only; what some run has already goes
+  to the updates, which hold just keys that more than one batch has.
+* Runs are compacted periodically: ``fan`` runs of a level are merged into one run of the
+  next, so n batches leave O(fan * log n) runs and a key is rewritten O(log n) times.
+
+The keys to drop follow from the runs and the updates: a key that only one batch had is
+never looked at again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import lean
@@ -23,6 +29,8 @@ from .common import fresh_path, only, remove, table, written
 
 SPACES = b" \t\n\x0b\x0c\r"
 LEAST_CHARS, LEAST_DOCS = 20, 3
+#: Keys of a batch in a bucket of a run; Spark has no more buckets than MOST_BUCKETS.
+BUCKET_KEYS, MOST_BUCKETS = 1 << 20, 100_000
 
 
 def line_key(line: bytes, least: int = LEAST_CHARS) -> bytes | None:
@@ -50,67 +58,94 @@ def _keys(least: int):
 
 
 class LineRuns:
-    """The runs: levels[i] lists the paths of level i's runs (h, n, keep), each sorted by h."""
-
-    def __init__(self, spark, fan: int = 2, least_chars: int = LEAST_CHARS):
-        self.spark, self.fan, self.least, self.levels = spark, fan, least_chars, []
-
-    def keys(self, docs: DataFrame) -> DataFrame:
-        """(h, id), once for each document and key."""
-        return docs.select(F.col("id").cast("long").alias("id"), "t").mapInArrow(lean(_keys(self.least)), "h binary, id long")
-
-    def read(self) -> DataFrame | None:
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.schema("h binary, n long, keep long").parquet(*paths) if paths else None
-
-    def unseen(self, docs: DataFrame) -> DataFrame:
-        """(h, id) of the batch's lines that no earlier batch had: the anti-join."""
-        keys, runs = self.keys(docs), self.read()
-        return keys if runs is None else keys.join(runs.select("h").distinct(), "h", "left_anti")
-
-    def add(self, docs: DataFrame) -> None:
-        """Writes the batch's run, then merges every level that has become full."""
-        run = self.keys(docs).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep"))
-        self._put(run, 0)
-
-    def _put(self, run: DataFrame, level: int) -> None:
-        path = fresh_path(self.spark, f"line-run-{level}")
-        run.sortWithinPartitions("h").write.option("compression", "zstd").parquet(path)
+    """levels[i] lists level i's runs, and ``updates`` the batches' known keys: (table, path) each."""
+
+    def __init__(self, spark, buckets: int = 8, fan: int = 2):
+        self.spark, self.buckets, self.fan = spark, buckets, fan
+        self.levels: list[list[tuple[str, str]]] = []
+        self.updates: list[tuple[str, str]] = []
+
+    def runs(self) -> list[DataFrame]:
+        return [self._read(x) for level in self.levels for x in level]
+
+    def unseen(self, batch: DataFrame) -> DataFrame:
+        """The rows (h, n, keep) of a batch whose keys no run has: the merge-anti-join."""
+        for run in self.runs():
+            batch = batch.join(run.select("h").hint("merge"), "h", "left_anti")
+        return batch
+
+    def add(self, keys: DataFrame) -> None:
+        """Takes a batch's (h, id), once for each document and key."""
+        grouped = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep"))
+        batch = self._put(grouped.repartition(self.buckets, "h"), "line-batch")
+        if self.levels:
+            fresh = self._put(self.unseen(self._read(batch)), "line-run")
+            known = self._read(batch).join(self._read(fresh).select("h").hint("merge"), "h", "left_anti")
+            self.updates.append(self._put(known, "line-update"))
+            self._drop(batch)
+        else:
+            fresh = batch
+        self._level(fresh, 0)
+
+    def _level(self, run: tuple[str, str], level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(run)
         if len(full := self.levels[level]) >= self.fan:
-            merged = self._merge(self.spark.read.schema("h binary, n long, keep long").parquet(*full))
             self.levels[level] = []
-            self._put(merged, level + 1)
+            self._level(self._put(self._merged(full), "line-run"), level + 1)
             for old in full:
-                remove(self.spark, old)
+                self._drop(old)
 
-    def _merge(self, runs: DataFrame) -> DataFrame:
-        return runs.groupBy("h").agg(F.sum("n").alias("n"), F.max("keep").alias("keep"))
+    def _merged(self, runs: list[tuple[str, str]]) -> DataFrame:
+        """Sorted runs as one; a key of several has its numbers added up."""
+        out = self._read(runs[0])
+        for run in runs[1:]:
+            other = self._read(run).toDF("h", "m", "last").hint("merge")
+            out = out.join(other, "h", "full").select("h", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"), F.greatest("keep", "last").alias("keep"))
+        return out
 
     def repeated(self, least_docs: int = LEAST_DOCS) -> DataFrame:
         """(h, keep) of the keys in ``least_docs`` documents or more."""
-        runs = self.read()
-        return self._merge(runs).filter(F.col("n") >= least_docs).select("h", "keep")
+        found = None
+        more = self._merged(self.updates).toDF("h", "m", "last") if self.updates else None
+        for run in self.runs():
+            if more is not None:
+                run = run.join(more.hint("merge"), "h", "left").select("h", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.greatest("keep", "last").alias("keep"))
+            run = run.filter(F.col("n") >= least_docs).select("h", "keep")
+            found = run if found is None else found.unionByName(run)
+        return self.spark.createDataFrame([], "h binary, keep long") if found is None else found
 
     def close(self) -> None:
-        for level in self.levels:
-            for path in level:
-                remove(self.spark, path)
-        self.levels = []
+        for run in [x for level in self.levels for x in level] + self.updates:
+            self._drop(run)
+        self.levels, self.updates = [], []
+
+    def _put(self, rows: DataFrame, name: str) -> tuple[str, str]:
+        path, table_name = fresh_path(self.spark, name), f"meridia_{uuid.uuid4().hex}"
+        rows.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(self.buckets, "h").sortBy("h").saveAsTable(table_name)
+        return table_name, path
+
+    def _read(self, run: tuple[str, str]) -> DataFrame:
+        return self.spark.table(run[0])
+
+    def _drop(self, run: tuple[str, str]) -> None:
+        self.spark.sql(f"DROP TABLE {run[0]}")
+        remove(self.spark, run[1])
+
+
+def line_keys(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
+    """(h, id), once for each row of (id, t) and key."""
+    return docs.mapInArrow(lean(_keys(least)), "h binary, id long")
 
 
-def batches_by_id(docs: DataFrame, n: int) -> list[DataFrame]:
-    """``docs`` in ``n`` ranges of ids of about equal size; rows without an id are in the first."""
+def _batch(docs: DataFrame, n: int) -> Column:
+    """Which of ``n`` ranges of ids of about equal size an id is in; a row without one is in the first."""
     cuts = sorted(set(docs.select(F.col("id").cast("double").alias("id")).approxQuantile("id", [k / n for k in range(1, n)], 0.01))) if n > 1 else []
-    edges = [None, *cuts, None]
-    out = []
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        test = F.lit(True) if lo is None else F.col("id") >= lo
-        test = test if hi is None else test & (F.col("id") < hi)
-        out.append(docs.filter(test | F.col("id").isNull() if lo is None else test))
-    return out
+    number = F.lit(0)
+    for cut in cuts:
+        number = number + F.coalesce((F.col("id") >= cut).cast("int"), F.lit(0))
+    return number
 
 
 def _rewrite(least: int):
@@ -152,14 +187,18 @@ def line_dedup(
     """
     spark = docs.sparkSession
     rows = only(docs, id=id_col, t=text_col).select(F.col("id").cast("long").alias("id"), F.col("t").cast("string").alias("t"))
-    runs = LineRuns(spark, fan, least_chars)
-    for batch in batches_by_id(rows, batches):
-        runs.add(batch)
+    path = fresh_path(spark, "line-keys")
+    line_keys(rows, least_chars).withColumn("batch", _batch(rows, batches)).write.option("compression", "zstd").partitionBy("batch").parquet(path)
+    keys = spark.read.schema("h binary, id long, batch int").parquet(path)
+    sizes = {r.batch: r.n for r in keys.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).collect()}
+    runs = LineRuns(spark, min(MOST_BUCKETS, 1 + max(sizes.values(), default=0) // BUCKET_KEYS), fan)
+    for batch in sorted(sizes):
+        runs.add(keys.filter(F.col("batch") == batch).select("h", "id"))
     repeated = written(runs.repeated(least_docs).filter("keep is not null"), "repeated-lines")
     runs.close()
     # The keys of a document meet the repeated keys; a hot key is a skewed join, which
     # is split at run time, and the other side has one row for each key.
-    gone = runs.keys(rows).join(repeated, "h").filter(~F.col("id").eqNullSafe(F.col("keep")))
+    gone = keys.join(repeated, "h").filter(~F.col("id").eqNullSafe(F.col("keep")))
     drops = gone.groupBy("id").agg(F.collect_set("h").alias("drops"))
     joined = rows.join(drops, rows["id"].eqNullSafe(drops["id"]), "left").select(rows["id"], "t", "drops")
     out = joined.mapInArrow(lean(_rewrite(least_chars)), "id long, n_lines long, n_dropped long, kept string, sha string")

@@ -204,13 +204,24 @@ def test_line_dedup(spark):
 
 
 def test_line_runs_level_and_compact(spark):
-    docs = [table(spark, [(k, f"a line that everyone has got\nline of document {k} alone")]).select(F.col("doc_id").alias("id"), F.col("text").alias("t")) for k in range(5)]
-    runs = line_dedup.LineRuns(spark, fan=2)
-    assert runs.unseen(docs[0]).count() == 2
-    for d in docs:
-        runs.add(d)
-    assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert runs.unseen(docs[3]).count() == 0 and [r.keep for r in runs.repeated().collect()] == [4]
+    runs = line_dedup.LineRuns(spark, buckets=3, fan=2)
+    r, seen = random.Random(14), defaultdict(list)
+    for k in range(7):
+        batch = {f"line number {r.randrange(60)} of this test".encode() for _ in range(25)}
+        keys = [(line_dedup.line_key(x), 10 * k + j) for x in batch for j in range(r.randrange(1, 3))]
+        grouped = spark.createDataFrame(keys, "h binary, id long")
+        new = {bytes(x.h) for x in runs.unseen(grouped.select("h")).collect()}
+        assert new == {h for h, _ in keys} - set(seen)
+        for h, i in keys:
+            seen[h].append(i)
+        runs.add(grouped)
+    assert [len(x) for x in runs.levels] == [1, 1, 1] and len(runs.updates) == 6
+    # A key is in one run only, and in the updates if a later batch had it too.
+    held = [bytes(x.h) for run in runs.runs() for x in run.collect()]
+    assert sorted(held) == sorted(seen)
+    plan = runs.unseen(runs.runs()[0])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert {(bytes(x.h), x.keep) for x in runs.repeated(3).collect()} == {(h, max(v)) for h, v in seen.items() if len(v) >= 3}
     runs.close()
 
 
