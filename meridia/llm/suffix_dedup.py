@@ -36,6 +36,9 @@ SPAN, GRAM = 50, 16
 SIDE = (SPAN - GRAM) // 2
 FLUSH, BUCKET = 2_000_000, 32 << 20
 PLACE = np.uint64((1 << 32) - 1)  # a string of Arrow is shorter
+#: Bytes kept of a gram's hash, beside those that its bucket tells; grams that agree by
+#: chance are compared with each other, no more.
+KEY = 5
 
 
 def anchors(raw: np.ndarray, at: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -79,7 +82,7 @@ def _squeezed(e: np.ndarray) -> bytes:
     kept: they are small, so the shuffle's compression shortens them. ``row`` is left out
     where it is 0 throughout."""
     e = e[np.lexsort((e["number"], e["doc"]))]
-    key = np.ascontiguousarray(e["key"]).view(np.uint8).reshape(-1, 8)[:, :6]
+    key = np.ascontiguousarray(e["key"]).view(np.uint8).reshape(-1, 8)[:, :KEY]
     doc, number = (np.diff(e[k].astype(np.int64), prepend=0) for k in ("doc", "number"))
     repeats = bool(e["row"].any())
     first = int(e["doc"][0]) if len(e) else 0
@@ -93,8 +96,8 @@ def _spread(blob: bytes) -> np.ndarray:
     n, small, short, repeats, first = np.frombuffer(blob, "<i8", 5).tolist()
     out, pos = np.zeros(n, ENTRY), 40
     key = np.zeros((n, 8), np.uint8)
-    key[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, pos).reshape(-1, 6)
-    out["key"], pos = key.view("<u8").ravel(), pos + 6 * n
+    key[:, :KEY] = np.frombuffer(blob, np.uint8, KEY * n, pos).reshape(-1, KEY)
+    out["key"], pos = key.view("<u8").ravel(), pos + KEY * n
     for name, kind in (("whole", "<u8"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i4" if small else "<i8"), ("number", "<i2" if short else "<i8"), ("use", "u1"), *([("row", "<i8")] if repeats else [])):
         column = np.frombuffer(blob, kind, n, pos)
         pos += column.nbytes
@@ -220,7 +223,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _packed(repeats: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in pieces(batches, "t"):
             raw, at = buffers(batch["t"])
             row = _row(raw, at) if repeats else np.zeros(batch.num_rows, np.int64)
