@@ -175,3 +175,8 @@ def identify_pages(pages: DataFrame, **options) -> DataFrame:
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
+
+
+def language_id_pages(spark, sf_dir: str) -> DataFrame:
+    """The same operator over web pages, whose markup and addresses are evidence too."""
+    return identify_pages(table(spark, sf_dir, "pages"))

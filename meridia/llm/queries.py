@@ -15,6 +15,8 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_warc": warc.op10_warc,
+    # Operator 8 once more, with all its evidence: documents have neither markup nor address.
+    "language_id_pages": language_id.language_id_pages,
 }
 
 #: DuckDB statements for the operators that SQL can express.

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -336,6 +337,53 @@ def test_language(spark):
     assert {x.lang for x in only} == {"de"}
 
 
+def test_fused_evidence_against_plain_arithmetic(spark):
+    """Text, declared language, host and suffix, also where they are null, tied or repeated."""
+    r = random.Random(23)
+    own = {x: ["".join(r.choice("abcdeéß") for _ in range(r.randrange(2, 6))) for _ in range(12)] for x in ("p", "q", "s")}
+    rows = []
+    for k in range(90):
+        x = r.choice("ppqs")
+        text = None if k == 5 else "12 .." if k == 6 else " ".join(r.choice(own[r.choice([x, x, "p"])]) for _ in range(r.randrange(1, 9)))
+        rows.append((k if k % 9 else k // 2, text, r.choice([x, x, x, "q", None]), r.choice([f"h{x}", "h", None]), r.choice([x, "com", None])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, host string, tld string")
+    got = Counter((x.doc_id, x.lang, round(x.confidence, 9), x.kept) for x in language_id.identify(docs, host="host", suffix="tld").collect())
+
+    names = sorted({x[2] for x in rows} - {None})
+    grams = []
+    for _, text, *_ in rows:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        grams.append(language_id.trigrams(raw, np.array([0, len(raw)]))[0].tolist())
+    seen = [defaultdict(lambda: 0.5) for _ in names]
+    for (_, _, declared, *_), g in zip(rows, grams, strict=True):
+        for x in g if declared else ():
+            seen[names.index(declared)][x] += 1
+    whole = [sum(c.values()) + 0.5 * (language_id.BINS - len(c)) for c in seen]
+    text_score = [[sum(math.log((c[x] if x in c else 0.5) / w) for x in g) / 3 for c, w in zip(seen, whole, strict=True)] for g in grams]
+    known = [any(c.isalpha() for c in t or "") for _, t, *_ in rows]
+    guess = [max(range(len(names)), key=lambda k: (s[k], -k)) if ok else None for s, ok in zip(text_score, known, strict=True)]
+    said = Counter((g, names.index(x[2])) for g, x in zip(guess, rows, strict=True) if g is not None and x[2])
+    total = Counter(g for g in guess if g is not None)
+    base = [(total[k] + 1) / (sum(total.values()) + len(names)) for k in range(len(names))]
+
+    def smoothed(test, up):
+        here = Counter(g for g, x in zip(guess, rows, strict=True) if g is not None and test(x))
+        return [(here[k] + language_id.STRENGTH * up[k]) / (sum(here.values()) + language_id.STRENGTH) for k in range(len(names))]
+
+    want = Counter()
+    for x, s, ok in zip(rows, text_score, known, strict=True):
+        if not ok:
+            want[x[0], None, 0.0, False] += 1
+            continue
+        prior = smoothed(lambda y, x=x: y[3:5] == x[3:5], smoothed(lambda y, x=x: y[4] == x[4], base))
+        word = [math.log((said[g, names.index(x[2])] + 0.5) / (sum(said[g, k] for k in range(len(names))) + 0.5 * (len(names) + 1))) if x[2] else 0.0 for g in range(len(names))]
+        post = [a + math.log(b) + c for a, b, c in zip(s, prior, word, strict=True)]
+        top = max(range(len(names)), key=lambda k: (post[k], -k))
+        sure = 1 / sum(math.exp(p - post[top]) for p in post)
+        want[x[0], names[top], round(sure, 9), sure >= 0.5] += 1
+    assert got == want
+
+
 def test_every_declared_language_counts(spark):
     """More languages than any cap, some of few rows; and no declarations at all."""
     rows = []
