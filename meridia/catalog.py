@@ -18,7 +18,7 @@ from meridia.functions import lines as L
 from meridia.functions import points as P
 from meridia.functions import predicates as Q
 from meridia.operators import aggregates as A
-from meridia.operators import clusters, generators, graph, index, joins, stats, surfaces
+from meridia.operators import clusters, generators, graph, index, joins, meta, stats, surfaces
 from meridia.schema import EARTH_RADIUS as R
 from meridia.schema import HALF_MERCATOR as H
 from meridia.schema import convert_length
@@ -77,9 +77,9 @@ _psi = "(ln(tan(radians(lat2)/2+pi()/4))-ln(tan(radians(lat)/2+pi()/4)))"
 _q = f"CASE WHEN abs({_psi}) > 0 THEN radians(lat2-lat)/nullif({_psi},0) ELSE cos(radians(lat)) END"
 
 
-@query("rhumb_distance", f"SELECT fid, {s6(f'sqrt(power(radians(lat2-lat),2)+power(({_q})*radians(lng2-lng),2))*{R!r}/1000')} AS km FROM P WHERE abs(lat2-lat) > 0.05")
+@query("rhumb_distance", f"SELECT fid, {s6(f'sqrt(power(radians(lat2-lat),2)+power(({_q})*radians(lng2-lng),2))*{R!r}/1000')} AS km FROM P")
 def rhumb_distance(spark, d):
-    return X.customers(spark, d).filter("abs(lat2-lat) > 0.05").select("fid", r6(P.rhumb_distance(*PQ)).alias("km"))
+    return X.customers(spark, d).select("fid", r6(P.rhumb_distance(*PQ)).alias("km"))
 
 
 @query("bearing", f"SELECT fid, {s6(brg(*PQ))} AS deg FROM P")
@@ -90,14 +90,14 @@ def bearing(spark, d):
 _dl = "(CASE WHEN abs(radians(lng2-lng)) > pi() THEN radians(lng2-lng)-2*pi() ELSE radians(lng2-lng) END)"
 
 
-@query("rhumb_bearing", f"SELECT fid, {s6(f'fmod(degrees(atan2(-({_q})*sin({_dl}), cos(radians(lat))*cos(radians(lat2))-sin(radians(lat))*sin(radians(lat2))*cos({_dl})))+360, 360)')} AS deg FROM P WHERE abs(lat2-lat) > 0.05")
+@query("rhumb_bearing", f"SELECT fid, {s6(f'fmod(degrees(atan2(-({_q})*sin({_dl}), cos(radians(lat))*cos(radians(lat2))-sin(radians(lat))*sin(radians(lat2))*cos({_dl})))+360, 360)')} AS deg FROM P")
 def rhumb_bearing(spark, d):
-    return X.customers(spark, d).filter("abs(lat2-lat) > 0.05").select("fid", r6(P.rhumb_bearing(*PQ)).alias("deg"))
+    return X.customers(spark, d).select("fid", r6(P.rhumb_bearing(*PQ)).alias("deg"))
 
 
-@query("angle", f"SELECT fid, {s6('CASE WHEN a > 180 THEN 360 - a ELSE a END')} AS deg FROM (SELECT fid, abs({brg('lng2', 'lat2', '0.0', '0.0')} - {brg('lng2', 'lat2', 'lng', 'lat')}) AS a FROM P WHERE (lng <> lng2 OR lat <> lat2) AND (lng2 <> 0 OR lat2 <> 0)) q")
+@query("angle", f"SELECT fid, {s6('CASE WHEN a > 180 THEN 360 - a ELSE a END')} AS deg FROM (SELECT fid, abs({brg('lng2', 'lat2', '0.0', '0.0')} - {brg('lng2', 'lat2', 'lng', 'lat')}) AS a FROM P) q")
 def angle(spark, d):
-    return X.customers(spark, d).filter("(lng <> lng2 OR lat <> lat2) AND (lng2 <> 0 OR lat2 <> 0)").select("fid", r6(P.angle("lng", "lat", "lng2", "lat2", 0.0, 0.0)).alias("deg"))
+    return X.customers(spark, d).select("fid", r6(P.angle("lng", "lat", "lng2", "lat2", 0.0, 0.0)).alias("deg"))
 
 
 _d = f"(500.0*1000/{R!r})"
@@ -112,23 +112,13 @@ def destination(spark, d):
 
 _rl = f"(radians(lat)+{_d}*cos(radians(fid%360)))"
 _rpsi = f"(ln(tan({_rl}/2+pi()/4))-ln(tan(radians(lat)/2+pi()/4)))"
-_rq = f"(({_rl}-radians(lat))/{_rpsi})"
+_rq = f"(CASE WHEN abs({_rpsi}) > 1e-10 THEN ({_rl}-radians(lat))/nullif({_rpsi},0) ELSE cos(radians(lat)) END)"
 _ro = f"(radians(lng)+{_d}*sin(radians(fid%360))/{_rq})"
 
 
-@query("rhumb_destination", f"SELECT fid, {s6(f'degrees(({_ro}+pi())-2*pi()*trunc(({_ro}+pi())/(2*pi()))-pi())')} AS x, {s6(f'degrees({_rl})')} AS y FROM P WHERE abs(lat) < 80 AND fid%180 NOT IN (90)")
+@query("rhumb_destination", f"SELECT fid, {s6(f'degrees(({_ro}+pi())-2*pi()*trunc(({_ro}+pi())/(2*pi()))-pi())')} AS x, {s6(f'degrees({_rl})')} AS y FROM P")
 def rhumb_destination(spark, d):
-    return _rhumb_destinations(X.customers(spark, d).filter("abs(lat) < 80 AND fid%180 NOT IN (90)"))
-
-
-@query("rhumb_destination_all")
-def rhumb_destination_all(spark, d):
-    """Every point, due east and west and near the poles too, where the SQL's formula degenerates."""
-    return _rhumb_destinations(X.customers(spark, d))
-
-
-def _rhumb_destinations(points: DataFrame) -> DataFrame:
-    return points.select("fid", *_two(P.rhumb_destination("lng", "lat", 500.0, F.col("fid") % 360)))
+    return X.customers(spark, d).select("fid", *_two(P.rhumb_destination("lng", "lat", 500.0, F.col("fid") % 360)))
 
 
 _bx, _by = "(cos(radians(lat2))*cos(radians(lng2-lng)))", "(cos(radians(lat2))*sin(radians(lng2-lng)))"
@@ -205,28 +195,50 @@ def line_segments(spark, d):
     return rows.select("fid", F.col("seg").cast("long").alias("seg"), r6(G.path("geom")[0][0]).alias("ax"), r6(G.path("geom")[1][1]).alias("bLat"))
 
 
-@query("great_circle", f"SELECT fid, 50 AS n, {s6('lng')} AS x0, {s6('lat2')} AS y1 FROM P WHERE (lng <> lng2 OR lat <> lat2) AND abs(abs(lng-lng2)-180) > 0.05 AND abs(lat+lat2) > 0.05")
+_arc = "2*asin(sqrt(power(sin(radians(lat2-lat)/2),2)+cos(radians(lat))*cos(radians(lat2))*power(sin(radians(lng2-lng)/2),2)))"
+_ga, _gb = f"(sin(25.0/49*({_arc}))/sin({_arc}))", f"(sin(24.0/49*({_arc}))/sin({_arc}))"
+_gx = f"({_ga}*cos(radians(lat))*cos(radians(lng))+{_gb}*cos(radians(lat2))*cos(radians(lng2)))"
+_gy = f"({_ga}*cos(radians(lat))*sin(radians(lng))+{_gb}*cos(radians(lat2))*sin(radians(lng2)))"
+_gz = f"({_ga}*sin(radians(lat))+{_gb}*sin(radians(lat2)))"
+_same = "lng = lng2 AND lat = lat2"
+
+
+@query("great_circle", f"SELECT fid, CASE WHEN {_same} THEN NULL ELSE 50 END AS n, CASE WHEN NOT ({_same}) AND sin({_arc}) > 1e-3 THEN {s6(f'degrees(atan2({_gy}, {_gx}))')} END AS x, CASE WHEN NOT ({_same}) AND sin({_arc}) > 1e-3 THEN {s6(f'degrees(atan2({_gz}, sqrt(power({_gx},2)+power({_gy},2))))')} END AS y FROM P")
 def great_circle(spark, d):
-    rows = X.customers(spark, d).filter("(lng <> lng2 OR lat <> lat2) AND abs(abs(lng-lng2)-180) > 0.05 AND abs(lat+lat2) > 0.05")
-    g = L.great_circle(*PQ, n=50)
-    return rows.select("fid", g.alias("g"), "lng").select("fid", F.size(G.path("g")).alias("n"), r6(F.when(F.abs(G.path("g")[0][0] - F.col("lng")) > 359, -G.path("g")[0][0]).otherwise(G.path("g")[0][0])).alias("x0"), r6(G.path("g")[49][1]).alias("y1"))
+    """The 25th of 50 positions; without numbers where any arc through it is as good (antipodal ends)."""
+    rows = X.customers(spark, d).select("fid", L.great_circle(*PQ, n=50).alias("g"), (F.sin(P.haversine(*PQ) / R) > 1e-3).alias("sure"))
+    at = lambda k: F.when(F.col("sure"), r6(G.path("g")[24][k]))
+    return rows.select("fid", F.when(F.col("g").isNotNull(), F.size(G.path("g"))).alias("n"), at(0).alias("x"), at(1).alias("y"))
+
 
+_cum = f"SELECT *, gone - step AS before, max(gone) OVER (PARTITION BY fid) AS whole FROM (SELECT *, {_seg} AS step, sum({_seg}) OVER (PARTITION BY fid ORDER BY k) AS gone FROM L WHERE k > 1) a"
 
-@query("line_chunks", f"SELECT fid, CAST(ceil((sum({_seg})-0.01)/2000000) AS BIGINT) AS n FROM L WHERE k > 1 GROUP BY fid")
+
+_piece = f"(SELECT fid, any_value(whole) AS whole, unnest(range(CAST(ceil((any_value(whole)-0.01)/2e6) AS BIGINT))) AS i FROM ({_cum}) b GROUP BY fid)"
+
+
+@query("line_chunks", f"SELECT c.fid, i, {s6('arg_min(px+(lng-px)*(i*2e6-before)/step, k) FILTER (gone >= i*2e6)')} AS x, {s6('arg_min(py+(lat-py)*(i*2e6-before)/step, k) FILTER (gone >= i*2e6)')} AS y, 2 + count(*) FILTER (before >= i*2e6 AND gone <= least((i+1)*2e6, c.whole) AND k < n) AS n FROM ({_cum}) c JOIN {_piece} p ON c.fid = p.fid GROUP BY c.fid, i")
 def line_chunks(spark, d):
-    return X.trajectories(spark, d).select("fid", F.coalesce(F.size(L.chunks("geom", 2000.0)), F.lit(0)).cast("long").alias("n"))
+    pieces = X.trajectories(spark, d).select("fid", F.posexplode(L.chunks("geom", 2000.0)).alias("i", "g"))
+    first = G.path("g")[0]
+    return pieces.select("fid", F.col("i").cast("long").alias("i"), r6(first[0]).alias("x"), r6(first[1]).alias("y"), F.size(G.path("g")).cast("long").alias("n"))
 
 
-@query("slice_along", f"SELECT fid, 2 + count(*) FILTER (WHERE gone > 1000000 AND gone < 4000000) AS n FROM (SELECT fid, sum({_seg}) OVER (PARTITION BY fid ORDER BY k) AS gone FROM L WHERE k > 1) q GROUP BY fid")
+@query("slice_along", f"SELECT fid, CASE WHEN any_value(whole) <= 1e6 THEN 1 ELSE 2 + count(*) FILTER (before >= 1e6 AND gone <= 4e6 AND k < n) END AS n, 2 + count(*) FILTER (gone > 1e6 AND gone < 4e6) AS corrected FROM ({_cum}) q GROUP BY fid")
 def slice_along(spark, d):
-    g = L.slice_along("geom", 1000.0, 4000.0, mode="corrected")
-    return X.trajectories(spark, d).select("fid", F.size(G.path(g)).cast("long").alias("n"))
+    size = lambda mode: F.size(G.path(L.slice_along("geom", 1000.0, 4000.0, mode=mode))).cast("long")
+    return X.trajectories(spark, d).select("fid", size("reference").alias("n"), size("corrected").alias("corrected"))
+
+
+def _nearest_index(x: float, y: float) -> str:
+    t = f"greatest(0, least(1, (({x}-px)*(lng-px)+({y}-py)*(lat-py))/(power(lng-px,2)+power(lat-py,2))))"
+    return f"SELECT fid, arg_min(k-2, ({hav(str(x), str(y), f'px+{t}*(lng-px)', f'py+{t}*(lat-py)')}, k)) AS i FROM L WHERE k > 1 GROUP BY fid"
 
 
-@query("line_slice")
+@query("line_slice", f"SELECT a.fid, CASE WHEN a.i < b.i THEN 2+b.i-a.i WHEN a.i > b.i THEN 2+n.n-a.i+b.i ELSE 2 END AS n FROM ({_nearest_index(0.0, 0.0)}) a JOIN ({_nearest_index(100.0, 40.0)}) b USING (fid) JOIN (SELECT fid, any_value(n) AS n FROM L GROUP BY fid) n USING (fid)")
 def line_slice(spark, d):
     g = L.slice_between(G.point(0.0, 0.0), G.point(100.0, 40.0), "geom")
-    return X.trajectories(spark, d).select("fid", F.size(G.path(g)).alias("n"))
+    return X.trajectories(spark, d).select("fid", F.size(G.path(g)).cast("long").alias("n"))
 
 
 @query("line_split", "SELECT fid, CASE WHEN n = 2 THEN 1 ELSE 2 END AS parts FROM L WHERE k = 1")
@@ -236,19 +248,45 @@ def line_split(spark, d):
     return X.trajectories(spark, d).select("fid", F.size(L.split("geom", G.point(p[1][0], p[1][1]))).alias("parts"))
 
 
-@query("kinks")
+_kx, _ky = "(a.px+t*(a.lng-a.px))", "(a.py+t*(a.lat-a.py))"
+_den = "((a.lng-a.px)*(b.lat-b.py)-(a.lat-a.py)*(b.lng-b.px))"
+
+
+@query("kinks", f"SELECT l.fid, count(DISTINCT (x, y)) FILTER (x IS NOT NULL) AS n, coalesce(round(avg(x), 6), 0.0) AS x FROM (SELECT DISTINCT fid FROM L WHERE n >= 2) l LEFT JOIN (SELECT DISTINCT fid, round(px+t*ux, 10) AS x, round(py+t*uy, 10) AS y FROM (SELECT a.fid, a.px, a.py, a.lng-a.px AS ux, a.lat-a.py AS uy, ((b.px-a.px)*(b.lat-b.py)-(b.py-a.py)*(b.lng-b.px))/{_den} AS t, ((b.px-a.px)*(a.lat-a.py)-(b.py-a.py)*(a.lng-a.px))/{_den} AS s FROM L a JOIN L b ON a.fid = b.fid AND a.k > 1 AND b.k > a.k AND (a.px <> b.px OR a.py <> b.py) AND (a.px <> b.lng OR a.py <> b.lat) AND (a.lng <> b.px OR a.lat <> b.py) AND (a.lng <> b.lng OR a.lat <> b.lat) AND abs({_den}) >= 1e-15) p WHERE t BETWEEN 0 AND 1 AND s BETWEEN 0 AND 1) q ON l.fid = q.fid GROUP BY l.fid")
 def kinks(spark, d):
-    return X.trajectories(spark, d).select("fid", F.size(L.kinks("geom")).alias("n"))
+    found = X.trajectories(spark, d).select("fid", L.kinks("geom").alias("ks"))
+    return found.select("fid", F.size("ks").cast("long").alias("n"), F.when(F.size("ks") > 0, F.round(G.total(F.col("ks"), lambda p: p[0]) / F.size("ks"), 6)).otherwise(0.0).alias("x"))
+
+
+def _to(x: str, y: str, km: str, deg: str) -> tuple[str, str]:
+    """SQL for the destination (lng, lat) in degrees."""
+    a = f"({km}*1000/{R!r})"
+    la = f"asin(greatest(-1, least(1, sin(radians({y}))*cos({a})+cos(radians({y}))*sin({a})*cos(radians({deg})))))"
+    lo = f"(radians({x})+atan2(sin(radians({deg}))*sin({a})*cos(radians({y})), cos({a})-sin(radians({y}))*sin({la})))"
+    return f"degrees(({lo}+pi())-2*pi()*trunc(({lo}+pi())/(2*pi()))-pi())", f"degrees({la})"
+
+
+def _spots(name: str, at: list[int], spot: Callable[[int], tuple[str, str]], n: int) -> str:
+    return f"SELECT sid, {n} AS n, " + ", ".join(f"{s6(spot(i)[k])} AS {c}{i}" for i in at for k, c in enumerate("xy")) + " FROM S"
 
 
-@query("line_arc", "SELECT sid, 17 AS n FROM S")
+def _shape(spark, d, g: Column, at: list[int]) -> DataFrame:
+    rows = X.suppliers(spark, d).select("sid", G.path(g).alias("p"))
+    return rows.select("sid", F.size("p").alias("n"), *(r6(F.col("p")[i][k]).alias(f"{c}{i}") for i in at for k, c in enumerate("xy")))
+
+
+def _on_arc(b1: float, span: float, skip: int) -> Callable[[int], tuple[str, str]]:
+    return lambda i: _to("slng", "slat", "100.0", str((b1 + span * (i - skip) / 16) % 360))
+
+
+@query("line_arc", _spots("line_arc", [0, 5, 12, 16], _on_arc(300.0, 120.0, 0), 17))
 def line_arc(spark, d):
-    return X.suppliers(spark, d).select("sid", F.size(G.path(G.line_arc("slng", "slat", 100.0, 300.0, 60.0, 16))).alias("n"))
+    return _shape(spark, d, G.line_arc("slng", "slat", 100.0, 300.0, 60.0, 16), [0, 5, 12, 16])
 
 
-@query("sector", "SELECT sid, 19 AS n FROM S")
+@query("sector", _spots("sector", [1, 6, 17], _on_arc(20.0, 70.0, 1), 19))
 def sector(spark, d):
-    return X.suppliers(spark, d).select("sid", F.size(G.path(G.sector("slng", "slat", 100.0, 20.0, 90.0, 16))).alias("n"))
+    return _shape(spark, d, G.sector("slng", "slat", 100.0, 20.0, 90.0, 16), [1, 6, 17])
 
 
 @query("bezier", f"SELECT fid, 101 AS n, {s6('any_value(CASE WHEN k = 1 THEN lng END)')} AS x0 FROM L GROUP BY fid HAVING count(*) >= 2")
@@ -393,16 +431,27 @@ def concave(spark, d):
     return X.triangles(spark, d).select("zid", Q.concave("geom").alias("tri"), Q.concave(dart).alias("dart"))
 
 
-@query("circle", "SELECT sid, 33 AS n, true AS closed, 100.0 AS r FROM S WHERE abs(slat) < 60 AND abs(slng) < 170")
+def _sum_of_two(rx: str, ry: str) -> Callable[[int], tuple[str, str]]:
+    def spot(i: int) -> tuple[str, str]:
+        a, b = _to("slng", "slat", rx, str(360.0 * i / 32)), _to("slng", "slat", ry, str(360.0 * i / 32 + 90))
+        return f"slng+({a[0]}-slng+{b[0]}-slng)", f"slat+({a[1]}-slat+{b[1]}-slat)"
+
+    return spot
+
+
+@query("circle", _spots("circle", [0, 5, 20], _sum_of_two("100.0", "100.0"), 33))
 def circle(spark, d):
-    g = G.circle("slng", "slat", 100.0, 32, mode="corrected")
-    rows = X.suppliers(spark, d).filter("abs(slat) < 60 and abs(slng) < 170").select("sid", "slng", "slat", G.path(g).alias("p"))
-    return rows.select("sid", F.size("p").alias("n"), (F.col("p")[0] == F.col("p")[32]).alias("closed"), F.round(P.distance("slng", "slat", F.col("p")[5][0], F.col("p")[5][1]), 6).alias("r"))
+    return _shape(spark, d, G.circle("slng", "slat", 100.0, 32), [0, 5, 20])
+
 
+@query("circle_corrected", _spots("circle", [0, 5, 20], lambda i: _to("slng", "slat", "100.0", str(-360.0 * i / 32)), 33))
+def circle_corrected(spark, d):
+    return _shape(spark, d, G.circle("slng", "slat", 100.0, 32, mode="corrected"), [0, 5, 20])
 
-@query("ellipse", "SELECT sid, 33 AS n FROM S")
+
+@query("ellipse", _spots("ellipse", [0, 5, 20], _sum_of_two("100.0", "50.0"), 33))
 def ellipse(spark, d):
-    return X.suppliers(spark, d).select("sid", F.size(G.path(G.ellipse("slng", "slat", 100.0, 50.0, 32))).alias("n"))
+    return _shape(spark, d, G.ellipse("slng", "slat", 100.0, 50.0, 32), [0, 5, 20])
 
 
 _in_tri = "lng BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1 AND (y1-y0)*(lng-x0)*2 >= (x1-x0)*(lat-y0) AND (y1-y0)*(x1-lng)*2 >= (x1-x0)*(lat-y0)"
@@ -535,21 +584,17 @@ def nearest_each(spark, d):
     return joins.nearest_each(X.customers(spark, d), X.suppliers(spark, d)).select("fid", r6(F.col("dist")).alias("dist"))
 
 
-@query("line_intersections", "SELECT count(*) AS n FROM (SELECT DISTINCT round(h.slng, 10), round(v.slat, 10) FROM S h, S v WHERE h.sid <= 100 AND v.sid <= 100 AND abs(h.slng - v.slng) <= 20 AND abs(v.slat - h.slat) <= 20) q")
+@query("line_intersections", "SELECT count(*) AS n, round(sum(x), 4) AS x FROM (SELECT DISTINCT round(h.slng, 10) AS x, round(v.slat, 10) AS y FROM S h, S v WHERE abs(h.slng - v.slng) <= 20 AND abs(v.slat - h.slat) <= 20) q")
 def line_intersections(spark, d):
-    return _crossings(X.suppliers(spark, d).filter("sid <= 100"))
-
-
-@query("line_intersections_all")
-def line_intersections_all(spark, d):
-    """Of every supplier's lines."""
+    """Of a standing and a lying line about every supplier."""
     return _crossings(X.suppliers(spark, d))
 
 
 def _crossings(s: DataFrame) -> DataFrame:
     up = s.select(G.linestring(F.array(G.position("slng", F.col("slat") - 20), G.position("slng", F.col("slat") + 20))).alias("geom"))
     flat = s.select(G.linestring(F.array(G.position(F.col("slng") - 20, "slat"), G.position(F.col("slng") + 20, "slat"))).alias("geom"))
-    return joins.line_intersections(up, flat, cell=10.0).agg(F.count(F.lit(1)).alias("n"))
+    found = joins.line_intersections(up, flat, cell=10.0)
+    return found.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 4).alias("x"))
 
 
 @query("line_overlaps", f"SELECT sid, {s6('least(50, bx1)-greatest(-50, bx0)')} AS d FROM B WHERE least(50, bx1) > greatest(-50, bx0)")
@@ -734,9 +779,19 @@ def _flat_area(g) -> Column:
     return G.total(F.flatten(G._c(g)["coords"]), lambda r: G.total(G.edges(r), cross)) / 2
 
 
-@query("convex_hull")
+def _hull(points: str) -> str:
+    """SQL for the directed edges of the hulls of (g, x, y), whole numbers: all else is to
+    the left, or between the ends."""
+    cross = "((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x))"
+    return f"SELECT a.g, a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey FROM ({points}) a JOIN ({points}) b ON a.g = b.g AND (a.x <> b.x OR a.y <> b.y) JOIN ({points}) c ON a.g = c.g GROUP BY ALL HAVING bool_and({cross} > 0 OR {cross} = 0 AND (c.x-a.x)*(c.x-b.x)+(c.y-a.y)*(c.y-b.y) <= 0)"
+
+
+_tenths = "SELECT DISTINCT g, CAST(round(lng*10) AS BIGINT) AS x, CAST(round(lat*10) AS BIGINT) AS y FROM P"
+
+
+@query("convex_hull", f"SELECT g, {s6('sum(ax*ey-ex*ay)/200.0')} AS a FROM ({_hull(_tenths)}) q GROUP BY g")
 def convex_hull(spark, d):
-    return A.convex_hull(_points(spark, d), "g").select("g", r6(_flat_area("geom")).alias("a"))
+    return A.convex_hull(_points(spark, d), "g").select("g", r6(F.abs(_flat_area("geom"))).alias("a"))
 
 
 @query("directional_mean", "SELECT round(CASE WHEN m < 0 THEN m + 360 ELSE m END, 6) AS mean FROM (SELECT degrees(atan2(avg(sin(b)), avg(cos(b)))) AS m FROM (SELECT atan2(e.lng-s.lng, e.lat-s.lat) AS b FROM L s JOIN L e ON s.fid = e.fid AND s.k = 1 AND e.k = e.n AND s.n >= 2) q) r")
@@ -789,16 +844,10 @@ _za, _ba = "((x1-x0)*(y1-y0))", "((bx1-bx0)*(by1-by0))"
 
 
 def _clipping(name: str, op: str, sql: str) -> None:
-    @query(name, f"SELECT zid, sid, {s6(sql)} AS a FROM Z, B WHERE sid <= 10")
+    @query(name, f"SELECT zid, sid, {s6(sql)} AS a FROM Z, B")
     def run(spark, d):
-        return areas(_zone_boxes(spark, d).filter("sid <= 10"))
-
-    @query(f"{name}_all")
-    def run_all(spark, d):
-        return areas(_zone_boxes(spark, d))
-
-    def areas(pairs: DataFrame) -> DataFrame:
-        return pairs.select("zid", "sid", K.combine("geom", "geom2", op).alias("g")).select("zid", "sid", F.coalesce(r6(_flat_area("g")), F.lit(0.0)).alias("a"))
+        pairs = _zone_boxes(spark, d).select("zid", "sid", K.combine("geom", "geom2", op).alias("g"))
+        return pairs.select("zid", "sid", F.coalesce(r6(_flat_area("g")), F.lit(0.0)).alias("a"))
 
 
 _clipping("polygon_union", "union", f"{_za}+{_ba}-{_ov}")
@@ -813,30 +862,33 @@ def bbox_clip(spark, d):
     return got.select("sid", r6(_flat_area("g")).alias("a")).filter("a > 0")
 
 
-@query("simplify")
-def simplify(spark, d):
-    return X.trajectories(spark, d).select("fid", G.coord_count(K.simplify("geom", 20.0)).alias("n"))
+_sp = "greatest(0, least(1, CASE WHEN power(w.lng-u.lng,2)+power(w.lat-u.lat,2) = 0 THEN 0 ELSE ((v.lng-u.lng)*(w.lng-u.lng)+(v.lat-u.lat)*(w.lat-u.lat))/(power(w.lng-u.lng,2)+power(w.lat-u.lat,2)) END))"
+_sd = f"(power(v.lng-u.lng-{_sp}*(w.lng-u.lng),2)+power(v.lat-u.lat-{_sp}*(w.lat-u.lat),2))"
 
 
-@query("line_offset")
-def line_offset(spark, d):
-    return X.trajectories(spark, d).select("fid", G.coord_count(K.line_offset("geom", 10.0)).alias("n"))
+@query("simplify", f"SELECT fid, 2 + (count(*)-1)//2 AS n FROM (WITH RECURSIVE r AS (SELECT fid, CAST(1 AS BIGINT) AS lo, CAST(n AS BIGINT) AS hi FROM L WHERE k = 1 AND n >= 2 UNION ALL SELECT fid, CASE WHEN side = 1 THEN lo ELSE m END, CASE WHEN side = 1 THEN m ELSE hi END FROM (SELECT r.fid, lo, hi, CAST(arg_max(v.k, ({_sd}, -v.k)) AS BIGINT) AS m, max({_sd}) AS far FROM r JOIN L u ON u.fid = r.fid AND u.k = lo JOIN L w ON w.fid = r.fid AND w.k = hi JOIN L v ON v.fid = r.fid AND v.k > lo AND v.k < hi GROUP BY r.fid, lo, hi) q, (VALUES (1), (2)) s(side) WHERE far > 400) SELECT * FROM r) z GROUP BY fid")
+def simplify(spark, d):
+    return X.trajectories(spark, d).select("fid", G.coord_count(K.simplify("geom", 20.0)).cast("long").alias("n"))
 
 
-@query("buffer", f"SELECT sid, {s6('(bx1-bx0)*(by1-by0)')} AS lower FROM B WHERE sid <= 10")
-def buffer(spark, d):
-    """A buffered box holds the box: what both have in common is the box."""
-    return _buffered(X.boxes(spark, d).filter("sid <= 10"))
+_away = f"(-10.0*1000/({R!r}*pi()/180))"
+_grow = lambda y: f"(CASE WHEN abs({y}) >= 89.91 THEN 1 ELSE 1/cos(radians({y})) END)"
+_moved_ends = f"SELECT fid, k, n, px+nx*{_grow('py')} AS ax, py+ny AS ay, lng+nx*{_grow('lat')} AS ex, lat+ny AS ey FROM (SELECT *, -(lat-py)/sqrt(power(lng-px,2)+power(lat-py,2))*{_away} AS nx, (lng-px)/sqrt(power(lng-px,2)+power(lat-py,2))*{_away} AS ny FROM L WHERE k > 1) o"
+_turn = "((ex-ax)*(dy-cy)-(ey-ay)*(dx-cx))"
+_cut_at = f"(((cx-ax)*(dy-cy)-(cy-ay)*(dx-cx))/{_turn})"
+_corner_off = f"sqrt(power(ax+{_cut_at}*(ex-ax)-ex,2)+power(ay+{_cut_at}*(ey-ay)-ey,2))/sqrt(power(ex-ax,2)+power(ey-ay,2))"
 
 
-@query("buffer_all")
-def buffer_all(spark, d):
-    """Of every box."""
-    return _buffered(X.boxes(spark, d))
+@query("line_offset", f"SELECT fid, 2 + count(*) FILTER (k < n) + count(*) FILTER (k < n AND NOT mitred) AS n, round(sum(CASE WHEN k = 2 THEN ax ELSE 0 END + CASE WHEN k = n THEN ex WHEN mitred THEN ax+{_cut_at}*(ex-ax) ELSE ex+cx END), 4) AS x FROM (SELECT *, coalesce(abs({_turn}) >= 1e-15 AND {_corner_off} <= 2*abs({_away}), false) AS mitred FROM (SELECT *, lead(ax) OVER w AS cx, lead(ay) OVER w AS cy, lead(ex) OVER w AS dx, lead(ey) OVER w AS dy FROM ({_moved_ends}) m WINDOW w AS (PARTITION BY fid ORDER BY k)) p) q GROUP BY fid")
+def line_offset(spark, d):
+    rows = X.trajectories(spark, d).select("fid", G.path(K.line_offset("geom", 10.0)).alias("p"))
+    return rows.select("fid", F.size("p").cast("long").alias("n"), F.round(G.total(F.col("p"), lambda v: v[0]), 4).alias("x"))
 
 
-def _buffered(boxes: DataFrame) -> DataFrame:
-    rows = boxes.select("sid", "geom2", K.buffer("geom2", 50.0).alias("g"))
+@query("buffer", f"SELECT sid, {s6('(bx1-bx0)*(by1-by0)')} AS lower FROM B")
+def buffer(spark, d):
+    """A buffered box holds the box: what both have in common is the box."""
+    rows = X.boxes(spark, d).select("sid", "geom2", K.buffer("geom2", 50.0).alias("g"))
     common = rows.select("sid", K.polygon_intersect("geom2", "g").alias("c"))
     return common.select("sid", r6(_flat_area("c")).alias("lower"))
 
@@ -859,10 +911,14 @@ def unkink(spark, d):
     return X.zones(spark, d).select("zid", F.size(K.unkink(bow)).alias("n"))
 
 
-@query("tin")
+_tenths_s = "SELECT DISTINCT 0 AS g, CAST(round(slng*10) AS BIGINT) AS x, CAST(round(slat*10) AS BIGINT) AS y FROM S"
+
+
+@query("tin", f", E AS ({_hull(_tenths_s)}), V AS ({_tenths_s}) SELECT (SELECT 2*count(*)-2 FROM V)-(SELECT count(*) FROM V WHERE EXISTS (SELECT 1 FROM E WHERE (ex-ax)*(V.y-ay)-(ey-ay)*(V.x-ax) = 0)) AS n, {s6('sum(ax*ey-ex*ay)/200.0')} AS a FROM E")
 def tin(spark, d):
+    """As many triangles as points within and on the hull imply, which together fill the hull."""
     s = X.suppliers(spark, d).select(F.col("sid").alias("fid"), F.col("slng").alias("lng"), F.col("slat").alias("lat"), "v")
-    return surfaces.tin(s, "v").agg(F.count(F.lit(1)).alias("n"), r6(F.sum(_flat_area("geom"))).alias("a"))
+    return surfaces.tin(s, "v").agg(F.count(F.lit(1)).alias("n"), r6(F.sum(F.abs(_flat_area("geom")))).alias("a"))
 
 
 @query("voronoi", "SELECT count(*) AS n, 61200.0 AS a FROM (SELECT DISTINCT slng, slat FROM S) q")
@@ -907,28 +963,26 @@ def isobands(spark, d):
 # clusters and networks
 
 
-@query("kmeans", "SELECT count(*) AS n, 5 AS k FROM P")
+@query("kmeans", "SELECT count(*) AS n, 5 AS k, 0 AS misplaced, 0 AS drifted FROM P")
 def kmeans(spark, d):
-    return clusters.kmeans(X.customers(spark, d).select("fid", "lng", "lat"), 5).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster").cast("int").alias("k"))
+    """A fixed point of Lloyd's iterations: every point is with its nearest centre, and every
+    centre is the mean of its points."""
+    got = clusters.kmeans(X.customers(spark, d).select("fid", "lng", "lat"), 5)
+    centres = F.broadcast(got.groupBy("cluster").agg(F.avg("lng").alias("mx"), F.avg("lat").alias("my"), F.first("cx").alias("ox"), F.first("cy").alias("oy")))
+    gap = F.hypot(F.col("lng") - F.col("mx"), F.col("lat") - F.col("my"))
+    near = got.select("fid", "lng", "lat", F.col("cluster").alias("own")).join(centres).groupBy("fid").agg(F.min(gap).alias("least"), F.max(F.when(F.col("own") == F.col("cluster"), gap)).alias("mine"))
+    wrong = near.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("mine") > F.col("least") + 1e-9).cast("int")), F.lit(0)).cast("int").alias("misplaced"))
+    moved = centres.agg(F.count(F.lit(1)).cast("int").alias("k"), F.sum((F.hypot(F.col("mx") - F.col("ox"), F.col("my") - F.col("oy")) > 1e-6).cast("int")).cast("int").alias("drifted"))
+    return wrong.join(moved).select("n", "k", "misplaced", "drifted")
 
 
 _nb = "sqrt(power(a.slng-b.slng,2)+power(a.slat-b.slat,2)) <= 20"
 
 
-@query("dbscan", f", N AS (SELECT a.sid AS i, b.sid AS j FROM S a JOIN S b ON a.sid <> b.sid AND {_nb}), C AS (SELECT i FROM N GROUP BY i HAVING count(*) >= 3), E AS (SELECT N.i, N.j FROM N JOIN C x ON x.i = N.i JOIN C y ON y.i = N.j) SELECT (SELECT count(*) FROM C) AS core, (SELECT count(*) FROM S WHERE sid NOT IN (SELECT i FROM C) AND sid NOT IN (SELECT N.i FROM N JOIN C ON C.i = N.j)) AS noise")
+@query("dbscan", f", N AS (SELECT a.sid AS i, b.sid AS j, power(a.slng-b.slng,2)+power(a.slat-b.slat,2) AS d FROM S a JOIN S b ON a.sid <> b.sid AND {_nb}), C AS (SELECT i FROM N GROUP BY i HAVING count(*) >= 3), E AS (SELECT N.i, N.j FROM N JOIN C x ON x.i = N.i JOIN C y ON y.i = N.j), H AS (SELECT node, min(other) AS component FROM (WITH RECURSIVE r AS (SELECT i AS node, i AS other FROM C UNION SELECT r.node, E.j FROM r JOIN E ON r.other = E.i) SELECT * FROM r) q GROUP BY node), O AS (SELECT N.i AS node, arg_min(H.component, (round(d, 9), N.j)) AS component FROM N JOIN H ON H.node = N.j WHERE N.i NOT IN (SELECT i FROM C) GROUP BY N.i), A AS (SELECT * FROM H UNION ALL SELECT * FROM O) SELECT sid AS fid, coalesce(k, 0) AS cluster FROM S LEFT JOIN (SELECT node, dense_rank() OVER (ORDER BY component) AS k FROM A) z ON z.node = sid")
 def dbscan(spark, d):
     s = X.suppliers(spark, d).select(F.col("sid").alias("fid"), F.col("slng").alias("lng"), F.col("slat").alias("lat"))
-    left = s.select(F.col("fid").alias("i"), F.col("lng").alias("x"), F.col("lat").alias("y"))
-    right = s.select(F.col("fid").alias("j"), F.col("lng").alias("rx"), F.col("lat").alias("ry"))
-    core = joins_near(left, right).filter("i <> j").groupBy("i").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
-    noise = clusters.dbscan(s, 20.0, 3).agg(F.sum(F.when(F.col("cluster") == 0, 1).otherwise(0)).alias("noise"))
-    return core.agg(F.count(F.lit(1)).alias("core")).crossJoin(noise)
-
-
-def joins_near(left: DataFrame, right: DataFrame) -> DataFrame:
-    from meridia.plans.spatial_join import near_pairs
-
-    return near_pairs(left, right, 20.0)
+    return clusters.dbscan(s, 20.0, 3).select("fid", F.col("cluster").cast("long").alias("cluster"))
 
 
 @query("shortest_path", f"SELECT {s6('2*sqrt(power(72.0, 2))+2*34.0')} AS cost")
@@ -947,3 +1001,62 @@ def geojson_roundtrip(spark, d):
     docs = rows.select(geojson.feature_json("geom", "props").alias("value"))
     back = geojson.from_json_column(docs)
     return back.select(geojson.number("props", "fid").cast("long").alias("fid"), r6(G.x_of("geom")).alias("x"), r6(G.y_of("geom")).alias("y"), r6(geojson.number("props", "w")).alias("w"))
+
+
+@query("geojson_multipolygon", f"SELECT zid, 'MultiPolygon' AS t, 10 AS vertices, {s6('2*(x1-x0)*(y1-y0)')} AS a FROM Z")
+def geojson_multipolygon(spark, d):
+    """Two rectangles as one feature, all features as one collection's text, and back."""
+    far = G.translate("geom", 400.0, 0.0)
+    rows = X.zones(spark, d).select("zid", G.multipolygon(F.array(G.rings("geom"), G.rings(far))).alias("geom"), F.parse_json(F.to_json(F.struct("zid"))).alias("props"))
+    texts = rows.select(geojson.feature_json("geom", "props").alias("f"))
+    whole = texts.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("f"), ","), F.lit("]}")).alias("value"))
+    back = geojson.from_json_column(whole)
+    return back.select(geojson.number("props", "zid").cast("long").alias("zid"), G.get_type("geom").alias("t"), G.coord_count("geom").alias("vertices"), r6(_flat_area("geom")).alias("a"))
+
+
+@query("geojson_collections", f"SELECT fid, part, {s6('lng')} AS x, {s6('CASE WHEN part = 5 THEN lat2 ELSE lat END')} AS y FROM P, (SELECT unnest([0, 5]) AS part) v")
+def geojson_collections(spark, d):
+    """A point, and another under five nested collections."""
+    deep = geojson.geometry_to_json(G.point("lng", "lat2"))
+    for _ in range(5):
+        deep = geojson.nested_collection(F.array(deep))
+    text = geojson.nested_collection(F.array(geojson.geometry_to_json(G.point("lng", "lat")), deep))
+    rows = geojson.members(X.customers(spark, d).select("fid", text.alias("geometry_json")))
+    return rows.select("fid", (F.size("path") - 1).cast("int").alias("part"), r6(G.x_of("geom")).alias("x"), r6(G.y_of("geom")).alias("y"))
+
+
+@query("coordinates", f"SELECT fid, {s6('lng')} AS lng, {s6('lat')} AS lat, {s6('w')} AS z, {s6('lng')} AS minx, {s6('lat')} AS maxy FROM P")
+def coordinates(spark, d):
+    """Longitude, latitude, elevation and the cached box of points with a third number."""
+    rows = X.customers(spark, d).select("fid", G.point("lng", "lat", "w").alias("geom"))
+    boxed = meta.with_bbox(meta.with_id(meta.clone(meta.collection_of(rows, "Point")), F.col("fid")))
+    at = G.get_coord("geom")
+    return boxed.select("fid", r6(at[0]).alias("lng"), r6(at[1]).alias("lat"), r6(at[2]).alias("z"), r6(F.col("bbox.minx")).alias("minx"), r6(F.col("bbox.maxy")).alias("maxy"))
+
+
+@query("folds", "SELECT (SELECT count(*) FROM Z) AS features, (SELECT count(*) FROM Z) AS geoms, (SELECT 5*count(*) FROM Z) AS vertices, (SELECT 10*count(*) FROM Z) AS parts, (SELECT CAST(sum(zid) AS BIGINT) FROM Z) AS props")
+def folds(spark, d):
+    """Features, geometries, vertices, single parts and a property, each folded over the collection."""
+    rows = X.zones(spark, d).select(F.col("zid").alias("fid"), "geom", F.parse_json(F.to_json(F.struct("zid"))).alias("props"))
+    multi = rows.withColumn("geom", G.multipoint(G.path("geom")))
+    sums = {
+        "features": meta.feature_reduce(meta.feature_each(rows), F.lit(1)),
+        "geoms": meta.geom_reduce(rows, F.lit(1)),
+        "vertices": meta.coord_each(rows).agg(F.count(F.lit(1)).alias("acc")),
+        "parts": meta.flatten_reduce(multi.unionByName(multi), F.lit(1)),
+        "props": meta.prop_reduce(meta.prop_each(rows), geojson.number("props", "zid").cast("long")),
+    }
+    out = None
+    for name, df in sums.items():
+        df = df.select(F.col("acc").cast("long").alias(name))
+        out = df if out is None else out.crossJoin(df)
+    return out
+
+
+@query("index_maintenance", "SELECT sid AS fid FROM B WHERE sid % 3 = 0 UNION ALL SELECT zid + 1000000 FROM Z")
+def index_maintenance(spark, d):
+    """Boxes put in and taken out again by id."""
+    boxed = index.with_box(X.boxes(spark, d).select(F.col("sid").alias("fid"), F.col("geom2").alias("geom")))
+    more = index.insert(boxed, X.zones(spark, d).select((F.col("zid") + 1000000).alias("fid"), "geom"))
+    left = index.remove(more, X.boxes(spark, d).filter("sid % 3 <> 0").select(F.col("sid").alias("fid")))
+    return index.all_entries(left.unionByName(index.clear(left))).select("fid")

@@ -39,6 +39,10 @@ def line_offset(g, distance: float, unit: str = "kilometers") -> Column:
     return kernel(lambda x: K.line_offset(x, distance, unit), GEOM_DDL, g)
 
 
+def chunks(g, step: float, mode: str) -> Column:
+    return kernel(lambda x: K.chunks(x, step, mode == "corrected"), GEOMS_DDL, g)
+
+
 def box_clip(g, box, mode: str = "reference") -> Column:
     box = list(box)
     if len(box) < 4:

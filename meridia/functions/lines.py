@@ -151,15 +151,13 @@ def slice_along(g, start, stop, unit: str = "kilometers", mode: str = "reference
     return G.linestring(cut(G.path(g), P._c(start) * metres(unit), P._c(stop) * metres(unit)))
 
 
-def chunks(g, size, unit: str = "kilometers", mode: str = "reference") -> Column:
+def chunks(g, size: float, unit: str = "kilometers", mode: str = "reference") -> Column:
     """Array of the line's consecutive pieces of a length, the last one shorter; a rest of
-    under a centimetre is no piece."""
-    path, step = G.path(g), P._c(size) * metres(unit)
-    whole = G.length(g, "meters")
-    n = F.ceil((whole - 0.01) / step).cast("int")
-    cut = _cut_corrected if mode == "corrected" else _cut
-    piece = lambda i: G.linestring(cut(path, i * step, F.least((i + 1) * step, whole)))
-    return F.when((G.get_type(g) == LINE) & (n >= 1), F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), piece))
+    under a centimetre is no piece. A kernel: each piece as an expression would walk the
+    whole line again."""
+    from meridia.functions import kernels
+
+    return kernels.chunks(g, size * metres(unit), mode)
 
 
 def split(g, p) -> Column:

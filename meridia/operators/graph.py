@@ -16,10 +16,12 @@ _LOCAL: dict[str, str] = {}
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder that the cluster names, and read back; a
-    temporary folder stands in where none is set, as in local tests."""
+    temporary folder stands in where none is set in a local session."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="meridia-"))
     path = f"{base.rstrip('/')}/meridia-step-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -95,6 +97,8 @@ def shortest_path(network: DataFrame, start: tuple[float, float], end: tuple[flo
         best = cut_lineage(best.unionByName(frontier).groupBy("node").agg(F.min(F.struct("cost", "via")).alias("m")).select("node", "m.cost", "m.via"))
         reached = best.filter(F.col("node") == node(b)).first()
         bound = reached.cost if reached else bound
+    else:
+        raise RuntimeError(f"the path didn't settle in {max_rounds} rounds")
     reached = best.filter(F.col("node") == node(b)).first()
     if reached is None:
         return shape(empty)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions import geometry as G
 from meridia.functions import points as P
+from meridia.operators.graph import cut_lineage
 
 BOX = ("minx", "miny", "maxx", "maxy")
 
@@ -93,7 +94,7 @@ def sphere_nearest(points: DataFrame, others: DataFrame, k: int = 1, rounds: int
             w = Window.partitionBy("fid").orderBy("dist", "sid")
             ranked = pairs.select("fid", "sid", dist.alias("dist")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= need)
             best = ranked.join(ranked.filter(F.col("rank") == need).select("fid"), "fid", "left_semi")
-        best = best.checkpoint() if _can_checkpoint(spark) else best.persist()
+        best = cut_lineage(best)
         parts.append(best)
         todo = todo.join(best.select("fid").distinct(), "fid", "left_anti")
         if edge >= 2.0 or todo.isEmpty():
@@ -103,8 +104,3 @@ def sphere_nearest(points: DataFrame, others: DataFrame, k: int = 1, rounds: int
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def _can_checkpoint(spark) -> bool:
-    return bool(spark.conf.get("spark.checkpoint.dir", None))
-

@@ -69,7 +69,17 @@ def _segments(df: DataFrame, name: str, cell: float) -> DataFrame:
     at = lambda v: F.floor(v / F.lit(cell)).cast("long")
     lo = lambda k: F.least(F.col(f"{name}.a")[k], F.col(f"{name}.b")[k])
     hi = lambda k: F.greatest(F.col(f"{name}.a")[k], F.col(f"{name}.b")[k])
-    cells = F.flatten(F.transform(F.sequence(at(lo(0)), at(hi(0))), lambda x: F.transform(F.sequence(at(lo(1)), at(hi(1))), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+    first, last = F.col(f"{name}.a"), F.col(f"{name}.b")
+    slope = F.try_divide(last[1] - first[1], last[0] - first[0])
+
+    def column(x: Column) -> Column:
+        """The cells of a column that the segment goes through, and no others of its box."""
+        edge = lambda k: F.greatest(lo(1), F.least(hi(1), first[1] + (F.greatest(lo(0), F.least(hi(0), (x + k) * F.lit(cell))) - first[0]) * slope))
+        flat = lambda y, whole: F.when(slope.isNull(), whole).otherwise(y)
+        low, high = flat(F.least(edge(0), edge(1)) - 1e-9, lo(1)), flat(F.greatest(edge(0), edge(1)) + 1e-9, hi(1))
+        return F.transform(F.sequence(at(F.greatest(low, lo(1))), at(F.least(high, hi(1)))), lambda y: F.struct(x.alias("cx"), y.alias("cy")))
+
+    cells = F.flatten(F.transform(F.sequence(at(lo(0)), at(hi(0))), column))
     return seg.withColumn("cell", F.explode(cells))
 
 

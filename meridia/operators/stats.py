@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions import geometry as G
 from meridia.functions import lines as L
+from meridia.operators.graph import cut_lineage
 from meridia.plans.spatial_join import near_pairs
 
 BLOCK = 2048
@@ -72,7 +73,7 @@ def _nearest_other(left: DataFrame, right: DataFrame) -> DataFrame:
     parts, todo = [], left
     for _ in range(40):
         got = near_pairs(todo, right, size).filter("fid <> rid").groupBy("fid").agg(F.min("d").alias("d"))
-        got = got.checkpoint() if left.sparkSession.conf.get("spark.checkpoint.dir", None) else got.persist()
+        got = cut_lineage(got)
         parts.append(got)
         todo = todo.join(got.select("fid"), "fid", "left_anti")
         if todo.isEmpty():

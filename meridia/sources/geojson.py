@@ -7,10 +7,13 @@ no fixed depth, so its geom is null and its members are rows of ``members``.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.functions import geometry as G
+from meridia.functions.kernels import kernel
 from meridia.schema import GEOM_DDL
 
 TYPES = ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon", "GeometryCollection")
@@ -108,16 +111,34 @@ def collection_json(features: DataFrame, fid: str | None = None, limit: int = 1_
     return '{"type":"FeatureCollection","features":[' + ",".join(r.v for r in rows) + "]}"
 
 
-def members(features: DataFrame, depth: int = 4) -> DataFrame:
-    """One row per member geometry: fid, path (where it is in nested collections), geom. Other
-    geometries are their own member, with an empty path. Collections nest up to ``depth``."""
-    rows = features.select("fid", F.array().cast("array<int>").alias("path"), F.col("geometry_json").alias("g"))
-    for _ in range(depth):
-        inner = F.transform(F.from_json(F.get_json_object("g", "$.geometries"), "array<variant>"), lambda v: F.to_json(v))
-        nest = F.get_json_object("g", "$.type") == "GeometryCollection"
-        parts = F.when(nest, F.transform(inner, lambda x, i: F.struct(F.concat(F.col("path"), F.array(i)).alias("path"), x.alias("g")))).otherwise(F.array(F.struct("path", "g")))
-        rows = rows.select("fid", F.explode(parts).alias("m")).select("fid", "m.path", "m.g")
-    return rows.select("fid", "path", geometry_from_json(F.col("g")).alias("geom"))
+def _members(text: str) -> list[dict]:
+    """The single geometries of a geometry's text, with their places in nested collections."""
+    out, todo = [], [([], json.loads(text))]
+    while todo:
+        path, shape = todo.pop()
+        if isinstance(shape, dict) and shape.get("type") == "GeometryCollection":
+            todo += [([*path, k], x) for k, x in reversed(list(enumerate(shape.get("geometries") or [])))]
+        else:
+            out.append({"path": path, "g": json.dumps(shape)})
+    return out
+
+
+def members(features: DataFrame) -> DataFrame:
+    """One row per member geometry: fid, path (where it is in nested collections, however
+    deep), geom. Other geometries are their own member, with an empty path."""
+    parts = kernel(_members, "array<struct<path:array<int>,g:string>>", "geometry_json")
+    rows = features.select("fid", F.explode(parts).alias("m"))
+    return rows.select("fid", "m.path", geometry_from_json(F.col("m.g")).alias("geom"))
+
+
+def collection_of_geometries(geoms: Column) -> Column:
+    """The text of a GeometryCollection of an array of geometries; texts of collections nest
+    by ``nested_collection``."""
+    return nested_collection(F.transform(geoms, geometry_to_json))
+
+
+def nested_collection(texts: Column) -> Column:
+    return F.concat(F.lit('{"type":"GeometryCollection","geometries":['), F.array_join(texts, ","), F.lit("]}"))
 
 
 def number(props: str, name: str) -> Column:

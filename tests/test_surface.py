@@ -82,7 +82,7 @@ def test_queries_match_duckdb(spark, sf_dir, name):
 
 @pytest.fixture(scope="module")
 def wide_dir(spark, sf_dir, tmp_path_factory):
-    """Few rows, but keys beyond the ones that the queries with SQL are limited to."""
+    """Few rows, with keys from all over their range."""
     d = str(tmp_path_factory.mktemp("wide"))
     shutil.copy(f"{sf_dir}/nation.parquet", d)
     spark.createDataFrame([(k, 1, 1.0) for k in (0, 7, 9, 11, 50, 101, 110, 189, 260)], "s_suppkey long, s_nationkey long, s_acctbal double").write.parquet(f"{d}/supplier.parquet")
@@ -104,19 +104,19 @@ def test_overlays_of_all_pairs(spark, wide_dir, op):
             a, b = (z.x1 - z.x0) * (z.y1 - z.y0), (x1 - x0) * (y1 - y0)
             both = max(0, min(z.x1, x1) - max(z.x0, x0)) * max(0, min(z.y1, y1) - max(z.y0, y0))
             want[z.zid, sid] = {"union": a + b - both, "intersect": both, "difference": a - both, "xor": a + b - 2 * both}[op]
-    got = {(r.zid, r.sid): r.a for r in catalog.QUERIES[f"polygon_{op}_all"](spark, wide_dir).collect()}
+    got = {(r.zid, r.sid): r.a for r in catalog.QUERIES[f"polygon_{op}"](spark, wide_dir).collect()}
     assert len(got) == 225 and got == pytest.approx(want, abs=1e-5)
 
 
 def test_buffers_of_all_boxes(spark, wide_dir):
-    got = {r.sid: r.lower for r in catalog.QUERIES["buffer_all"](spark, wide_dir).collect()}
+    got = {r.sid: r.lower for r in catalog.QUERIES["buffer"](spark, wide_dir).collect()}
     assert got == pytest.approx({k: (x1 - x0) * (y1 - y0) for k, (x0, y0, x1, y1) in boxes_of(spark, wide_dir).items()}, abs=1e-5)
 
 
 def test_crossings_of_all_lines(spark, wide_dir):
     at = [(r.slng, r.slat) for r in catalog.X.suppliers(spark, wide_dir).collect()]
     want = {(round(x, 10), round(y, 10)) for x, b in at for a, y in at if abs(a - x) <= 20 and abs(y - b) <= 20}
-    assert catalog.QUERIES["line_intersections_all"](spark, wide_dir).first().n == len(want) > 9
+    assert catalog.QUERIES["line_intersections"](spark, wide_dir).first().n == len(want) > 9
 
 
 def test_rhumb_destinations_of_all_points(spark, wide_dir):
@@ -128,5 +128,5 @@ def test_rhumb_destinations_of_all_points(spark, wide_dir):
         lat2 = lat + step * math.cos(b)
         q = math.cos(lat) if r.fid % 180 == 90 else (lat2 - lat) / math.log(math.tan(lat2 / 2 + math.pi / 4) / math.tan(lat / 2 + math.pi / 4))
         want[r.fid] = (turn(math.radians(r.lng) + step * math.sin(b) / q), math.degrees(lat2))
-    got = {r.fid: (r.x, r.y) for r in catalog.QUERIES["rhumb_destination_all"](spark, wide_dir).collect()}
+    got = {r.fid: (r.x, r.y) for r in catalog.QUERIES["rhumb_destination"](spark, wide_dir).collect()}
     assert skipped >= 5 and set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
