@@ -487,15 +487,27 @@ def _zone_boxes(spark, d) -> DataFrame:
 
 
 def _predicate(name: str, f: Callable, sql: str) -> None:
-    @query(name, f"SELECT zid, sid, {sql} AS hit FROM Z, B")
+    @query(name, f"SELECT zid, sid FROM Z, B WHERE {_over} AND {sql}")
     def run(spark, d):
-        return _zone_boxes(spark, d).select("zid", "sid", f("geom", "geom2").alias("hit"))
+        left, right = X.zones(spark, d).select(F.col("zid").alias("lid"), "geom"), X.boxes(spark, d).select(F.col("sid").alias("rid"), "geom2")
+        return joins.intersecting_pairs(left, right, f, cell=4.0).toDF("zid", "sid")
 
 
 _predicate("contains", Q.contains, f"({_b_in_z})")
-_predicate("within", Q.within, f"({_z_in_b})")
+_predicate("within", lambda a, b: Q.within(b, a), f"({_b_in_z})")
 _predicate("intersects", Q.intersects, _meet)
-_predicate("disjoint", Q.disjoint, f"NOT {_meet}")
+
+
+@query("disjoint", f"SELECT zid, count(*) AS n FROM Z, B WHERE NOT {_meet} GROUP BY zid")
+def disjoint(spark, d):
+    """How many boxes each zone has nothing in common with: all but those it meets."""
+    left, right = X.zones(spark, d).select(F.col("zid").alias("lid"), "geom"), X.boxes(spark, d).select(F.col("sid").alias("rid"), "geom2")
+    met = joins.intersecting_pairs(left, right, lambda a, b: ~Q.disjoint(a, b), cell=4.0).groupBy("lid").agg(F.count(F.lit(1)).alias("met"))
+    every = F.broadcast(right.agg(F.count(F.lit(1)).alias("every")))  # one row
+    rows = left.select("lid").join(met, "lid", "left").join(every)
+    return rows.select(F.col("lid").alias("zid"), (F.col("every") - F.coalesce("met", F.lit(0))).alias("n")).filter("n > 0")
+
+
 _predicate("touches", Q.touches, f"{_meet} AND NOT ({_b_in_z}) AND NOT ({_z_in_b})")
 _predicate("crosses", Q.crosses, f"{_meet} AND NOT ({_b_in_z}) AND NOT ({_z_in_b})")
 _predicate("overlap", Q.overlap, f"{_meet} AND NOT ({_b_in_z}) AND NOT ({_z_in_b})")

@@ -17,15 +17,19 @@ from meridia.schema import GEOM_DDL
 GEOMS_DDL = f"array<{GEOM_DDL}>"
 
 
-def kernel(f: Callable, ddl: str, *columns) -> Column:
-    """``f`` over rows, where a null argument makes a null result."""
+def arrow_function(f: Callable, ddl: str) -> Callable:
+    """``f`` over rows, where a null argument makes a null result, as a function of columns."""
     kind = to_arrow_type(T._parse_datatype_string(ddl))
 
     def run(*args: pa.Array) -> pa.Array:
         return pa.array([None if any(v is None for v in row) else f(*row) for row in zip(*(a.to_pylist() for a in args), strict=True)], kind)
 
     run.__annotations__ = {"args": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, ddl)(*(F.col(c) if isinstance(c, str) else c if isinstance(c, Column) else F.lit(c) for c in columns))
+    return F.arrow_udf(run, ddl)
+
+
+def kernel(f: Callable, ddl: str, *columns) -> Column:
+    return arrow_function(f, ddl)(*(F.col(c) if isinstance(c, str) else c if isinstance(c, Column) else F.lit(c) for c in columns))
 
 
 def simplify(g, tolerance: float, high_quality: bool = False) -> Column:

@@ -92,8 +92,9 @@ def _crossing() -> Column:
 
 
 def intersecting_pairs(left: DataFrame, right: DataFrame, predicate=Q.intersects, cell: float = 1.0) -> DataFrame:
-    """Pairs of geometries (lid, geom) and (rid, geom2) for which a predicate holds. Boxes
-    are dealt to cells at levels of their own size; pairs are tested once."""
+    """Pairs of geometries (lid, geom) and (rid, geom2) whose boxes meet and for which a
+    predicate holds. Boxes are dealt to cells at levels of their own size; a pair counts in
+    the one cell that holds the corner of what its boxes share, so it is met once."""
     from meridia.plans.spatial_join import TOUCH, _cells, _level
 
     def dealt(df: DataFrame, g: str, names: tuple[str, ...]) -> DataFrame:
@@ -102,13 +103,17 @@ def intersecting_pairs(left: DataFrame, right: DataFrame, predicate=Q.intersects
         return b.withColumn("_level", level).select(*names, "_b", "_level")
 
     a, b = dealt(left, "geom", ("lid", "geom")), dealt(right, "geom2", ("rid", "geom2"))
-    levels = sorted({r._level for r in a.select("_level").distinct().collect()} | {r._level for r in b.select("_level").distinct().collect()})
+    levels = sorted({r._level for r in a.select("_level").union(b.select("_level")).distinct().collect()} - {None})
     # Each pair meets at the coarser of its two levels: a box is dealt there from its own level up.
-    def spread(df: DataFrame) -> DataFrame:
+    def spread(df: DataFrame, box: str, level: str) -> DataFrame:
         up = F.filter(F.array(*(F.lit(k) for k in levels)), lambda k: k >= F.col("_level"))
         rows = df.withColumn("_at", F.explode(up))
-        box = [F.col("_b.minx") - TOUCH, F.col("_b.miny") - TOUCH, F.col("_b.maxx") + TOUCH, F.col("_b.maxy") + TOUCH]
-        return rows.withColumn("_cell", F.explode(_cells(*box, F.col("_at"), cell))).drop("_b", "_at")
-
-    met = spread(a).withColumnRenamed("_level", "_la").join(spread(b).withColumnRenamed("_level", "_lb"), "_cell").filter(F.col("_cell.level") == F.greatest("_la", "_lb"))
-    return met.dropDuplicates(["lid", "rid"]).filter(predicate("geom", "geom2")).select("lid", "rid")
+        touched = [F.col("_b.minx") - TOUCH, F.col("_b.miny") - TOUCH, F.col("_b.maxx") + TOUCH, F.col("_b.maxy") + TOUCH]
+        return rows.withColumn("_cell", F.explode(_cells(*touched, F.col("_at"), cell))).drop("_at").withColumnRenamed("_b", box).withColumnRenamed("_level", level)
+
+    met = spread(a, "_ba", "_la").join(spread(b, "_bb", "_lb"), "_cell").filter(F.col("_cell.level") == F.greatest("_la", "_lb"))
+    step = F.lit(cell) * F.pow(F.lit(2.0), F.col("_cell.level"))
+    for axis, c in (("x", "cx"), ("y", "cy")):
+        corner = F.greatest(F.col(f"_ba.min{axis}"), F.col(f"_bb.min{axis}"))
+        met = met.filter((F.floor((corner - TOUCH) / step) == F.col(f"_cell.{c}")) & (corner - TOUCH <= F.least(F.col(f"_ba.max{axis}"), F.col(f"_bb.max{axis}")) + TOUCH))
+    return met.filter(predicate("geom", "geom2")).select("lid", "rid")

@@ -43,23 +43,26 @@ def _level(width: Column, height: Column, size: float) -> Column:
     return F.when(span > 1, F.least(F.lit(LEVELS), F.ceil(F.log2(span)).cast("int"))).otherwise(F.lit(0))
 
 
-def point_polygon_pairs(points: DataFrame, polygons: DataFrame, cell: float = 1.0, strategy: str = "auto") -> DataFrame:
+def point_polygon_pairs(points: DataFrame, polygons: DataFrame, cell: float = 1.0, strategy: str = "auto", how: str = "inner") -> DataFrame:
     """All (points.*, polygons.*) whose point is in the polygon.
 
     ``points`` has lng and lat, ``polygons`` geom; other column names must differ.
     strategy: "broadcast", "cells", or "auto", which broadcasts polygons of no more than
-    ``BROADCAST_BYTES`` by the optimizer's bound.
+    ``BROADCAST_BYTES`` by the optimizer's bound. how="left" keeps points without a polygon;
+    dealt to cells, a point then has a row for every level without one.
     """
     boxed = polygons.withColumn("_box", G.bbox("geom"))
     inside = Q.xy_in_polygon(F.col("lng"), F.col("lat"), "geom")
     in_box = (F.col("lng") >= F.col("_box.minx") - TOUCH) & (F.col("lng") <= F.col("_box.maxx") + TOUCH) & (F.col("lat") >= F.col("_box.miny") - TOUCH) & (F.col("lat") <= F.col("_box.maxy") + TOUCH)
+    good = F.when(in_box, inside).otherwise(F.lit(False))
     if strategy == "broadcast" or strategy == "auto" and plan_bytes(polygons) <= BROADCAST_BYTES:
-        return points.join(F.broadcast(boxed), F.when(in_box, inside).otherwise(F.lit(False))).drop("_box")
+        return points.join(F.broadcast(boxed), good, how).drop("_box")
     level = _level(F.col("_box.maxx") - F.col("_box.minx"), F.col("_box.maxy") - F.col("_box.miny"), cell)
-    dealt = boxed.withColumn("_cell", F.explode(_cells(F.col("_box.minx") - TOUCH, F.col("_box.miny") - TOUCH, F.col("_box.maxx") + TOUCH, F.col("_box.maxy") + TOUCH, level, cell)))
-    levels = sorted(r.level for r in boxed.select(level.alias("level")).distinct().collect())  # LEVELS + 1 at most
-    spots = F.array(*(F.struct(F.lit(k).alias("level"), *(F.floor(F.col(c) / F.lit(cell * 2.0**k)).cast("long").alias(n) for c, n in (("lng", "cx"), ("lat", "cy")))) for k in levels)) if levels else F.array().cast("array<struct<level:int,cx:bigint,cy:bigint>>")
-    return points.withColumn("_cell", F.explode(spots)).join(dealt, "_cell").filter(F.when(in_box, inside).otherwise(F.lit(False))).drop("_cell", "_box")
+    dealt = boxed.withColumn("_at", F.explode(_cells(F.col("_box.minx") - TOUCH, F.col("_box.miny") - TOUCH, F.col("_box.maxx") + TOUCH, F.col("_box.maxy") + TOUCH, level, cell)))
+    levels = sorted(r.level for r in boxed.select(level.alias("level")).distinct().collect()) or [0]  # LEVELS + 1 at most
+    spots = F.array(*(F.struct(F.lit(k).alias("level"), *(F.floor(F.col(c) / F.lit(cell * 2.0**k)).cast("long").alias(n) for c, n in (("lng", "cx"), ("lat", "cy")))) for k in levels))
+    spread = points.withColumn("_cell", F.explode(spots))
+    return spread.join(dealt, (F.col("_cell") == F.col("_at")) & good, how).drop("_cell", "_at", "_box")
 
 
 def near_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:

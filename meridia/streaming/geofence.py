@@ -17,7 +17,7 @@ from meridia.plans.spatial_join import point_polygon_pairs
 
 def tag_stream(points: DataFrame, zones: DataFrame) -> DataFrame:
     """Stream (lng, lat, ...) joined with the static zones (zid, geom) that hold each point."""
-    return point_polygon_pairs(points, zones.select("zid", "geom"), strategy="broadcast").drop("geom")
+    return point_polygon_pairs(points, zones.select("zid", "geom"), strategy="auto").drop("geom")
 
 
 def zone_counts(points: DataFrame, zones: DataFrame, ts: str = "ts", window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -28,7 +28,8 @@ def zone_counts(points: DataFrame, zones: DataFrame, ts: str = "ts", window: str
 
 def _moves(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     last = state.get[0] if state.exists else None
-    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+    # Dealt to several levels, an event has several rows, of which one may know the zone.
+    rows = pd.concat(list(frames)).groupby(["ts", "event_id"], sort=True, as_index=False)["zid"].max()
     out = []
     for r in rows.itertuples():
         zone = None if pd.isna(r.zid) else int(r.zid)
@@ -42,11 +43,9 @@ def _moves(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.Dat
     yield pd.DataFrame(out, columns=["user_id", "ts", "zid", "move"])
 
 
-def enter_leave(points: DataFrame, zones: DataFrame) -> DataFrame:
+def enter_leave(points: DataFrame, zones: DataFrame, strategy: str = "auto") -> DataFrame:
     """Stream (user_id, event_id, ts, lng, lat) to the moves into and out of zones. State is
     one zone for each user; zones must not overlap."""
-    boxed = zones.select(F.col("zid").alias("z"), "geom")
-    from meridia.functions import predicates as Q
-
-    tagged = points.join(F.broadcast(boxed), Q.xy_in_polygon(F.col("lng"), F.col("lat"), "geom"), "left").select("user_id", "event_id", "ts", F.col("z").alias("zid"))
+    events = points.select("user_id", "event_id", "ts", "lng", "lat")
+    tagged = point_polygon_pairs(events, zones.select("zid", "geom"), strategy=strategy, how="left").select("user_id", "event_id", "ts", "zid")
     return tagged.groupBy("user_id").applyInPandasWithState(_moves, "user_id long, ts timestamp, zid long, move string", "zid long", "append", "NoTimeout")

@@ -24,6 +24,14 @@ def test_sql_functions_agree(spark):
     assert tuple(row) == pytest.approx(tuple(want))
 
 
+def test_sql_reaches_lengths_boxes_and_kernels(spark):
+    sql.register(spark)
+    box = lambda x0, y0, x1, y1: f"named_struct('type', 'Polygon', 'coords', array(array(array(array({x0}D, {y0}D), array({x1}D, {y0}D), array({x1}D, {y1}D), array({x0}D, {y1}D), array({x0}D, {y0}D)))))"
+    row = spark.sql(f"SELECT geo_length(a) AS len, geo_min_x(geo_union(a, b)) AS lo, geo_max_y(geo_union(a, b)) AS hi, geo_max_x(geo_intersection(a, b)) AS mid, geo_min_x(geo_buffer(a, 50D)) AS out, size(geo_simplify(a, 0.1D).coords) AS n, geo_max_x(geo_clip(a, 0D, 0D, 1D, 1D)) AS c FROM (SELECT {box(0, 0, 2, 2)} AS a, {box(1, 1, 3, 3)} AS b)").first()
+    want = spark.range(1).select(G.length(G.box_polygon(0.0, 0.0, 2.0, 2.0), "meters", "corrected")).first()[0]
+    assert row.len == pytest.approx(want) and (row.lo, row.hi, row.mid, row.n, row.c) == (0.0, 3.0, 2.0, 1, 1.0) and -0.6 < row.out < -0.4
+
+
 def features(spark):
     shapes = [("Point", [[[[0.0, 0.0]]]]), ("LineString", [[[[0.0, 0.0], [2.0, 2.0]]]]), None]
     return spark.createDataFrame(list(enumerate(shapes)), f"fid long, geom {GEOM_DDL}")
@@ -57,8 +65,10 @@ def test_streams(spark, tmp_path):
 
     assert sorted((r.event_id, r.zid) for r in drained(geofence.tag_stream(stream, zones), "tagged", "append")) == [(1, 1), (2, 2), (4, 1)]
     assert {r.zid: r.n for r in drained(geofence.zone_counts(stream, zones), "counted", "complete")} == {1: 2, 2: 1}
+    assert sorted((r.event_id, r.zid) for r in drained(geofence.point_polygon_pairs(stream, zones, strategy="cells"), "celled", "append")) == [(1, 1), (2, 2), (4, 1)]
+    apart = sorted((r.user_id, r.ts.minute, r.zid, r.move) for r in drained(geofence.enter_leave(stream, zones, "cells"), "apart", "append"))
     moves = sorted((r.user_id, r.ts.minute, r.zid, r.move) for r in drained(geofence.enter_leave(stream, zones), "moves", "append"))
-    assert moves == [(1, 0, 1, "enter"), (1, 10, 1, "leave"), (1, 10, 2, "enter"), (1, 20, 2, "leave"), (2, 5, 1, "enter")]
+    assert apart == moves == [(1, 0, 1, "enter"), (1, 10, 1, "leave"), (1, 10, 2, "enter"), (1, 20, 2, "leave"), (2, 5, 1, "enter")]
 
 
 def test_entry(spark):
