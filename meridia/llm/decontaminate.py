@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Texts are read as passages, windows of ``WINDOW`` words every ``STRIDE`` words. Their
-terms are the words of the benchmark; what else a passage holds cannot tell it apart from
-the items. However common a term is here, it keeps a weight: what is common may be so
+Texts are read as passages of ``WINDOW`` words: end to end for the corpus's statistics and
+space, every ``STRIDE`` words for the search. Their terms are the words of the benchmark;
+what else a passage holds cannot tell it apart from the items. However common a term is here, it keeps a weight: what is common may be so
 because copies of an item are.
 
 1. One pass counts in how many passages of the corpus each term is.
@@ -82,7 +82,7 @@ class Items:
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     basis: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # term by latent dimension
     latent: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # passages in the latent space, of unit length
-    shares: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # passage by term: of its words
+    shares: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # term by passage: of its words
 
     @classmethod
     def of(cls, rows: list[tuple]) -> Items:
@@ -110,11 +110,11 @@ class Items:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def _hits(raw: np.ndarray, at: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, ...]:
+def _hits(raw: np.ndarray, at: np.ndarray, terms: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, ...]:
     """(words, first, window text, lo, hi, others, hit window, hit term): what of the terms
     is in which passage, and how many other words each has (a run of one word is one)."""
     words, first = word_hashes(raw, at)
-    text, lo, hi = windows(first, WINDOW, STRIDE)
+    text, lo, hi = windows(first, WINDOW, stride)
     where = np.minimum(np.searchsorted(terms, words), len(terms) - 1)
     known = terms[where] == words
     place = np.flatnonzero(known)
@@ -131,7 +131,7 @@ def _frequencies(terms: np.ndarray):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(len(terms), np.int64), 0
         for batch in pieces(batches, "t"):
-            _, _, text, _, _, _, window, term = _hits(*buffers(batch["t"]), terms)
+            _, _, text, _, _, _, window, term = _hits(*buffers(batch["t"]), terms, WINDOW)
             total += np.bincount(np.unique(window * len(terms) + term) % len(terms), minlength=len(terms))
             n += len(text)
         found = np.flatnonzero(total)
@@ -176,7 +176,7 @@ def _sketch(terms: np.ndarray, weight: np.ndarray, seed: int):
         ground = _ground(len(terms), seed)
         total = np.zeros(ground.shape)
         for batch in pieces(batches, "t"):
-            *_, others, window, term = _hits(*buffers(batch["t"]), terms)
+            *_, others, window, term = _hits(*buffers(batch["t"]), terms, WINDOW)
             row, term, value, rows = _weighted(window, term, others, weight)
             value = value.astype(np.float32)
             for s in range(0, len(rows), ROWS):
@@ -249,14 +249,9 @@ def _candidates(row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, it
     own = _project(row, term, value, n, items.basis)
     own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
     near = own @ items.latent.T
-    r, p = np.nonzero(near >= cosine)
-    first = np.searchsorted(row, np.arange(n + 1))
-    size = np.diff(first)[r]  # none is 0: such a row has no place in the latent space
-    begin = np.cumsum(size) - size
-    at = np.arange(int(size.sum())) + np.repeat(first[r] - begin, size)
-    held = np.add.reduceat(items.shares[np.repeat(p, size), term[at]], begin) if len(r) else np.zeros(0)
-    good = held >= HELD - 1e-6
-    return r[good], p[good], near[r[good], p[good]]
+    held = _project(row, term, np.ones(len(row)), n, items.shares)
+    r, p = np.nonzero((near >= cosine) & (held >= HELD - 1e-6))
+    return r, p, near[r, p]
 
 
 def matches(raw: np.ndarray, at: np.ndarray, items: Items, cosine: float, lcs: float, paraphrase: float) -> dict[tuple[int, int], tuple[float, float]]:
@@ -317,7 +312,7 @@ def fitted(rows: DataFrame, block: list[tuple], seed: int = 7) -> Items | None:
     df[list(counts)] = list(counts.values())
     items.weight = np.log((1 + total) / (1 + df)) + 1
     counts = items.counts()
-    items.shares = counts / counts.sum(1, keepdims=True)
+    items.shares = np.ascontiguousarray((counts / counts.sum(1, keepdims=True)).T)
     parts = rows.mapInArrow(lean(_sketch(items.terms, items.weight, seed)), "term long, row binary")
     ground = _ground(len(items.terms), seed).astype(float)
     summed = parts.repartition(min(16, len(items.terms)), "term").mapInArrow(lean(_summed(ground.shape[1])), "term long, row binary")

@@ -548,7 +548,7 @@ def test_paraphrases_are_found_in_the_latent_space(spark):
     # Of the corpus's energy the space holds nearly what the best one of its rank does.
     fit = decontaminate.fitted(decontaminate._rows(table(spark, rows), "doc_id", "text"), items)
     raw = [t.encode() for _, t in rows]
-    *_, others, window, term = decontaminate._hits(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])), fit.terms)
+    *_, others, window, term = decontaminate._hits(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])), fit.terms, decontaminate.WINDOW)
     row, term, value, n = decontaminate._weighted(window, term, others, fit.weight)
     whole = np.zeros((len(n), len(fit.terms)))
     whole[row, term] = value
