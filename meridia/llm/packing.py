@@ -5,7 +5,9 @@ tokens; it sends the whole tokens it is owed and carries the fraction, its defic
 the next round. The rounds laid end to end are the stream that is cut into sequences,
 so every sequence has the target mixture to within a token or two per queue, and only
 the last has fewer than ``length`` tokens. When a queue runs dry the shares are dealt
-anew among the others: a new *phase*.
+anew among the others: a new *phase*. With more than ``length`` / ``QUANTUM`` queues a round
+is as many sequences long as give a queue ``QUANTUM`` tokens on average; the mixture holds
+over that many sequences then.
 
 What a queue has sent after r rounds of a phase is floor(share * length * r), so the
 place of any token follows from its number in its queue alone, and no round has to wait
@@ -30,7 +32,7 @@ from .bytescan import buffers, lean, pieces
 from .common import only, table, written
 from .transducer import VOCABULARY, compiled
 
-LENGTH, END, MAX_QUEUES = 2048, 1, 4096
+LENGTH, END, MAX_QUEUES, QUANTUM = 2048, 1, 1 << 14, 64
 #: Shares are multiples of 1/DEN, so that products with any round's number fit 64 bits.
 DEN = 1 << 28
 BROADCAST_ROWS, ROUND_CELLS = 1_000_000, 1 << 19
@@ -42,7 +44,7 @@ class Phase:
     rounds: int
     sent: np.ndarray  # each queue's tokens before this phase
     left: np.ndarray  # and those it may still send
-    whole: np.ndarray  # share * length * DEN = whole * DEN + part
+    whole: np.ndarray  # share * round * DEN = whole * DEN + part
     part: np.ndarray
 
     def owed(self, r: np.ndarray) -> np.ndarray:
@@ -63,7 +65,8 @@ def shares(weights: list[Fraction]) -> list[int]:
 
 
 def schedule(totals: list[int], targets: list[Fraction] | None, length: int) -> list[Phase]:
-    """The phases for queues of the given sizes; there are no more than queues, plus one."""
+    """The phases for queues of the given sizes and rounds of ``length`` tokens; there are no
+    more than queues, plus one."""
     left, base, sent, out = list(totals), 0, [0] * len(totals), []
     while any(left):
         weights = [(targets[k] if targets else Fraction(totals[k])) if left[k] else Fraction(0) for k in range(len(left))]
@@ -240,7 +243,7 @@ def pack(
     n_queues = buckets or len(order)
     weights = [Fraction(str(targets.get(s, 0))) for s in order] if targets else None
     per_queue = [sizes.get(k, 0) for k in range(n_queues)]
-    phases = schedule(per_queue, weights, length)
+    phases = schedule(per_queue, weights, length * max(1, -(-QUANTUM * n_queues // length)))
     before = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("queue", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     if totals.count() <= BROADCAST_ROWS:

@@ -251,6 +251,20 @@ def test_packing(spark):
     assert sum(len(x.ids) for x in whole) == 4 * sum(len(want[k]) for k in range(20))
 
 
+def test_ten_thousand_sources(spark):
+    rows = [(k, f"text of source {k}", "en", f"s{k}") for k in range(10_000)]
+    pieces = packing.pack(table(spark, rows).repartition(4)).collect()
+    own = Counter()
+    for p in pieces:
+        own[p.doc_id] += p.length
+    assert len(own) == 10_000 and all(p.doc_tokens == own[p.doc_id] for p in pieces)
+    ends = defaultdict(int)
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        assert p.offset == ends[p.sequence_id]
+        ends[p.sequence_id] += p.length
+    assert sorted(ends) == list(range(len(ends))) and all(n == 2048 or n & (n - 1) == 0 for n in ends.values())
+
+
 def test_mixture_holds_in_every_window(spark):
     rows = [(k, words(k, 100), "en", ["a", "a", "b", "c"][k % 4]) for k in range(400)]
     source = {r[0]: r[3] for r in rows}
@@ -604,6 +618,22 @@ def test_repeated_page_ids_keep_their_payloads(spark):
     assert sorted(got, key=str) == sorted([(1, "response", None, shared.encode()), (5, "revisit", 1, None), (5, "response", None, own.encode())], key=str)
 
 
+def test_null_and_repeated_ids(spark):
+    """Every operator gives every row its result: rows without an id, and rows that share one."""
+    rows = [(None, COPY), (1, COPY), (1, words(2, 40)), (2, None), (2, ""), (3, COPY + " end"), (3, COPY + " end")]
+    docs, ids = table(spark, rows), sorted(Counter(i for i, _ in rows).items(), key=str)
+    count = lambda df: sorted(Counter(r.doc_id for r in df.select("doc_id").collect()).items(), key=str)
+    assert count(token_counts.token_counts(docs)) == count(exact_dedup.exact_dedup(docs)) == count(secrets.secret_spans(docs)) == ids
+    assert count(line_dedup.line_dedup(docs)) == count(suffix_dedup.suffix_dedup(docs)) == count(language_id.identify(docs)) == ids
+    linked = jaccard_join.jaccard_components(docs)
+    assert count(linked) == ids and {r.doc_id: r.component_id for r in linked.collect()} == {None: None, 1: 1, 2: 2, 3: 1}
+    automaton = token_counts.compiled()
+    assert sum(p.length for p in packing.pack(docs).collect()) == sum(automaton.count(t or "") + 1 for _, t in rows)
+    bench = spark.createDataFrame([(5, COPY), (5, COPY), (None, "")], "item_id long, text string")
+    found = Counter((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect())
+    assert found == {(None, 5): 2, (1, 5): 2, (3, 5): 4}
+
+
 def test_surt():
     assert warc.surt("http://www.Example.com:80/a?b#c") == "com,example,www)/a?b" and warc.surt("https://x.org:8443") == "org,x:8443)/" and warc.surt(None) == ""
 
@@ -623,4 +653,8 @@ def test_pipeline(spark, tmp_path):
     left = [r for r in left if linked_components(left)[r[0]][1] == r[0] and r[0] != 90]
     automaton = token_counts.compiled()
     assert {(p.doc_id, p.doc_tokens) for p in pieces} == {(r[0], automaton.count(r[1]) + 1) for r in left}
+    empty = tmp_path / "empty"
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "exact", "near", "clean", "packed"]
