@@ -336,30 +336,36 @@ def truncate(spark, d):
     return _vertices(X.trajectories(spark, d).withColumn("geom", G.truncate("geom", 0, 2)))
 
 
-@query("clean_coords", "SELECT fid, count(*) AS n FROM L WHERE n >= 2 AND (k = 1 OR lng <> px OR lat <> py) GROUP BY fid")
+@query("clean_coords", f"SELECT fid, row_number() OVER (PARTITION BY fid ORDER BY k) - 1 AS pos, {s6('lng')} AS x, {s6('lat')} AS y FROM L WHERE n >= 2 AND (k = 1 OR lng <> px OR lat <> py)")
 def clean_coords(spark, d):
-    return X.trajectories(spark, d).select("fid", G.coord_count(G.clean_coords("geom")).cast("long").alias("n"))
+    """Trajectories with every vertex twice, and then cleaned."""
+    twice = F.flatten(F.transform(G.path("geom"), lambda p: F.array(p, p)))
+    return _vertices(X.trajectories(spark, d).withColumn("geom", G.clean_coords(G.linestring(twice))))
 
 
-@query("rewind", "SELECT zid, true AS cw, false AS ccw FROM Z")
+@query("rewind", "SELECT zid AS fid, pos, CASE WHEN pos IN (2, 3) THEN x1 ELSE x0 END AS x, CASE WHEN pos IN (1, 2) THEN y1 ELSE y0 END AS y FROM Z, (SELECT unnest(range(5)) AS pos) v")
 def rewind(spark, d):
-    return X.zones(spark, d).select("zid", G.clockwise(G.path(G.rewind("geom"))).alias("cw"), G.clockwise(G.path(G.rewind("geom", True))).alias("ccw"))
+    """To clockwise, to counter-clockwise and back."""
+    turned = G.rewind(G.rewind(G.rewind("geom"), True))
+    return _vertices(X.zones(spark, d).select(F.col("zid").alias("fid"), turned.alias("geom")))
 
 
-@query("smooth", "SELECT zid, 9 AS n1, 17 AS n2 FROM Z")
+@query("smooth", f"SELECT zid, 9 AS n1, 17 AS n2, {s6('(x1-x0)*(y1-y0)*7/8')} AS a1, {s6('(x1-x0)*(y1-y0)*27/32')} AS a2 FROM Z")
 def smooth(spark, d):
-    return X.zones(spark, d).select("zid", G.coord_count(G.smooth("geom", 1)).alias("n1"), G.coord_count(G.smooth("geom", 2)).alias("n2"))
+    g = [G.smooth("geom", k) for k in (1, 2)]
+    return X.zones(spark, d).select("zid", *(G.coord_count(x).alias(f"n{k + 1}") for k, x in enumerate(g)), *(r6(F.abs(_flat_area(x))).alias(f"a{k + 1}") for k, x in enumerate(g)))
 
 
-@query("polygon_to_line", "SELECT zid, 'LineString' AS t, 5 AS n FROM Z")
+@query("polygon_to_line", "SELECT zid AS fid, pos, CASE WHEN pos IN (1, 2) THEN x1 ELSE x0 END AS x, CASE WHEN pos IN (2, 3) THEN y1 ELSE y0 END AS y FROM Z, (SELECT unnest(range(5)) AS pos) v")
 def polygon_to_line(spark, d):
-    g = G.polygon_to_line("geom")
-    return X.zones(spark, d).select("zid", G.get_type(g).alias("t"), G.coord_count(g).alias("n"))
+    return _vertices(X.zones(spark, d).select(F.col("zid").alias("fid"), G.polygon_to_line("geom").alias("geom")).filter(G.get_type("geom") == "LineString"))
 
 
-@query("line_to_polygon", "SELECT zid, true AS same FROM Z")
+@query("line_to_polygon", f"SELECT l.fid, any_value(n) + 1 AS n, {s6('abs(sum(lng*ny-nx*lat))/2')} AS a FROM (SELECT *, coalesce(lead(lng) OVER w, first_value(lng) OVER w) AS nx, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS ny FROM L WHERE n >= 3 WINDOW w AS (PARTITION BY fid ORDER BY k)) l GROUP BY l.fid")
 def line_to_polygon(spark, d):
-    return X.zones(spark, d).select("zid", Q.equal(G.line_to_polygon(G.polygon_to_line("geom")), "geom").alias("same"))
+    """Closed trajectories, with their signed areas in the plane."""
+    rows = X.trajectories(spark, d).select("fid", G.line_to_polygon("geom").alias("g")).filter("g is not null")
+    return rows.select("fid", G.coord_count("g").cast("long").alias("n"), r6(F.abs(_flat_area("g"))).alias("a"))
 
 
 # polygons
@@ -546,10 +552,12 @@ def point_to_polygon(spark, d):
     return X.customers(spark, d).crossJoin(F.broadcast(zone)).select("fid", (L.point_to_polygon(G.point("lng", "lat"), "geom") == 0).alias("inside"))
 
 
-@query("mask", "SELECT zid, 2 AS rings FROM Z")
+@query("mask", f"SELECT zid, 2 AS rings, {s6('(x1-x0)*(y1-y0)')} AS shell, {s6('(x1-x0-10)*(y1-y0-10)')} AS hole FROM Z")
 def mask(spark, d):
     inner = G.box_polygon(F.col("x0") + 5, F.col("y0") + 5, F.col("x1") - 5, F.col("y1") - 5)
-    return X.zones(spark, d).select("zid", F.size(G.rings(L.mask("geom", inner))).alias("rings"))
+    rows = X.zones(spark, d).select("zid", G.rings(L.mask("geom", inner)).alias("r"))
+    size = lambda k: r6(F.abs(_flat_area(G.polygon(F.array(F.col("r")[k])))))
+    return rows.select("zid", F.size("r").alias("rings"), size(0).alias("shell"), size(1).alias("hole"))
 
 
 # joins
@@ -671,14 +679,19 @@ def rectangle_grid(spark, d):
     return _corner(generators.rectangle_grid(spark, (0, -3, 9.5, 3), 1, 1, "degrees"))
 
 
-@query("triangle_grid", "SELECT count(*) AS n FROM (SELECT unnest(range(120))) q")
+@query("triangle_grid", f"SELECT i*12 + j*2 + k AS fid, round(i+CASE WHEN k = 0 THEN 1.0/3 ELSE 2.0/3 END, 6) AS x, round(j-3+CASE WHEN k = 0 THEN 2.0/3 ELSE 1.0/3 END, 6)+0.0 AS y, 0.5 AS a FROM (SELECT unnest(range(10)) AS i) a, (SELECT unnest(range(6)) AS j) b, (SELECT unnest(range(2)) AS k) c")
 def triangle_grid(spark, d):
-    return generators.triangle_grid(spark, (0, -3, 10, 3), 1, "degrees").agg(F.count(F.lit(1)).alias("n"))
+    """The middle and the area of every triangle."""
+    p = G.path("geom")
+    mid = lambda k: r6((p[0][k] + p[1][k] + p[2][k]) / 3)
+    return generators.triangle_grid(spark, (0, -3, 10, 3), 1, "degrees").select("fid", mid(0).alias("x"), mid(1).alias("y"), r6(F.abs(_flat_area("geom"))).alias("a"))
 
 
-@query("hex_grid", "SELECT sum(CASE WHEN i % 2 = 1 THEN 6 ELSE 5 END)::BIGINT AS n FROM (SELECT unnest(range(CAST(ceil(6/(sqrt(3)*3/4)) AS BIGINT))) AS i) q")
+@query("hex_grid", f"SELECT i*6 + j AS fid, {s6('2.0*j-i%2')} AS x, {s6('i*sqrt(3)*3/4-3')} AS y, {s6('1.5*sqrt(3)')} AS a FROM (SELECT unnest(range(CAST(ceil(6/(sqrt(3)*3/4)) AS BIGINT))) AS i) r, (SELECT unnest(range(6)) AS j) c WHERE j < 5 + i%2")
 def hex_grid(spark, d):
-    return generators.hex_grid(spark, (0, -3, 10, 3), 1).agg(F.count(F.lit(1)).alias("n"))
+    """The middle and the area of every hexagon."""
+    p = G.path("geom")
+    return generators.hex_grid(spark, (0, -3, 10, 3), 1).select("fid", r6((p[1][0] + p[4][0]) / 2).alias("x"), r6(p[1][1]).alias("y"), r6(F.abs(_flat_area("geom"))).alias("a"))
 
 
 @query("random_points", "SELECT 1000 AS n, true AS inside")
@@ -917,10 +930,11 @@ def tessellate(spark, d):
     return rows.select("zid", F.size("ts").alias("n"), F.round(G.total(F.col("ts"), _flat_area), 6).alias("a"))
 
 
-@query("unkink", "SELECT zid, 2 AS n FROM Z")
+@query("unkink", f"SELECT zid, 2 AS n, {s6('(x1-x0)*(y1-y0)/2')} AS a FROM Z")
 def unkink(spark, d):
     bow = G.polygon(F.array(F.array(G.position("x0", "y0"), G.position("x1", "y1"), G.position("x1", "y0"), G.position("x0", "y1"), G.position("x0", "y0"))))
-    return X.zones(spark, d).select("zid", F.size(K.unkink(bow)).alias("n"))
+    rows = X.zones(spark, d).select("zid", K.unkink(bow).alias("ps"))
+    return rows.select("zid", F.size("ps").alias("n"), r6(G.total(F.col("ps"), lambda g: F.abs(_flat_area(g)))).alias("a"))
 
 
 _tenths_s = "SELECT DISTINCT 0 AS g, CAST(round(slng*10) AS BIGINT) AS x, CAST(round(slat*10) AS BIGINT) AS y FROM S"
@@ -954,10 +968,13 @@ def polygonize(spark, d):
 _idw = "CASE WHEN min(d) < 1e-15 THEN any_value(CASE WHEN d < 1e-15 THEN v END) ELSE sum(v/power(d, 2))/sum(1/power(d, 2)) END"
 
 
-@query("interpolate", "SELECT count(*) AS n FROM (SELECT unnest(range(CAST(floor((max(slng)-min(slng))/(5/cos(radians((min(slat)+max(slat))/2)))+1e-9)+1 AS BIGINT))) FROM S) a, (SELECT unnest(range(CAST(floor((max(slat)-min(slat))/(5/cos(radians((min(slat)+max(slat))/2)))+1e-9)+1 AS BIGINT))) FROM S) b")
+_grid = "SELECT x0 + unnest(range(CAST(floor((x1-x0)/s+1e-9)+1 AS BIGINT)))*s AS x, y0, y1, s FROM (SELECT min(slng) AS x0, max(slng) AS x1, min(slat) AS y0, max(slat) AS y1, 5/cos(radians((min(slat)+max(slat))/2)) AS s FROM S) q"
+
+
+@query("interpolate", f"SELECT {s6('x')} AS x, {s6('y')} AS y, round({_idw}, 4) + 0.0 AS z FROM (SELECT x, y, v, sqrt(power(x-slng, 2)+power(y-slat, 2)) AS d FROM (SELECT x, y0 + unnest(range(CAST(floor((y1-y0)/s+1e-9)+1 AS BIGINT)))*s AS y FROM ({_grid}) g) h, S) p GROUP BY x, y")
 def interpolate(spark, d):
     s = X.suppliers(spark, d).select(F.col("sid").alias("fid"), F.col("slng").alias("lng"), F.col("slat").alias("lat"), F.col("v").alias("z"))
-    return surfaces.interpolate(s, 5, "degrees").agg(F.count("z").alias("n"))
+    return surfaces.interpolate(s, 5, "degrees").select(r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"), (F.round("z", 4) + 0.0).alias("z"))
 
 
 @query("isolines")
