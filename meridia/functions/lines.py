@@ -77,20 +77,25 @@ def along(g, dist, unit: str = "kilometers") -> Column:
 
 
 def great_circle(x1, y1, x2, y2, n: int = 100) -> Column:
-    """The arc between two points as a LineString of n positions; null if they coincide."""
+    """The arc between two points as a LineString of n positions; null if they coincide.
+    What all positions share is bound first: an expression used twice is evaluated twice."""
     lo1, la1, lo2, la2 = (F.radians(P._c(v)) for v in (x1, y1, x2, y2))
     half = F.sin((la2 - la1) / 2), F.sin((lo2 - lo1) / 2)
     d = 2 * F.asin(F.sqrt(half[0] * half[0] + F.cos(la1) * F.cos(la2) * half[1] * half[1]))
+    names = ("x1", "y1", "x2", "y2", "z1", "z2")
+    ends = F.cos(la1) * F.cos(lo1), F.cos(la1) * F.sin(lo1), F.cos(la2) * F.cos(lo2), F.cos(la2) * F.sin(lo2), F.sin(la1), F.sin(la2)
 
-    def at(i: Column) -> Column:
-        f = i / (n - 1)
-        a, b = F.try_divide(F.sin((1 - f) * d), F.sin(d)), F.try_divide(F.sin(f * d), F.sin(d))
-        x = a * F.cos(la1) * F.cos(lo1) + b * F.cos(la2) * F.cos(lo2)
-        y = a * F.cos(la1) * F.sin(lo1) + b * F.cos(la2) * F.sin(lo2)
-        z = a * F.sin(la1) + b * F.sin(la2)
-        return F.array(F.degrees(F.atan2(y, x)), F.degrees(F.atan2(z, F.sqrt(x * x + y * y))))
+    def arc(c: Column) -> Column:
+        def spot(i: Column) -> Column:
+            f = i / (n - 1)
+            w = F.struct(F.try_divide(F.sin((1 - f) * c["d"]), c["s"]).alias("a"), F.try_divide(F.sin(f * c["d"]), c["s"]).alias("b"))
+            flat = lambda w: F.struct(*((w["a"] * c[f"{k}1"] + w["b"] * c[f"{k}2"]).alias(k) for k in "xyz"))
+            return G.let(G.let(w, flat), lambda p: F.array(F.degrees(F.atan2(p["y"], p["x"])), F.degrees(F.atan2(p["z"], F.sqrt(p["x"] * p["x"] + p["y"] * p["y"])))))
 
-    return F.when(d > 0, G.linestring(F.transform(F.sequence(F.lit(0), F.lit(max(n, 2) - 1)), at)))
+        return F.when(c["d"] > 0, G.linestring(F.transform(F.sequence(F.lit(0), F.lit(max(n, 2) - 1)), spot)))
+
+    given = F.struct(d.alias("d"), *(e.alias(k) for k, e in zip(names, ends, strict=True)))
+    return G.let(G.let(given, lambda c: F.struct(c["d"].alias("d"), F.sin(c["d"]).alias("s"), *(c[k].alias(k) for k in names))), arc)
 
 
 def segments(g) -> Column:
