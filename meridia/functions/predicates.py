@@ -40,6 +40,41 @@ def in_rings(x: Column, y: Column, rings: Column) -> Column:
     return on_ring(x, y, outer) | (ray_cast(x, y, outer) & (edge | ~hole))
 
 
+def _side(x: Column, y: Column, ring: Column) -> Column:
+    """Array of struct (on, left) for the edges of a closed ring: whether the point is on an
+    edge, and whether a ray to the right meets it. An edge is seen from its lower end, so
+    polygons that share it agree."""
+
+    def one(e: Column) -> Column:
+        up = (e["a"][1] < e["b"][1]) | ((e["a"][1] == e["b"][1]) & (e["a"][0] <= e["b"][0]))
+        ends = F.when(up, F.struct(e["a"].alias("p"), e["b"].alias("q"))).otherwise(F.struct(e["b"].alias("p"), e["a"].alias("q")))
+
+        def seen(s: Column) -> Column:
+            px, py, qx, qy = s["p"][0], s["p"][1], s["q"][0], s["q"][1]
+            run, rise = (qx - px) * (y - py), (qy - py) * (x - px)
+            within = (y >= py) & (y <= qy) & (x >= F.least(px, qx)) & (x <= F.greatest(px, qx))
+            return F.struct((within & (run == rise)).alias("on"), ((y >= py) & (y < qy) & (run > rise)).alias("left"))
+
+        return G.let(ends, seen)
+
+    loop = F.when(F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
+    return F.transform(G.edges(loop), one)
+
+
+def xy_in_polygon_exact(x, y, g) -> Column:
+    """As ``xy_in_polygon`` without a tolerance: coordinates are taken as they stand, and a
+    point a rounding beside an edge is not on it."""
+    x, y = P._c(x), P._c(y)
+    on = lambda sides: F.exists(sides, lambda s: s["on"])
+    odd = lambda sides: F.size(F.filter(sides, lambda s: s["left"])) % 2 == 1
+
+    def inside(rings: Column) -> Column:
+        sides = F.transform(rings, lambda r: _side(x, y, r))
+        return G.let(sides, lambda v: F.exists(v, on) | (odd(v[0]) & ~F.exists(F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), odd)))
+
+    return F.exists(G._c(g)["coords"], inside)
+
+
 def xy_in_polygon(x, y, g) -> Column:
     """Whether plain coordinates are in a Polygon or MultiPolygon; their box is tested first."""
     x, y = P._c(x), P._c(y)

@@ -13,28 +13,28 @@ from meridia.plans.spatial_join import point_polygon_pairs
 from meridia.schema import metres
 
 
-def tag(points: DataFrame, polygons: DataFrame, field: str, out: str, strategy: str = "auto") -> DataFrame:
+def tag(points: DataFrame, polygons: DataFrame, field: str, out: str, strategy: str = "auto", mode: str = "reference") -> DataFrame:
     """``points`` (fid, lng, lat, ...) with the ``field`` of the first polygon (smallest zid)
     that holds each, null without one."""
     slim = polygons.select("zid", "geom", F.col(field).alias("_field"))
-    found = point_polygon_pairs(points.select("fid", "lng", "lat"), slim, strategy=strategy)
+    found = point_polygon_pairs(points.select("fid", "lng", "lat"), slim, strategy=strategy, mode=mode)
     first = found.groupBy("fid").agg(F.min(F.struct("zid", "_field")).alias("_m")).select("fid", F.col("_m._field").alias(out))
     return points.join(first, "fid", "left")
 
 
-def collect(polygons: DataFrame, points: DataFrame, field: str, out: str, strategy: str = "auto") -> DataFrame:
+def collect(polygons: DataFrame, points: DataFrame, field: str, out: str, strategy: str = "auto", mode: str = "reference") -> DataFrame:
     """``polygons`` (zid, geom, ...) with the array of ``field`` of the points in each, in
     order of fid; empty without any. Points whose field is null are skipped."""
     slim = points.select("fid", "lng", "lat", F.col(field).alias("_field")).filter("_field is not null")
-    found = point_polygon_pairs(slim, polygons.select("zid", "geom"), strategy=strategy)
+    found = point_polygon_pairs(slim, polygons.select("zid", "geom"), strategy=strategy, mode=mode)
     kind = points.schema[field].dataType.simpleString()
     lists = found.groupBy("zid").agg(F.array_sort(F.collect_list(F.struct("fid", "_field"))).alias("_l")).select("zid", F.col("_l._field").alias(out))
     return polygons.join(lists, "zid", "left").withColumn(out, F.coalesce(out, F.array().cast(f"array<{kind}>")))
 
 
-def points_within(points: DataFrame, polygons: DataFrame, strategy: str = "auto") -> DataFrame:
+def points_within(points: DataFrame, polygons: DataFrame, strategy: str = "auto", mode: str = "reference") -> DataFrame:
     """The points that are in any of the polygons."""
-    hits = point_polygon_pairs(points.select("fid", "lng", "lat"), polygons.select("geom"), strategy=strategy).select("fid")
+    hits = point_polygon_pairs(points.select("fid", "lng", "lat"), polygons.select("geom"), strategy=strategy, mode=mode).select("fid")
     return points.join(hits, "fid", "left_semi")
 
 

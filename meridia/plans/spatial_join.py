@@ -43,16 +43,17 @@ def _level(width: Column, height: Column, size: float) -> Column:
     return F.when(span > 1, F.least(F.lit(LEVELS), F.ceil(F.log2(span)).cast("int"))).otherwise(F.lit(0))
 
 
-def point_polygon_pairs(points: DataFrame, polygons: DataFrame, cell: float = 1.0, strategy: str = "auto", how: str = "inner") -> DataFrame:
+def point_polygon_pairs(points: DataFrame, polygons: DataFrame, cell: float = 1.0, strategy: str = "auto", how: str = "inner", mode: str = "reference") -> DataFrame:
     """All (points.*, polygons.*) whose point is in the polygon.
 
     ``points`` has lng and lat, ``polygons`` geom; other column names must differ.
     strategy: "broadcast", "cells", or "auto", which broadcasts polygons of no more than
     ``BROADCAST_BYTES`` by the optimizer's bound. how="left" keeps points without a polygon;
-    dealt to cells, a point then has a row for every level without one.
+    dealt to cells, a point then has a row for every level without one. A point within 1e-10
+    of an edge counts as on it; mode="corrected" takes coordinates as they stand.
     """
     boxed = polygons.withColumn("_box", G.bbox("geom"))
-    inside = Q.xy_in_polygon(F.col("lng"), F.col("lat"), "geom")
+    inside = (Q.xy_in_polygon_exact if mode == "corrected" else Q.xy_in_polygon)(F.col("lng"), F.col("lat"), "geom")
     in_box = (F.col("lng") >= F.col("_box.minx") - TOUCH) & (F.col("lng") <= F.col("_box.maxx") + TOUCH) & (F.col("lat") >= F.col("_box.miny") - TOUCH) & (F.col("lat") <= F.col("_box.maxy") + TOUCH)
     good = F.when(in_box, inside).otherwise(F.lit(False))
     if strategy == "broadcast" or strategy == "auto" and plan_bytes(polygons) <= BROADCAST_BYTES:
