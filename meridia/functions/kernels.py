@@ -39,6 +39,11 @@ def simplify(g, tolerance: float, high_quality: bool = False) -> Column:
     return kernel(lambda x: K.simplify(x, tolerance), GEOM_DDL, g)
 
 
+def nearest_on_path(p, path) -> Column:
+    """Struct (dist in metres, index of the segment, x, y); null under two positions."""
+    return kernel(lambda v, q: K.nearest_on_path(v, q) if len(v) > 1 and None not in v[:2] else None, "struct<dist: double, index: int, x: double, y: double>", p, path)
+
+
 def line_offset(g, distance: float, unit: str = "kilometers") -> Column:
     return kernel(lambda x: K.line_offset(x, distance, unit), GEOM_DDL, g)
 

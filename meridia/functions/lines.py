@@ -33,18 +33,11 @@ def point_to_line(p, g, unit: str = "kilometers") -> Column:
     return F.array_min(F.transform(G.edges(G.path(g)), lambda e: segment_distance(x, y, e))) / F.lit(metres(unit))
 
 
-def nearest_on_path(x: Column, y: Column, path: Column) -> Column:
+def nearest_point_on_line(g, p) -> Column:
     """Struct (dist in metres, index of the segment, x, y); the first of equally near ones."""
+    from meridia.functions import kernels
 
-    def one(e: Column, i: Column) -> Column:
-        fx, fy = _foot(x, y, e)
-        return F.struct(P.haversine(x, y, fx, fy).alias("dist"), i.alias("index"), fx.alias("x"), fy.alias("y"))
-
-    return F.array_min(F.transform(G.edges(path), one))
-
-
-def nearest_point_on_line(g, p) -> Column:
-    return nearest_on_path(G.x_of(p), G.y_of(p), G.path(g))
+    return kernels.nearest_on_path(F.array(G.x_of(p), G.y_of(p)), G.path(g))
 
 
 def point_to_polygon(p, g, unit: str = "kilometers", mode: str = "reference") -> Column:
@@ -165,9 +158,10 @@ def chunks(g, size: float, unit: str = "kilometers", mode: str = "reference") ->
     return kernels.chunks(g, size * metres(unit), mode)
 
 
-def split(g, p) -> Column:
+def split(g, p, mode: str = "reference") -> Column:
     """Array of the line's parts before and after a point of it (the line itself if the
-    point is an end); null if the point isn't on the line."""
+    point is an end); null if the point isn't on the line. A line may come through one of
+    its ends again: it is left whole, and with mode="corrected" split there."""
     path, q = G.path(g), F.slice(G.get_coord(p), 1, 2)
     n = F.size(path)
     flat = F.transform(path, lambda v: F.slice(v, 1, 2))
@@ -178,6 +172,10 @@ def split(g, p) -> Column:
     inside = F.array(G.linestring(F.concat(F.slice(path, 1, i + 1), F.array(q))), G.linestring(F.concat(F.array(q), F.slice(path, i + 2, n))))
     whole = F.array(G.linestring(path))
     ends = (F.element_at(flat, 1) == q) | (F.element_at(flat, -1) == q)
+    if mode == "corrected":
+        inner = F.array_position(F.slice(flat, 2, F.greatest(n - 2, F.lit(0))), q).cast("int")
+        ends, vertex = ends & (inner == 0), F.when(inner > 0, inner + 1).otherwise(F.lit(0))
+        at_vertex = F.array(G.linestring(F.slice(path, 1, vertex)), G.linestring(F.slice(path, F.greatest(vertex, F.lit(1)), n - vertex + 1)))
     return F.when(F.size(hit) == 0, F.lit(None)).when(ends, whole).when(vertex > 0, at_vertex).otherwise(inside)
 
 
