@@ -67,8 +67,9 @@ def voronoi(points: DataFrame, box) -> DataFrame:
 
 def _idw(lattice_xy: DataFrame, samples: DataFrame, power: float) -> DataFrame:
     """(fid, x, y, z): weighted means over all samples. Packets of samples meet packets of
-    lattice points, and only sums of weights are shuffled."""
-    packs = blocks(samples.select("fid", "lng", "lat", F.col("z").cast("double").alias("z")), "z").select("xs", "ys", "z")
+    lattice points, and only sums of weights are shuffled. On a sample, its value; of several
+    there, that of the smallest fid."""
+    packs = blocks(samples.select("fid", "lng", "lat", F.col("z").cast("double").alias("z")), "z").select("fids", "xs", "ys", "z")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,14 +79,14 @@ def _idw(lattice_xy: DataFrame, samples: DataFrame, power: float) -> DataFrame:
                 d = np.hypot(px[:, None] - sx, py[:, None] - sy)
                 hit = d < 1e-15
                 w = np.where(hit, 0.0, np.maximum(d, 1e-15) ** -power)
-                exact = np.where(hit.any(1), v[hit.argmax(1)], np.nan)
-                out += zip(r["ids"], w.sum(1).tolist(), (w @ v).tolist(), [None if math.isnan(e) else e for e in exact.tolist()], strict=True)
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=["fid", "w", "wv", "exact"])
+                first = [k if found else None for k, found in zip(hit.argmax(1).tolist(), hit.any(1).tolist(), strict=True)]
+                out += zip(r["ids"], w.sum(1).tolist(), (w @ v).tolist(), *([None if k is None else c[k] for k in first] for c in (v.tolist(), r["fids"])), strict=True)
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()), strict=True)], names=["fid", "w", "wv", "exact", "of"])
 
     cells = lattice_xy.groupBy(F.floor(F.col("fid") / 1024).alias("_p")).agg(F.collect_list(F.struct("fid", "x", "y")).alias("l")).select(F.col("l.fid").alias("ids"), F.col("l.x").alias("px"), F.col("l.y").alias("py"))
-    parts = cells.crossJoin(packs).mapInArrow(sums, "fid long, w double, wv double, exact double")
-    total = parts.groupBy("fid").agg(F.sum("w").alias("w"), F.sum("wv").alias("wv"), F.min("exact").alias("exact"))
+    parts = cells.crossJoin(packs).mapInArrow(sums, "fid long, w double, wv double, exact double, of long")
+    total = parts.groupBy("fid").agg(F.sum("w").alias("w"), F.sum("wv").alias("wv"), F.min_by("exact", "of").alias("exact"))
     z = F.coalesce("exact", F.when(F.col("w") < 1e-15, F.lit(0.0)).otherwise(F.try_divide("wv", "w")))
     return lattice_xy.join(total.select("fid", z.alias("z")), "fid")
 
