@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,10 +12,11 @@ from meridia.operators.graph import connected_components, cut_lineage
 from meridia.plans.spatial_join import near_pairs
 
 
-def kmeans(points: DataFrame, k: int, max_iter: int = 100, seed: int = 0) -> DataFrame:
+def kmeans(points: DataFrame, k: int, max_iter: int | None = None, seed: int = 0) -> DataFrame:
     """``points`` with cluster (0-based) and its centroid (cx, cy). Lloyd's iterations from
     seeded k-means++-like starts among the distinct points; k is cut to their number. Only
-    the k centres are held on the driver; a round is one aggregate."""
+    the k centres are held on the driver; a round is one aggregate. Rounds go on until no
+    centre moves, which they reach as the sum of squares falls, or for ``max_iter``."""
     if k < 1:
         raise ValueError("k must be positive")
     spots = points.select("lng", "lat").distinct()
@@ -34,7 +37,7 @@ def kmeans(points: DataFrame, k: int, max_iter: int = 100, seed: int = 0) -> Dat
 
     # Places with their counts: fewer rows than points, read in every round.
     places = points.groupBy("lng", "lat").agg(F.count(F.lit(1)).alias("n")).persist()
-    for _ in range(max_iter):
+    for _ in count() if max_iter is None else range(max_iter):
         sums = assigned(places, centres).groupBy("cluster").agg(F.sum(F.col("lng") * F.col("n")).alias("x"), F.sum(F.col("lat") * F.col("n")).alias("y"), F.sum("n").alias("n")).collect()
         means = {r.cluster: (r.x / r.n, r.y / r.n) for r in sums}
         after = np.array([means.get(i, tuple(centres[i])) for i in range(len(centres))])
