@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -110,19 +111,51 @@ class Items:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
+class Terms:
+    """Sorted hashes with a table by some of their bits, which finds most words by one look;
+    words at a place that several terms share are searched."""
+
+    BITS = 17
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = hashes
+        key = self._key(hashes)
+        self.places = np.full(1 << self.BITS, -1, np.int32)
+        self.places[key] = np.arange(len(hashes))
+        self.places[np.flatnonzero(np.bincount(key, minlength=1 << self.BITS) > 1)] = -2
+
+    def _key(self, words: np.ndarray) -> np.ndarray:
+        return (words.view(np.uint64) >> np.uint64(64 - self.BITS)).view(np.int64)
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """The number of each word's term, -1 without one."""
+        at = self.places[self._key(words)]
+        some = np.flatnonzero(at != -1)
+        spot, own = at[some], words[some]
+        shared = np.flatnonzero(spot == -2)
+        spot[shared] = np.minimum(np.searchsorted(self.hashes, own[shared]), len(self.hashes) - 1)
+        at[some] = np.where(self.hashes[spot] == own, spot, -1)
+        return at
+
+
+@lru_cache(maxsize=4)
+def _terms(raw: bytes, kind: str) -> Terms:
+    return Terms(np.frombuffer(raw, kind) if raw else np.zeros(0, kind))
+
+
 def _hits(raw: np.ndarray, at: np.ndarray, terms: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, ...]:
     """(words, first, window text, lo, hi, others, hit window, hit term): what of the terms
     is in which passage, and how many other words each has (a run of one word is one)."""
     words, first = word_hashes(raw, at)
     text, lo, hi = windows(first, WINDOW, stride)
-    where = np.minimum(np.searchsorted(terms, words), len(terms) - 1)
-    known = terms[where] == words
+    where = _terms(terms.tobytes(), terms.dtype.str).find(words)
+    known = where >= 0
     place = np.flatnonzero(known)
     other = np.append(0, np.cumsum(~known & np.append(True, words[1:] != words[:-1]))) if len(words) else np.zeros(1, np.int64)
     a, b = np.searchsorted(place, lo), np.searchsorted(place, hi)
     window = np.repeat(np.arange(len(lo)), b - a)
     k = np.arange(len(window)) - np.repeat(np.append(0, np.cumsum(b - a))[:-1], b - a) if len(window) else window
-    return words, first, text, lo, hi, other[hi] - other[lo], window, where[place[np.repeat(a, b - a) + k]] if len(window) else np.zeros(0, np.int64)
+    return words, first, text, lo, hi, other[hi] - other[lo], window, where[place[np.repeat(a, b - a) + k]].astype(np.int64) if len(window) else np.zeros(0, np.int64)
 
 
 def _frequencies(terms: np.ndarray):

@@ -658,3 +658,17 @@ def test_pipeline(spark, tmp_path):
         spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "exact", "near", "clean", "packed"]
+
+
+def test_terms_are_found_by_one_look_or_searched():
+    """op5_decontaminate: every word was searched; the table finds the same terms, also where several share a place."""
+    from meridia.llm.decontaminate import Terms
+
+    rng = np.random.default_rng(3)
+    hashes = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
+    words = np.concatenate([hashes[::3], hashes[::3] + np.uint64(1), rng.integers(0, 1 << 63, 5000, dtype=np.uint64)])
+    terms = Terms(hashes)
+    assert (terms.places == -2).any()
+    where = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
+    assert np.array_equal(terms.find(words), np.where(hashes[where] == words, where, -1))
+    assert Terms(hashes[:0]).find(words).max() == -1
