@@ -35,30 +35,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .bytescan import _LOWER, buffers, lean, pieces, prefix_hash, span_hash
+from .bytescan import _LOWER, buffers, lean, mix, pieces, prefix_hash, span_hash
 from .common import only, table
 
 WINDOW, STRIDE, ITEM = 64, 32, 32
 LEAST_COSINE, LEAST_LCS, PARAPHRASE_LCS, ANSWER = 0.2, 0.8, 0.6, 5
 HELD, BLOCK, RANK, MORE, LEAST_WORDS = 0.55, 512, 256, 32, 5
 ROWS = 1024  # passages projected at a time
+GATHER = 2048  # terms of sparse rows multiplied at a time
+DENSE = 16  # so many of them have a common term
+FLUSH = 64  # blocks added up in single precision
+LONG = 64  # bytes of a word that are hashed by eights
 
-_WORD = np.zeros(256, bool)
+# Of each byte of a word the lower-cased one, of other bytes 0.
+_FOLD = np.zeros(256, np.uint8)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
-    _WORD[_a:_b] = True
+    _FOLD[_a:_b] = _LOWER[_a:_b]
+_SIZE = np.uint64(0x9E3779B97F4A7C15)
+_LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (runs of letters and digits, lower-cased), and for each text
     the number of its first word, one entry more than texts."""
-    solid = np.zeros(len(raw) + 2, bool)
-    solid[1:-1] = _WORD[raw]
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[at] = True
-    starts = np.flatnonzero(solid[1:] & (~solid[:-1] | edge))
-    stops = np.flatnonzero(solid[:-1] & (~solid[1:] | edge))
-    starts, stops = starts[starts < len(raw)], stops[stops > 0]
-    return span_hash(prefix_hash(_LOWER[raw]), starts, stops), np.searchsorted(starts, at)
+    n = len(raw)
+    low = np.zeros((n // 8 + 3) * 8, np.uint8)  # from 8 on, so that a word's bytes stand in whole integers
+    low[8 : n + 8] = _FOLD[raw]
+    solid = low[7 : n + 9] != 0
+    turns = np.flatnonzero(solid[1:] != solid[:-1])
+    starts, stops = turns[0::2], turns[1::2]
+    inside = np.unique(at[solid[at] & solid[at + 1]])  # ends of texts between two words
+    if len(inside):
+        starts, stops = np.sort(np.append(starts, inside)), np.sort(np.append(stops, inside))
+    return _hashed(low, starts, stops), np.searchsorted(starts, at)
+
+
+def _hashed(low: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches of ``low[8:]``, by eight bytes at a time; of long ones by running sums."""
+    eights, size = low.view("<u8"), stops - starts
+
+    def eight(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        place, shift = (at >> 3) + 1, ((at & 7) << 3).view(np.uint64)
+        both = (eights[place] >> shift) | (eights[place + 1] << np.uint64(1) << (np.uint64(63) - shift))
+        return both & _LEFT[np.minimum(left, 8)]
+
+    out = mix(eight(starts, size) + size.astype(np.uint64) * _SIZE)
+    some, done = np.flatnonzero(size > 8), 8
+    while done < LONG and len(some):
+        out[some] = mix((out[some] ^ eight(starts[some] + done, size[some] - done)) + _SIZE)
+        done += 8
+        some = some[size[some] > done]
+    if len(some):
+        out[some] = mix(out[some] ^ span_hash(prefix_hash(low), starts[some] + 8, stops[some] + 8))
+    return out
 
 
 def windows(first: np.ndarray, width: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +112,9 @@ class Items:
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     basis: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # term by latent dimension
     latent: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # passages in the latent space, of unit length
-    shares: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # term by passage: of its words
+    own: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # term by passage: how often it is there
+    least: np.ndarray = field(default_factory=lambda: np.zeros(0))  # words of each passage that a candidate holds
+    spots: tuple = ()  # of each term the first of its entries in the next two; passages; how often
 
     @classmethod
     def of(cls, rows: list[tuple]) -> Items:
@@ -104,6 +135,13 @@ class Items:
             np.add.at(out[row], np.searchsorted(self.terms, self.words[item][a:b]), 1)
         return out
 
+    def index(self) -> None:
+        """Prepares the count of the passages' words that a candidate holds."""
+        self.own = np.ascontiguousarray(self.counts().T)
+        self.least = np.ceil((HELD - 1e-6) * self.own.sum(0))
+        term, passage = np.nonzero(self.own)
+        self.spots = np.searchsorted(term, np.arange(len(self.terms) + 1)), passage, self.own[term, passage]
+
     def matrix(self) -> np.ndarray:
         """TF-IDF rows of the items' passages, of unit length."""
         out = self.counts()
@@ -165,7 +203,8 @@ def _frequencies(terms: np.ndarray):
         total, n = np.zeros(len(terms), np.int64), 0
         for batch in pieces(batches, "t"):
             _, _, text, _, _, _, window, term = _hits(*buffers(batch["t"]), terms, WINDOW)
-            total += np.bincount(np.unique(window * len(terms) + term) % len(terms), minlength=len(terms))
+            pair = np.sort(window * len(terms) + term)
+            total += np.bincount(pair[np.append(True, pair[1:] != pair[:-1])[: len(pair)]] % len(terms), minlength=len(terms))
             n += len(text)
         found = np.flatnonzero(total)
         yield pa.record_batch({"term": pa.array(np.append(found, -1), pa.int64()), "n": pa.array(np.append(total[found], n), pa.int64())})
@@ -184,19 +223,79 @@ def _weighted(window: np.ndarray, term: np.ndarray, others: np.ndarray, weight:
     return row, term, value / norm[row] if len(row) else value, rows
 
 
+def _stretches(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stretch, place) of all places of stretches that begin at ``first``."""
+    stretch = np.repeat(np.arange(len(first)), count)
+    return stretch, np.arange(len(stretch)) + np.repeat(first - (np.cumsum(count) - count), count)
+
+
 def _project(row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
     """Sparse rows times the basis; rows with equally many terms are multiplied together."""
     out = np.zeros((n, basis.shape[1]), np.float32)
     first = np.searchsorted(row, np.arange(n + 1))
     held = np.diff(first)
+    by = np.argsort(held, kind="stable")
     value = value.astype(np.float32)
-    for k in np.unique(held[held > 0]).tolist():
-        for some in np.array_split(own := np.flatnonzero(held == k), max(1, len(own) * k // 8192)):
+    for own in np.split(by, np.flatnonzero(np.diff(held[by])) + 1):
+        k = int(held[own[0]]) if len(own) else 0
+        for some in np.array_split(own, max(1, len(own) * k // GATHER)) if k else ():
             at = first[some][:, None] + np.arange(k)
             out[some] = np.matmul(value[at][:, None, :], basis[term[at]])[:, 0, :]
     return out
 
 
+@dataclass
+class Rows:
+    """Some sparse rows: those of their terms that ``DENSE`` of them have as a dense block, the rest as they were."""
+
+    n: int
+    common: np.ndarray
+    block: np.ndarray
+    row: np.ndarray
+    term: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int) -> Rows:
+        many = np.bincount(term) >= DENSE
+        common = np.flatnonzero(many)
+        column, here = np.cumsum(many) - 1, many[term]
+        block = np.zeros((n, len(common)), np.float32)
+        block[row[here], column[term[here]]] = value[here]
+        rest = ~here
+        return cls(n, common, block, row[rest], term[rest], value[rest])
+
+    def times(self, basis: np.ndarray) -> np.ndarray:
+        """The rows times the basis."""
+        out = _project(self.row, self.term, self.value, self.n, basis)
+        out += self.block @ basis[self.common]
+        return out
+
+    def back(self, y: np.ndarray, total: np.ndarray) -> None:
+        """Adds the transposed rows times y to the total."""
+        total[self.common] += self.block.T @ y
+        by = np.argsort(self.term, kind="stable")
+        own, number = np.unique(self.term[by], return_inverse=True)
+        total[own] += _project(number, self.row[by], self.value[by], len(own), y)
+
+    def holds(self, items: Items) -> np.ndarray:
+        """How many of each passage's words (column) are in each row."""
+        out = (self.block > 0).astype(np.float32) @ items.own[self.common]
+        first, passage, count = items.spots
+        some, at = _stretches(first[self.term], first[self.term + 1] - first[self.term])
+        np.add.at(out.reshape(-1), self.row[some] * out.shape[1] + passage[at], count[at])
+        return out
+
+
+def _blocks(row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int) -> Iterator[tuple[int, Rows]]:
+    """(first row, rows) of about ``ROWS`` rows each."""
+    cuts = np.linspace(0, n, max(1, round(n / ROWS)) + 1).astype(int).tolist()
+    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+        cut = slice(*np.searchsorted(row, (s, e)))
+        if e > s:
+            yield s, Rows.of(row[cut] - s, term[cut], value[cut], e - s)
+
+
 def _ground(n_terms: int, seed: int) -> np.ndarray:
     """The random matrix R."""
     return np.random.default_rng(seed).standard_normal((n_terms, min(RANK + MORE, n_terms))).astype(np.float32)
@@ -207,19 +306,17 @@ def _sketch(terms: np.ndarray, weight: np.ndarray, seed: int):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ground = _ground(len(terms), seed)
-        total = np.zeros(ground.shape)
+        total, part, n = np.zeros(ground.shape), np.zeros_like(ground), 0
         for batch in pieces(batches, "t"):
             *_, others, window, term = _hits(*buffers(batch["t"]), terms, WINDOW)
             row, term, value, rows = _weighted(window, term, others, weight)
-            value = value.astype(np.float32)
-            for s in range(0, len(rows), ROWS):
-                cut = slice(*np.searchsorted(row, (s, s + ROWS)))
-                y = _project(row[cut] - s, term[cut], value[cut], min(ROWS, len(rows) - s), ground)
-                # Passages by the terms that any of them has: a small dense block of A.
-                own, column = np.unique(term[cut], return_inverse=True)
-                block = np.zeros((len(y), len(own)), np.float32)
-                block[row[cut] - s, column] = value[cut]
-                total[own] += block.T @ y
+            for _, some in _blocks(row, term, value, len(rows)):
+                some.back(some.times(ground), part)
+                n += 1
+                if n % FLUSH == 0:
+                    total += part
+                    part[:] = 0
+        total += part
         found = np.flatnonzero(np.abs(total).sum(1))
         yield pa.record_batch({"term": pa.array(found, pa.int64()), "row": pa.array([x.astype("<f4").tobytes() for x in total[found]], pa.binary())})
 
@@ -276,14 +373,13 @@ def _contains(text: np.ndarray, part: np.ndarray) -> bool:
     return any(np.array_equal(text[s : s + len(part)], part) for s in spots.tolist())
 
 
-def _candidates(row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, items: Items, cosine: float) -> tuple[np.ndarray, ...]:
+def _candidates(some: Rows, items: Items, cosine: float) -> tuple[np.ndarray, ...]:
     """(row, passage, cosine) of the pairs near each other in the latent space where the
     row holds ``HELD`` of the passage's words."""
-    own = _project(row, term, value, n, items.basis)
+    own = some.times(items.basis)
     own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
     near = own @ items.latent.T
-    held = _project(row, term, np.ones(len(row)), n, items.shares)
-    r, p = np.nonzero((near >= cosine) & (held >= HELD - 1e-6))
+    r, p = np.nonzero((near >= cosine) & (some.holds(items) >= items.least.astype(np.float32)))
     return r, p, near[r, p]
 
 
@@ -292,9 +388,8 @@ def matches(raw: np.ndarray, at: np.ndarray, items: Items, cosine: float, lcs: f
     words, first, text, lo, hi, others, window, term = _hits(raw, at, items.terms)
     row, term, value, rows = _weighted(window, term, others, items.weight)
     out: dict[tuple[int, int], tuple[float, float]] = {}
-    for s in range(0, len(rows), ROWS):
-        cut = slice(*np.searchsorted(row, (s, s + ROWS)))
-        r, p, c = _candidates(row[cut] - s, term[cut], value[cut], min(ROWS, len(rows) - s), items, cosine)
+    for s, some in _blocks(row, term, value, len(rows)):
+        r, p, c = _candidates(some, items, cosine)
         for t, w, k, i, near in zip(text[rows[s + r]].tolist(), rows[s + r].tolist(), p.tolist(), items.passages[p].tolist(), c.tolist(), strict=True):
             own = items.words[i]
             if len(own) < LEAST_WORDS or out.get((t, i), (0, 0))[0] >= 1:
@@ -344,8 +439,7 @@ def fitted(rows: DataFrame, block: list[tuple], seed: int = 7) -> Items | None:
     df = np.zeros(len(items.terms))
     df[list(counts)] = list(counts.values())
     items.weight = np.log((1 + total) / (1 + df)) + 1
-    counts = items.counts()
-    items.shares = np.ascontiguousarray((counts / counts.sum(1, keepdims=True)).T)
+    items.index()
     parts = rows.mapInArrow(lean(_sketch(items.terms, items.weight, seed)), "term long, row binary")
     ground = _ground(len(items.terms), seed).astype(float)
     summed = parts.repartition(min(16, len(items.terms)), "term").mapInArrow(lean(_summed(ground.shape[1])), "term long, row binary")

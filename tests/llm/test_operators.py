@@ -672,3 +672,44 @@ def test_terms_are_found_by_one_look_or_searched():
     where = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
     assert np.array_equal(terms.find(words), np.where(hashes[where] == words, where, -1))
     assert Terms(hashes[:0]).find(words).max() == -1
+
+
+def test_words_hash_alike_wherever_they_stand():
+    """op5_decontaminate: words were hashed byte by byte; by eights they are told apart as by a plain split, across ends of texts too."""
+    r = random.Random(4)
+    parts = ["a", "B", "7", "Straße", "çé", "日本語", "x" * 8, "x" * 9, "y" * 63, "y" * 64, "y" * 65, "Z" * 200, "z" * 201, " ", "  ", "-", "_", "\n", "\0", ""]
+    texts = ["", "", *("".join(r.choices(parts, k=r.randrange(12))) for _ in range(400)), "", "end", "end", ""]
+    raw = [t.encode() for t in texts]
+    at = np.append(0, np.cumsum([len(x) for x in raw]))
+    hashes, first = decontaminate.word_hashes(np.frombuffer(b"".join(raw), np.uint8), at)
+    plain = [re.findall(rb"[0-9a-z\x80-\xff]+", x.lower()) for x in raw]
+    assert np.diff(first).tolist() == [len(x) for x in plain] and first[-1] == len(hashes)
+    flat = [w for x in plain for w in x]
+    assert len(set(flat)) == len(set(hashes.tolist())) == len(set(zip(flat, hashes.tolist(), strict=True)))
+    for k in range(0, len(raw), 7):
+        alone, _ = decontaminate.word_hashes(np.frombuffer(raw[k], np.uint8), np.array([0, len(raw[k])]))
+        assert np.array_equal(alone, hashes[first[k] : first[k + 1]])
+    empty, first = decontaminate.word_hashes(np.zeros(0, np.uint8), np.zeros(3, np.int64))
+    assert len(empty) == 0 and first.tolist() == [0, 0, 0]
+
+
+def test_common_terms_alone_are_multiplied_dense():
+    """op5_decontaminate: 410 CPU seconds a GB; every term of a block was a dense column, now those that many of its rows have."""
+    rng = np.random.default_rng(6)
+    items = decontaminate.Items.of([(k, words(k, 20 + 2 * k, 400)) for k in range(30)])
+    items.index()
+    n_terms, n = len(items.terms), 700
+    full = (rng.random((n, n_terms)) < 2 / (1 + np.arange(n_terms))) * rng.random((n, n_terms)).astype(np.float32)
+    row, term = np.nonzero(full)
+    some = decontaminate.Rows.of(row, term, full[row, term], n)
+    assert 0 < some.block.shape[1] < np.count_nonzero(full.any(0)) / 2 and len(some.row)
+    basis = rng.standard_normal((n_terms, 19)).astype(np.float32)
+    assert np.allclose(some.times(basis), full @ basis, atol=1e-4)
+    total = np.ones_like(basis)
+    some.back(y := some.times(basis), total)
+    assert np.allclose(total, 1 + full.T @ y, atol=1e-3)
+    assert np.array_equal(some.holds(items), (full > 0) @ items.counts().T)
+    blocks = list(decontaminate._blocks(row, term, full[row, term], n))
+    assert sum(x.n for _, x in blocks) == n
+    nothing = decontaminate.Rows.of(row[:0], term[:0], full[row, term][:0], 3)
+    assert not nothing.times(basis).any() and not nothing.holds(items).any()
