@@ -51,6 +51,7 @@ LONG = 64  # bytes of a word that are hashed by eights
 _FOLD = np.zeros(256, np.uint8)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _FOLD[_a:_b] = _LOWER[_a:_b]
+_FOLD = _FOLD.tobytes()
 _SIZE = np.uint64(0x9E3779B97F4A7C15)
 _LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
@@ -60,7 +61,7 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     the number of its first word, one entry more than texts."""
     n = len(raw)
     low = np.zeros((n // 8 + 3) * 8, np.uint8)  # from 8 on, so that a word's bytes stand in whole integers
-    low[8 : n + 8] = _FOLD[raw]
+    low[8 : n + 8] = np.frombuffer(raw.tobytes().translate(_FOLD), np.uint8)
     solid = low[7 : n + 9] != 0
     turns = np.flatnonzero(solid[1:] != solid[:-1])
     starts, stops = turns[0::2], turns[1::2]
@@ -138,7 +139,7 @@ class Items:
     def index(self) -> None:
         """Prepares the count of the passages' words that a candidate holds."""
         self.own = np.ascontiguousarray(self.counts().T)
-        self.least = np.ceil((HELD - 1e-6) * self.own.sum(0))
+        self.least = np.ceil((HELD - 1e-6) * self.own.sum(0, dtype=float)).astype(np.float32)
         term, passage = np.nonzero(self.own)
         self.spots = np.searchsorted(term, np.arange(len(self.terms) + 1)), passage, self.own[term, passage]
 
@@ -215,10 +216,13 @@ def _frequencies(terms: np.ndarray):
 def _weighted(window: np.ndarray, term: np.ndarray, others: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sparse TF-IDF rows of unit length: (row, term, value, window of each row); passages without
     a term have none. Words that are no terms count in the length, as terms of middling weight."""
-    pair, tf = np.unique(window * len(weight) + term, return_counts=True)
+    pair = np.sort(window * len(weight) + term)
+    own = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
+    tf, pair = np.diff(np.append(own, len(pair))), pair[own]
     at, term = pair // len(weight), pair % len(weight)
     value = (1 + np.log(tf)) * weight[term]
-    rows, row = np.unique(at, return_inverse=True)
+    new = np.append(True, at[1:] != at[:-1])[: len(at)]
+    rows, row = at[new], np.cumsum(new) - 1
     norm = np.sqrt(np.bincount(row, value * value, len(rows)) + others[rows] * np.median(weight) ** 2)
     return row, term, value / norm[row] if len(row) else value, rows
 
@@ -379,7 +383,8 @@ def _candidates(some: Rows, items: Items, cosine: float) -> tuple[np.ndarray, ..
     own = some.times(items.basis)
     own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
     near = own @ items.latent.T
-    r, p = np.nonzero((near >= cosine) & (some.holds(items) >= items.least.astype(np.float32)))
+    found = np.flatnonzero((near >= cosine) & (some.holds(items) >= items.least))
+    r, p = np.divmod(found, near.shape[1])
     return r, p, near[r, p]
 
 
